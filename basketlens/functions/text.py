@@ -45,37 +45,48 @@ def truthy_num(c) -> Column:
     return F.nullif(_col(c), F.lit(0).cast("double"))
 
 
-def _number_text(value: Column) -> Column:
-    whole = value.cast("bigint")
-    return F.when(value == whole, whole.cast("string")).otherwise(value.cast("string"))
+def _unit_specs() -> Column:
+    """Unit word -> (factor, suffix, suffix of whole thousands)."""
+    rows = [(w, f, "ml", "l") for w, f in VOLUME_FACTORS.items()]
+    rows += [(w, f, "g", "kg") for w, f in WEIGHT_FACTORS.items()]
+    rows += [(w, 1.0, "pcs", None) for w in PIECE_WORDS] + [(DOZEN_WORD, 1.0, "dozen", None)]
+    return F.create_map(
+        *[
+            part
+            for word, factor, small, large in rows
+            for part in (
+                F.lit(word),
+                F.struct(
+                    F.lit(factor).alias("factor"),
+                    F.lit(small).alias("small"),
+                    F.lit(large).cast("string").alias("large"),
+                ),
+            )
+        ]
+    )
 
 
 def normalize_unit(unit) -> Column:
     """Pack size in a standard form (``0.5 kg`` -> ``500g``), null when it has none."""
     text = F.lower(_col(unit))
-    in_paren = F.regexp_extract(text, _PAREN_SIZE, 1) != ""
 
     def group(i: int) -> Column:
-        return F.when(in_paren, F.regexp_extract(text, _PAREN_SIZE, i)).otherwise(
-            F.regexp_extract(text, _SIZE, i)
-        )
-
-    value, word = group(1).try_cast("double"), group(2)
+        in_paren = F.nullif(F.regexp_extract(text, _PAREN_SIZE, i), F.lit(""))
+        return F.coalesce(in_paren, F.regexp_extract(text, _SIZE, i))
 
-    def scaled(factors: dict[str, float], small: str, large: str) -> Column:
-        kilo = [w for w, f in factors.items() if f == 1000.0]
-        amount = value * F.when(word.isin(kilo), 1000.0).otherwise(1.0)
-        is_large = (amount >= 1000) & (amount % 1000 == 0)
+    def written(size: Column) -> Column:
+        amount, whole = size["amount"], size["amount"].cast("bigint")
+        number = F.when(amount == whole, whole.cast("string")).otherwise(amount.cast("string"))
+        thousands = size["spec"]["large"].isNotNull() & (amount >= 1000) & (amount % 1000 == 0)
         return F.when(
-            is_large, F.concat((amount / 1000).cast("bigint").cast("string"), F.lit(large))
-        ).otherwise(F.concat(_number_text(amount), F.lit(small)))
-
-    return (
-        F.when(word.isin(list(VOLUME_FACTORS)), scaled(VOLUME_FACTORS, "ml", "l"))
-        .when(word.isin(list(WEIGHT_FACTORS)), scaled(WEIGHT_FACTORS, "g", "kg"))
-        .when(word == DOZEN_WORD, F.concat(_number_text(value), F.lit("dozen")))
-        .when(word.isin(list(PIECE_WORDS)), F.concat(_number_text(value), F.lit("pcs")))
-    )
+            thousands, F.concat((amount / 1000).cast("bigint").cast("string"), size["spec"]["large"])
+        ).otherwise(F.concat(number, size["spec"]["small"]))
+
+    spec = F.try_element_at(_unit_specs(), group(2))
+    # The lambda names the parsed size, so its pieces are computed once per row
+    # instead of once per mention.
+    size = F.struct((group(1).try_cast("double") * spec["factor"]).alias("amount"), spec.alias("spec"))
+    return F.get(F.transform(F.array(size), written), 0)
 
 
 def compose_text(brand, name, unit, keep_raw_unit: bool = False) -> Column:

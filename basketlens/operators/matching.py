@@ -23,8 +23,9 @@ from ..schemas import (
     TOP_K,
     UNMAPPED_TRIGGER,
 )
+from ..session import cut_lineage
 from .catalog import unmapped_by_category, unmapped_listings
-from .similarity import blended_sets, set_top_k
+from .similarity import SetScore, rarest_first, set_top_k
 from .stats import top_n
 from .tables import insert_canonicals
 
@@ -67,11 +68,6 @@ def listing_texts(listings: DataFrame) -> DataFrame:
 # --------------------------------------------------------------------- matching
 
 
-def _distinct_texts(rows: DataFrame) -> DataFrame:
-    """One document per (category, text); its id is the lowest listing id."""
-    return rows.groupBy("category", "text").agg(F.min("id").alias("id"))
-
-
 def rerank(candidates: DataFrame, scorer: Callable[[Column, Column], Column] = token_jaccard):
     """Second score per candidate, four decimals.
 
@@ -102,41 +98,40 @@ def match_products(
     """
     marked = listings if anchored else choose_anchor(listings, anchor_by)
     rows = listing_texts(marked).select("category", "id", "is_anchor", "text")
-    query_rows, anchor_rows = rows.where("NOT is_anchor"), rows.where("is_anchor")
 
-    def documents(side: DataFrame) -> DataFrame:
-        return _distinct_texts(side).select(
-            "category", "id", features(F.col("text")).alias("features")
-        )
-
-    blend = {}
-    if use_lexical:
-        # The word part adds at most its weight, the rest must come from the sets.
-        blend = {
-            "scorer": blended_sets(DENSE_WEIGHT, LEXICAL_WEIGHT),
-            "prefix_floor": (floor - LEXICAL_WEIGHT) / DENSE_WEIGHT,
-        }
+    # One document per distinct text and side; its id is the lowest listing id.
+    documents = rows.groupBy("category", "is_anchor", "text").agg(F.min("id").alias("id"))
+    ranked = rarest_first(
+        documents.withColumn("features", features(F.col("text"))), ["category"]
+    )
+    # Read by both sides of the search and again to expand the copies.
+    ranked = cut_lineage(ranked)
+    score = SetScore(DENSE_WEIGHT, LEXICAL_WEIGHT) if use_lexical else SetScore()
     by_text = set_top_k(
-        documents(query_rows), documents(anchor_rows), ["category"], k=k, floor=floor, **blend
-    ).drop("rank")
-
-    def members(side: DataFrame, doc: str, member: str) -> DataFrame:
-        docs = _distinct_texts(side).withColumnRenamed("id", doc)
-        return side.join(docs, ["category", "text"]).select(
-            doc, F.col("id").alias(member), "category", "text"
-        )
+        ranked.where("NOT is_anchor"), ranked.where("is_anchor"), ["category"],
+        k=k, floor=floor, score=score,
+    ).select(F.col("query_id").alias("query_doc"), F.col("corpus_id").alias("corpus_doc"), "score")
 
+    members = rows.join(
+        ranked.select("category", "is_anchor", "text", F.col("id").alias("doc")),
+        ["category", "is_anchor", "text"],
+    )
     anchors = top_n(
-        members(anchor_rows, "corpus_doc", "corpus_id"),
+        members.where("is_anchor").select(
+            F.col("doc").alias("corpus_doc"), F.col("id").alias("corpus_id"),
+            F.col("text").alias("corpus_text"),
+        ),
         ["corpus_doc"], [F.col("corpus_id")], k, "_copy",
-    ).select("corpus_doc", "corpus_id", F.col("text").alias("corpus_text"))
+    ).drop("_copy")
     per_doc = top_n(
-        by_text.withColumnsRenamed({"query_id": "query_doc", "corpus_id": "corpus_doc"})
-        .join(anchors, "corpus_doc"),
+        by_text.join(anchors, "corpus_doc"),
         ["query_doc"], [F.desc("score"), F.col("corpus_id")], k, "rank",
     )
-    queries = members(query_rows, "query_doc", "query_id").withColumnRenamed("text", "query_text")
-    candidates = per_doc.join(queries, "query_doc").select(
+    queries = members.where("NOT is_anchor").select(
+        "category", F.col("doc").alias("query_doc"), F.col("id").alias("query_id"),
+        F.col("text").alias("query_text"),
+    )
+    candidates = queries.join(per_doc, "query_doc").select(
         "category",
         "query_id",
         "query_text",

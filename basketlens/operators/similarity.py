@@ -20,6 +20,7 @@ from ..schemas import COSINE_FLOOR, TOP_K
 from .stats import top_n
 
 BLOCK_ROWS = 1024
+HOT_FEATURE = 512
 EPS = 1e-10
 
 Scorer = Callable[[pd.DataFrame, pd.DataFrame], np.ndarray]
@@ -52,20 +53,6 @@ def set_cosine(q: pd.DataFrame, c: pd.DataFrame) -> np.ndarray:
     return (mq @ mc.T).astype(np.float64) / np.sqrt(np.maximum(np.outer(nq, nc), 1.0))
 
 
-def blended_sets(dense_weight: float, lexical_weight: float) -> Scorer:
-    """Set cosine over all features, blended with the one over whole words only."""
-
-    def words(rows: pd.DataFrame) -> pd.DataFrame:
-        return rows.assign(
-            features=[np.array([f for f in fs if not f.startswith("#")]) for fs in rows["features"]]
-        )
-
-    def score(q: pd.DataFrame, c: pd.DataFrame) -> np.ndarray:
-        return dense_weight * set_cosine(q, c) + lexical_weight * set_cosine(words(q), words(c))
-
-    return score
-
-
 def lexical_dot(q: pd.DataFrame, c: pd.DataFrame) -> np.ndarray:
     """Sum of weight products over shared tokens (``weights``: list of pairs)."""
 
@@ -148,18 +135,27 @@ def cell_top_k(
     sizes = _block_counts(queries, keys, "_qb", block_rows).join(
         _block_counts(corpus, keys, "_cb", block_rows), keys
     )
-    q = (
-        queries.join(sizes, keys)
-        .withColumn("_q", _own_block("_qb"))
-        .withColumn("_c", F.explode(F.sequence(F.lit(0), F.col("_cb") - 1)))
-        .drop("_qb", "_cb")
-    )
-    c = (
-        corpus.join(sizes, keys)
-        .withColumn("_c", _own_block("_cb"))
-        .withColumn("_q", F.explode(F.sequence(F.lit(0), F.col("_qb") - 1)))
-        .drop("_qb", "_cb")
+    return _score_cells(
+        queries.join(sizes, keys), corpus.join(sizes, keys), keys, scorer, k, floor
     )
+
+
+def _score_cells(
+    queries: DataFrame, corpus: DataFrame, keys: list[str], scorer: Scorer, k: int | None, floor: float
+) -> DataFrame:
+    """Score rows whose key is laid out in ``_qb`` x ``_cb`` cells."""
+
+    def spread(rows: DataFrame, own: str, own_blocks: str, other: str, other_blocks: str) -> DataFrame:
+        return (
+            rows.withColumn(own, _own_block(own_blocks))
+            .withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other_blocks) - 1)))
+            .drop("_qb", "_cb")
+        )
+
+    q = spread(queries, "_q", "_qb", "_c", "_cb")
+    c = spread(corpus, "_c", "_cb", "_q", "_qb")
+    # Both sides often come from one table; fresh names keep their columns apart.
+    c = c.select(*[F.col(name).alias(name) for name in c.columns])
     cell = [*keys, "_q", "_c"]
     return (
         q.groupBy(*cell)
@@ -243,17 +239,58 @@ def approximate_top_k(
 # --------------------------------------------------------------------- sparse
 
 
-def _rarest_first(docs: DataFrame, keys: list[str], frequency: DataFrame) -> DataFrame:
-    """Re-order each document's features, rarest in its key first."""
-    exploded = docs.select(*keys, "id", F.explode("features").alias("feature"))
-    ranked = exploded.join(frequency, [*keys, "feature"])
-    # One document's own features: bounded by the text, whatever the group size.
-    ordered = ranked.groupBy(*keys, "id").agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("df", "feature"))), lambda s: s["feature"]
-        ).alias("features")
+class SetScore:
+    """A set similarity in both forms: per pair in the JVM, per block in numpy."""
+
+    def __init__(self, dense_weight: float = 1.0, word_weight: float = 0.0):
+        self.dense_weight, self.word_weight = dense_weight, word_weight
+
+    def pair(self, a: Column, b: Column) -> Column:
+        score = self.dense_weight * _set_cosine_column(a, b)
+        if self.word_weight:
+            score = score + self.word_weight * _set_cosine_column(_words(a), _words(b))
+        return score
+
+    def block(self, q: pd.DataFrame, c: pd.DataFrame) -> np.ndarray:
+        score = self.dense_weight * set_cosine(q, c)
+        if self.word_weight:
+            score = score + self.word_weight * set_cosine(_word_rows(q), _word_rows(c))
+        return score
+
+    def least_cosine(self, floor: float) -> float:
+        """Set cosine a pair must have at least: the word part adds at most its weight."""
+        return (floor - self.word_weight) / self.dense_weight
+
+
+def _set_cosine_column(a: Column, b: Column) -> Column:
+    shared = F.size(F.array_intersect(a, b)).cast("double")
+    return shared / F.sqrt(F.greatest(F.size(a) * F.size(b), F.lit(1)).cast("double"))
+
+
+def _words(features: Column) -> Column:
+    return F.filter(features, lambda f: ~f.startswith("#"))
+
+
+def _word_rows(rows: pd.DataFrame) -> pd.DataFrame:
+    """Only the words of a feature list; character n-grams are marked with #."""
+    words = [np.array([f for f in fs if not f.startswith("#")], dtype=object) for fs in rows["features"]]
+    return rows.assign(features=words)
+
+
+def rarest_first(docs: DataFrame, keys: list[str]) -> DataFrame:
+    """Documents with ``ranked``: their features with frequency, rarest in the key first.
+
+    ``docs``: id, keys, features and any other columns.  Collecting a document's
+    features again is bounded by its own text, whatever the size of its group.
+    """
+    other = [c for c in docs.columns if c not in {"features", "id", *keys}]
+    exploded = docs.select(*keys, "id", *other, F.explode("features").alias("feature"))
+    frequency = exploded.groupBy(*keys, "feature").agg(F.count(F.lit(1)).alias("df"))
+    return (
+        exploded.join(frequency, [*keys, "feature"])
+        .groupBy(*keys, "id", *other)
+        .agg(F.array_sort(F.collect_list(F.struct("df", "feature"))).alias("ranked"))
     )
-    return ordered
 
 
 def set_top_k(
@@ -263,41 +300,59 @@ def set_top_k(
     *,
     k: int = TOP_K,
     floor: float = COSINE_FLOOR,
-    scorer: Scorer = set_cosine,
-    prefix_floor: float | None = None,
+    score: SetScore | None = None,
+    hot: int = HOT_FEATURE,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """Exact top k by set cosine over ``features`` arrays (id, keys, features).
+    """Exact top k by set cosine between rows of ``rarest_first``.
 
     If cos(A, B) >= t then |A and B| >= t^2 |A|, so A's first
     |A| - ceil(t^2 |A|) + 1 features hold a shared one; the same for B.  With
-    both sides ordered rarest first, comparing only rows that meet on a prefix
-    feature loses no pair and keeps common tokens out of the join.  A ``scorer``
-    other than the set cosine states in ``prefix_floor`` the least set cosine a
-    pair must have to reach the floor.
+    both sides ordered rarest first, comparing only rows that meet on such a
+    feature loses no pair and keeps common features out of the join.
+
+    Features of up to ``hot`` documents are joined and scored in the JVM, at most
+    (hot / 2)^2 pairs each.  Hotter ones go to numpy cells of bounded size that
+    hand on k candidates per query.
     """
-    needed = floor if prefix_floor is None else prefix_floor
+    score = score or SetScore()
+    needed = score.least_cosine(floor)
     if needed <= 0:
         raise ValueError("the prefix filter needs a positive floor")
-    both = queries.unionByName(corpus)
-    frequency = (
-        both.select(*keys, F.explode("features").alias("feature"))
-        .groupBy(*keys, "feature")
-        .agg(F.count(F.lit(1)).alias("df"))
-    )
-    size = F.size("features")
+    size = F.size("ranked")
     # The small margin keeps ceil() from rounding a whole product up.
     prefix = size - F.ceil(F.lit(needed * needed) * size - F.lit(1e-9)).cast("int") + 1
 
     def by_prefix(docs: DataFrame) -> DataFrame:
-        ordered = _rarest_first(docs, keys, frequency)
-        return ordered.withColumn("_on", F.explode(F.slice("features", F.lit(1), prefix)))
-
-    candidates = cell_top_k(
-        by_prefix(queries), by_prefix(corpus), [*keys, "_on"], scorer,
-        k=k, floor=floor, block_rows=block_rows,
-    )
-    return best_k(candidates, k)
+        return docs.select(
+            *keys,
+            "id",
+            F.col("ranked.feature").alias("features"),
+            F.explode(F.slice("ranked", F.lit(1), prefix)).alias("_p"),
+        ).select(*keys, "id", "features", F.col("_p.df").alias("_df"), F.col("_p.feature").alias("_on"))
+
+    on = [*keys, "_on"]
+    q, c = by_prefix(queries), by_prefix(corpus)
+
+    few_q = q.where(F.col("_df") <= hot).select(
+        *on, F.col("id").alias("query_id"), F.col("features").alias("_qf")
+    )
+    few_c = c.where(F.col("_df") <= hot).select(
+        *on, F.col("id").alias("corpus_id"), F.col("features").alias("_cf")
+    )
+    in_jvm = (
+        few_q.join(few_c, on)
+        .select("query_id", "corpus_id", score.pair(F.col("_qf"), F.col("_cf")).alias("score"))
+        .where(F.col("score") >= floor)
+    )
+    # The frequency bounds the rows of either side, so no count is needed here.
+    blocks = F.ceil(F.col("_df") / block_rows).cast("int")
+
+    def hot_rows(docs: DataFrame) -> DataFrame:
+        return docs.where(F.col("_df") > hot).withColumns({"_qb": blocks, "_cb": blocks}).drop("_df")
+
+    in_cells = _score_cells(hot_rows(q), hot_rows(c), on, score.block, k, floor)
+    return best_k(in_jvm.unionByName(in_cells), k)
 
 
 def lexical_score(weights_a: Column, weights_b: Column) -> Column:

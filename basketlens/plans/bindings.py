@@ -45,8 +45,11 @@ class RetailTables:
 
     @cached_property
     def catalog(self) -> DataFrame:
-        """Up to three listings per part, one per platform slot."""
-        slots = self.raw("part").withColumn("i", F.explode(F.array(*[F.lit(i) for i in range(3)])))
+        return self.listings_of(self.raw("part"))
+
+    def listings_of(self, parts: DataFrame) -> DataFrame:
+        """Up to three listings per part (batch or stream), one per platform slot."""
+        slots = parts.withColumn("i", F.explode(F.array(*[F.lit(i) for i in range(3)])))
         key, i = F.col("p_partkey"), F.col("i")
         return slots.where((key * 7 + i * 3) % 5 < 3).select(
             (key * 3 + i + 1).alias("id"),

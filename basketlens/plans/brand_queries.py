@@ -324,7 +324,7 @@ _BANDS = """
               AND (p.price < b.band_high OR b.band = 9)),
   leaders AS (SELECT category, band, string_agg(brand, ',' ORDER BY n DESC, brand) AS top_brands
               FROM (SELECT category, band, brand, count(*) AS n FROM banded WHERE brand IS NOT NULL
-                    GROUP BY ALL
+                    GROUP BY category, band, brand
                     QUALIFY row_number() OVER (PARTITION BY category, band ORDER BY count(*) DESC, brand) <= 3)
               GROUP BY category, band)
   SELECT category, band, round(band_low, 6) AS band_low, round(band_high, 6) AS band_high,

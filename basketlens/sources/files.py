@@ -27,14 +27,20 @@ def read_listing_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_match_results(
-    spark: SparkSession, path: str, threshold: float = MATCH_THRESHOLD
+    spark: SparkSession,
+    path: str,
+    threshold: float = MATCH_THRESHOLD,
+    multi_line: bool = True,
 ) -> DataFrame:
     """Candidates (query_id, corpus_id, score) at or above the threshold.
 
+    ``multi_line`` is for one document per file; with one document per line the
+    files can be split.
+
     A missing ``rerank_score`` falls back to ``score``, then to 0; ``pos`` is the
     order in the file, which decides between equal scores.
     """
-    doc = spark.read.schema(MATCH_FILE).option("multiLine", True).json(path)
+    doc = spark.read.schema(MATCH_FILE).option("multiLine", multi_line).json(path)
     rows = doc.select("category", F.posexplode("matches").alias("pos", "m"))
     score = F.coalesce("m.rerank_score", "m.score", F.lit(0.0))
     return rows.select(
@@ -46,9 +52,9 @@ def read_match_results(
     ).where(F.col("score") >= threshold)
 
 
-def read_judge_verdicts(spark: SparkSession, path: str) -> DataFrame:
+def read_judge_verdicts(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Verdicts keyed by the listing pair, so two candidates of one anchor stay apart."""
-    doc = spark.read.schema(VERDICT_FILE).option("multiLine", True).json(path)
+    doc = spark.read.schema(VERDICT_FILE).option("multiLine", multi_line).json(path)
     return doc.select(F.explode("verdicts").alias("v")).select(
         F.col("v.catalog_id_a").alias("catalog_id_a"),
         F.col("v.catalog_id_b").alias("catalog_id_b"),
