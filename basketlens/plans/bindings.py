@@ -29,6 +29,12 @@ def cents(amount: Column) -> Column:
     return F.floor(amount * 100 + 0.5) / 100
 
 
+def r6(c: Column | str, name: str | None = None) -> Column:
+    """Six decimals, with ties settled upwards past the noise of float sums."""
+    column = F.col(c) if isinstance(c, str) else c
+    return (F.floor(column * 1e6 + 0.5001) / 1e6).alias(name or c)
+
+
 def pick(values, index: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
 

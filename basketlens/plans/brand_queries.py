@@ -2,22 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import brand as B
 from ..operators import category as G
 from ..operators import report as R
-from .bindings import RetailTables
+from .bindings import RetailTables, r6
 from .oracle import DISCOUNT
 from .registry import query
 
 
-def r6(c, name: str | None = None) -> Column:
-    column = F.col(c) if isinstance(c, str) else c
-    return F.round(column, 6).alias(name or c)
-
-
 def rounded(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: r6(c) for c in columns})
 

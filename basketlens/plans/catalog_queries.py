@@ -10,7 +10,7 @@ from ..operators import sales as D
 from ..operators import tables as W
 from ..sources.dims import SEED_PINCODES, with_location
 from ..sources.validate import SALES_RULES, with_reasons
-from .bindings import CATEGORIES, PLATFORMS, RetailTables, pick
+from .bindings import CATEGORIES, PLATFORMS, RetailTables, pick, r6
 from .oracle import unit_sql
 from .registry import query
 
@@ -21,11 +21,6 @@ def day_text(name: str):
     return F.col(name).cast("date").cast("string").alias(name)
 
 
-def r6(c, name: str | None = None):
-    column = F.col(c) if isinstance(c, str) else c
-    return F.round(column, 6).alias(name or c)
-
-
 # ---------------------------------------------------------------------- catalog
 
 

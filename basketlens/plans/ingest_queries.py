@@ -10,7 +10,7 @@ from ..operators import tables as W
 from ..schemas import CATALOG, OBSERVATION, PLATFORMS
 from ..session import shared_dir
 from ..sources import files, listings, payloads, snapshots
-from .bindings import SEED_PINCODES, RetailTables, pick
+from .bindings import SEED_PINCODES, RetailTables, pick, r6
 from .registry import query
 
 P = F.col
@@ -73,7 +73,7 @@ def _cart_payloads(t: RetailTables) -> DataFrame:
               p_retailprice + 10 AS mrp, CASE WHEN i = 0 THEN CAST(p_size AS INTEGER) END AS inventory,
               CASE WHEN i = 0 THEN p_partkey % 2 = 0 ELSE true END AS available,
               CAST(p_size % 5 AS INTEGER) AS max_allowed_quantity
-       FROM part, (VALUES (0), (1)) s(i)""",
+       FROM part, (VALUES (0), (1)) s(i) WHERE p_partkey * 3 + i <> 0""",
 )
 def _(t: RetailTables) -> DataFrame:
     return payloads.walk_cart_items(_cart_payloads(t)).drop("pos", "image_url")
@@ -82,7 +82,8 @@ def _(t: RetailTables) -> DataFrame:
 @query(
     "ingest_walk_cart_items_in_page",
     """SELECT p_partkey AS payload_id, CAST(p_partkey * 3 + i AS VARCHAR) AS id,
-              i = 0 AND p_partkey % 2 = 0 AS available FROM part, (VALUES (0), (1)) s(i)""",
+              i = 0 AND p_partkey % 2 = 0 AS available FROM part, (VALUES (0), (1)) s(i)
+       WHERE p_partkey * 3 + i <> 0""",
 )
 def _(t: RetailTables) -> DataFrame:
     rows = payloads.walk_cart_items(_cart_payloads(t), missing_means_available=False)
@@ -126,7 +127,18 @@ def _(t: RetailTables) -> DataFrame:
        FROM (SELECT count(*) AS n FROM part),
             (VALUES ('status', 'STRING', NULL), ('response', 'object', 1),
                     ('response.snippets', 'array', 3), ('response.snippets[0]', 'object', 1),
-                    ('response.snippets[0].data', 'object', 1)) s(path, type, size)""",
+                    ('response.snippets[0].data', 'object', 1),
+                    ('response.snippets[0].data.cart_item', 'object', 9),
+                    ('response.snippets[0].data.cart_item.product_id', 'BIGINT', NULL),
+                    ('response.snippets[0].data.cart_item.brand', 'STRING', NULL),
+                    ('response.snippets[0].data.cart_item.unit', 'STRING', NULL),
+                    ('response.snippets[0].data.cart_item.price', 'DECIMAL', NULL),
+                    ('response.snippets[0].data.cart_item.mrp', 'DECIMAL', NULL),
+                    ('response.snippets[0].data.cart_item.quantity', 'BIGINT', NULL),
+                    ('response.snippets[0].data.cart_item.product_name', 'STRING', NULL),
+                    ('response.snippets[0].data.cart_item.inventory', 'BIGINT', NULL),
+                    ('response.snippets[0].data.cart_item.unavailable_quantity', 'BIGINT', NULL)
+            ) s(path, type, size)""",
 )
 def _(t: RetailTables) -> DataFrame:
     return payloads.structure(_cart_payloads(t))
@@ -244,12 +256,12 @@ def _(t: RetailTables) -> DataFrame:
 @query(
     "ingest_snapshot_links",
     """SELECT p_partkey AS snapshot_id, CAST(i AS INTEGER) AS pos,
-              CASE WHEN i = 0 THEN 'ab-' || p_partkey ELSE 'z-2' END AS product_id,
-              CASE WHEN i = 0 THEN p_name ELSE 'second ' || p_name END AS name,
-              CASE WHEN i = 0 THEN '1 pack (' || p_size || ' ml)' ELSE p_size || ' g' END AS unit_quantity,
-              CAST(p_size + i AS DOUBLE) AS discounted_price,
-              CAST(CASE WHEN i = 0 THEN p_size + 9 ELSE p_size + 1 END AS DOUBLE) AS mrp
-       FROM part, (VALUES (0), (1)) s(i)""",
+              ['ab-' || p_partkey, 'ffff', 'z-3'][i + 1] AS product_id,
+              CASE WHEN i < 2 THEN p_name ELSE 'second ' || p_name END AS name,
+              CASE WHEN i < 2 THEN '1 pack (' || p_size || ' ml)' ELSE p_size || ' g' END AS unit_quantity,
+              CAST(CASE WHEN i < 2 THEN p_size ELSE p_size + 1 END AS DOUBLE) AS discounted_price,
+              CAST(CASE WHEN i < 2 THEN p_size + 9 ELSE p_size + 1 END AS DOUBLE) AS mrp
+       FROM part, (VALUES (0), (1), (2)) s(i)""",
 )
 def _(t: RetailTables) -> DataFrame:
     size, name, key = P("p_size").cast("string"), P("p_name"), P("p_partkey").cast("string")
@@ -494,7 +506,7 @@ def _(t: RetailTables) -> DataFrame:
     )
     documents.write.json(path)
     found = files.read_match_results(spark, path, threshold=0.85, multi_line=False)
-    return found.select("category", "query_id", "corpus_id", F.round("score", 6).alias("score"))
+    return found.select("category", "query_id", "corpus_id", r6("score"))
 
 
 @query(

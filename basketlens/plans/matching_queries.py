@@ -20,8 +20,8 @@ from ..operators import similarity as S
 from ..operators import tables as W
 from ..operators.catalog import latest_positive_mrp, unmapped_listings
 from ..schemas import DENSE_WEIGHT, LEXICAL_WEIGHT
-from .bindings import RetailTables
-from .brand_queries import r6, rounded
+from .bindings import RetailTables, r6
+from .brand_queries import rounded
 from .oracle import unit_sql
 from .registry import query
 
@@ -109,8 +109,10 @@ def _vectors(t: RetailTables) -> tuple[DataFrame, DataFrame]:
 
 _COSINE = """
   SELECT q.vec_id AS query_id, c.vec_id AS corpus_id,
-         list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) AS score
-  FROM embeddings q JOIN embeddings c ON q.vec_id % 3 <> 0 AND c.vec_id % 3 = 0"""
+         list_dot_product(q.v, c.v) / ((sqrt(list_dot_product(q.v, q.v)) + 1e-10)
+                                     * (sqrt(list_dot_product(c.v, c.v)) + 1e-10)) AS score
+  FROM (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 3 <> 0) q,
+       (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 3 = 0) c"""
 _TOP = f"""
   SELECT query_id, corpus_id, score,
          row_number() OVER (PARTITION BY query_id ORDER BY score DESC, corpus_id) AS rank

@@ -417,7 +417,7 @@ def field_scan(payloads: DataFrame, *, max_depth: int = 10, first_items: int = 3
             *keys,
             "path",
             F.to_json("node").alias("value"),
-            F.schema_of_variant("node").alias("type"),
+            value_kind(F.col("node")).alias("type"),
         )
         .distinct()
     )
@@ -426,17 +426,31 @@ def field_scan(payloads: DataFrame, *, max_depth: int = 10, first_items: int = 3
 def structure(payloads: DataFrame, *, max_depth: int = 5) -> DataFrame:
     """Profile over all payloads: path -> kind, occurrences and largest size.
 
-    As a list stands for its entries, only its first one is entered.
+    As a list stands for its entries, only its first one is entered; the depth
+    counts keys, not list levels.
     """
     nodes = walk(
-        payloads, lambda v: F.lit(True), max_depth=max_depth, first_items=1, strict=False
-    ).where(F.col("depth") > 0)
+        payloads, lambda v: F.lit(True), max_depth=2 * max_depth, first_items=1, strict=False
+    )
+    keys = F.split(F.regexp_replace("path", r"\[[0-9]+\]", ""), r"\.")
     v = F.col("node")
-    kind = F.schema_of_variant(v)
-    container = F.when(kind.startswith("OBJECT"), "object").when(kind.startswith("ARRAY"), "array")
-    size = F.coalesce(F.size(_as_array(v)), F.size(F.map_keys(_as_map(v))))
     return (
-        nodes.select("path", F.coalesce(container, kind).alias("type"), size.alias("size"))
+        nodes.where((F.col("depth") > 0) & (F.size(keys) <= max_depth))
+        .select(
+            "path",
+            value_kind(v).alias("type"),
+            F.coalesce(F.size(_as_array(v)), F.size(F.map_keys(_as_map(v)))).alias("size"),
+        )
         .groupBy("path", "type")
         .agg(F.count(F.lit(1)).alias("count"), F.max("size").alias("max_size"))
     )
+
+
+def value_kind(v: Column) -> Column:
+    """object, array, or the plain type of a value, without precision."""
+    kind = F.schema_of_variant(v)
+    return (
+        F.when(kind.startswith("OBJECT"), "object")
+        .when(kind.startswith("ARRAY"), "array")
+        .otherwise(F.regexp_replace(kind, r"\(.*\)", ""))
+    )
