@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import compose_text, normalize_unit
+from ..session import cut_lineage
 from ..sources.listings import parse_items
 from ..sources.validate import LISTING_RULES, validate_rows
 
@@ -136,7 +137,9 @@ def ingest_run(
     listings = parse_items(
         items.join(own, "run_id").withColumn("category", F.col("_category")).drop("_category")
     )
-    valid, rejected = validate_rows(listings.join(attrs, "run_id"), LISTING_RULES)
+    # Four tables are made of the parsed rows; parse the captures once.
+    parsed = cut_lineage(listings.join(attrs, "run_id"))
+    valid, rejected = validate_rows(parsed, LISTING_RULES)
 
     new_catalog = upsert_catalog(catalog, valid)
     with_id = valid.join(new_catalog.select("id", *CATALOG_KEY), CATALOG_KEY)

@@ -406,10 +406,7 @@ def field_scan(payloads: DataFrame, *, max_depth: int = 10, first_items: int = 3
         first_items=first_items,
         strict=False,
     )
-    name = _scan_name(F.col("path"))
-    hit = F.lit(False)
-    for word in INVENTORY_KEYWORDS:
-        hit = hit | name.contains(word)
+    hit = _scan_name(F.col("path")).rlike("|".join(INVENTORY_KEYWORDS))
     keys = [c for c in payloads.columns if c != "payload"]
     return (
         nodes.where((F.col("depth") > 0) & ~F.col("path").endswith("]") & hit)
