@@ -101,7 +101,10 @@ def sales_summary(sales: DataFrame, pincode: str | None = None) -> DataFrame:
 def by_confidence(summary: DataFrame) -> DataFrame:
     """The same summary with the grades as a map, absent grades left out."""
     entries = F.array(
-        *[F.struct(F.lit(g), F.col(f"n_{g}")) for g in ("high", "medium", "low")]
+        *[
+            F.struct(F.lit(g).alias("grade"), F.col(f"n_{g}").alias("n"))
+            for g in ("high", "medium", "low")
+        ]
     )
     return summary.withColumn(
         "by_confidence", F.map_filter(F.map_from_entries(entries), lambda _grade, n: n > 0)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import stable_listing_id
 from ..operators import tables as W
 from ..schemas import CATALOG, OBSERVATION, PLATFORMS
-from ..session import shared_dir
+from ..session import shared_dir, spread
 from ..sources import files, listings, payloads, snapshots
 from .bindings import SEED_PINCODES, RetailTables, pick, r6
 from .registry import query
@@ -18,7 +18,7 @@ P = F.col
 
 def _capture(t: RetailTables, doc: Column) -> DataFrame:
     """One payload per part, as text turned into a VARIANT."""
-    return t.raw("part").select(
+    return spread(t.raw("part")).select(
         P("p_partkey").alias("payload_id"), F.parse_json(F.to_json(doc)).alias("payload")
     )
 
@@ -63,7 +63,8 @@ def _cart_payloads(t: RetailTables) -> DataFrame:
     text = F.concat(
         F.lit('{"status":"ok","response":{"snippets":['), F.array_join(doc["snippets"], ","), F.lit("]}}")
     )
-    return t.raw("part").select(P("p_partkey").alias("payload_id"), F.parse_json(text).alias("payload"))
+    parts = spread(t.raw("part"))
+    return parts.select(P("p_partkey").alias("payload_id"), F.parse_json(text).alias("payload"))
 
 
 @query(
@@ -273,7 +274,7 @@ def _(t: RetailTables) -> DataFrame:
         F.lit('\n  - link "second '), name, F.lit(" ADD ₹"), (P("p_size") + 1).cast("string"),
         F.lit(" "), size, F.lit(' g" [ref=e3]:\n    - img\n    - /url: /pn/z/other'),
     )
-    shots = t.raw("part").select(P("p_partkey").alias("snapshot_id"), text.alias("text"))
+    shots = spread(t.raw("part")).select(P("p_partkey").alias("snapshot_id"), text.alias("text"))
     return snapshots.snapshot_links(shots).select(
         "snapshot_id", "pos", "product_id", "name", "unit_quantity", "discounted_price", "mrp"
     )
@@ -297,7 +298,7 @@ def _(t: RetailTables) -> DataFrame:
         (P("p_size") + 20).cast("string"), F.lit("\n  generic: 7 kg"),
         F.lit('\ngeneric "Delivery in 7 MINS" [ref=f1]:\n  generic [ref=f2]: Without price here'),
     )
-    shots = t.raw("part").select(P("p_partkey").alias("snapshot_id"), text.alias("text"))
+    shots = spread(t.raw("part")).select(P("p_partkey").alias("snapshot_id"), text.alias("text"))
     return snapshots.snapshot_cards(shots).drop("inStock", "maxSelectableQuantity")
 
 
@@ -305,7 +306,7 @@ def _(t: RetailTables) -> DataFrame:
 
 
 def _items(t: RetailTables, **fields: Column) -> DataFrame:
-    return t.raw("part").select(
+    return spread(t.raw("part")).select(
         P("p_type").alias("run_id"),
         P("p_type").alias("category"),
         P("p_partkey").alias("seq"),

@@ -15,6 +15,8 @@ SQL_DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Split a hot join key even when that costs one more exchange afterwards.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Pair scoring is heavy on few bytes; do not merge such stages into one task.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
 }
 
 
@@ -53,6 +55,16 @@ def shared_dir(spark: SparkSession, *parts: str) -> str:
     return "/".join([base.rstrip("/"), *parts, uuid.uuid4().hex])
 
 
+def spread(df, parallelism: int | None = None):
+    """Re-partition a scan that has fewer partitions than there are cores.
+
+    For CPU-heavy row work (payload walks) on input of a few small files; a large
+    input already has enough partitions and passes unchanged, without exchange.
+    """
+    wanted = parallelism or df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)
+
+
 def cut_lineage(df):
     """Write ``df`` to the shared folder and read it back: an executor-loss-safe cut."""
     path = shared_dir(df.sparkSession, "cut")

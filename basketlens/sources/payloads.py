@@ -138,24 +138,32 @@ def walk(
             return found
         return F.when(stop(parent["v"]), F.expr(f"CAST(array() AS {_NODE})")).otherwise(found)
 
-    def is_container(n: Column) -> Column:
-        return F.coalesce(F.schema_of_variant(n["v"]).rlike("^(OBJECT|ARRAY)"), F.lit(False))
-
     root = F.struct(
         F.expr("CAST(array() AS array<int>)").alias("pos"),
         F.lit("").alias("path"),
         F.col(payload).alias("v"),
     )
-    out = payloads.withColumn("_l0", F.array(root))
-    for depth in range(max_depth):
-        level = F.col(f"_l{depth}")
-        out = out.withColumn(f"_l{depth + 1}", F.flatten(F.transform(level, children)))
-    levels = [F.col(f"_l{d}") for d in range(max_depth + 1)]
-    hits = F.filter(F.concat(*levels), lambda n: F.coalesce(keep(n["v"]), F.lit(False)))
+
+    def hits_of(level: Column) -> Column:
+        return F.filter(level, lambda n: F.coalesce(keep(n["v"]), F.lit(False)))
+
+    # Only the hits so far and the current level travel on, not every level.
+    out = payloads.withColumns(
+        {"_level": F.array(root), "_hits": F.expr(f"CAST(array() AS {_NODE})")}
+    ).drop(payload)
+    for _ in range(max_depth):
+        out = out.withColumns(
+            {
+                "_hits": F.concat("_hits", hits_of(F.col("_level"))),
+                "_level": F.flatten(F.transform("_level", children)),
+            }
+        )
+    last = F.col("_level")
+    hits = F.concat(F.col("_hits"), hits_of(last))
     if strict:
-        too_deep = F.exists(levels[-1], is_container)
+        below = F.exists(F.transform(last, children), lambda nodes: F.size(nodes) > 0)
         hits = F.when(
-            too_deep, F.raise_error(F.lit(f"payload nested deeper than {max_depth} levels"))
+            below, F.raise_error(F.lit(f"payload nested deeper than {max_depth} levels"))
         ).otherwise(hits)
     keep_columns = [c for c in payloads.columns if c != payload]
     return out.select(*keep_columns, F.explode(hits).alias("_n")).select(
@@ -188,8 +196,8 @@ def walk_cart_items(
     in-page form.
     """
     hits = walk(
-        payloads, lambda v: field_text(v, "cart_item.product_id").isNotNull(), max_depth=max_depth
-    )
+        payloads, lambda v: has_field(v, "cart_item.product_id"), max_depth=max_depth
+    ).where(field_text(F.col("node"), "cart_item.product_id").isNotNull())
     item = F.try_variant_get("node", "$.cart_item", "variant")
     unavailable = field(item, "unavailable_quantity", "double")
     available = F.when(
@@ -221,9 +229,7 @@ def walk_bff_products(
 
     def wanted(v: Column) -> Column:
         return (
-            has_field(v, "availableQuantity")
-            & has_field(v, "mrp")
-            & field_text(v, "product").isNotNull()
+            has_field(v, "availableQuantity") & has_field(v, "mrp") & has_field(v, "product.name")
         )
 
     v = F.col("node")
