@@ -16,7 +16,7 @@ from ..schemas import (
     MIN_TOKEN_OVERLAP,
     SWEEP_THRESHOLDS,
 )
-from .stats import top_n
+from .stats import join_groups, top_n
 
 
 def _members(mappings: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -134,27 +134,28 @@ def ground_truth_pairs(listings: DataFrame, index_pairs: DataFrame) -> DataFrame
     )
 
 
-def pair_set_counts(truth: DataFrame, actual: DataFrame) -> DataFrame:
-    """tp, fp, fn of two pair sets, in one pass instead of three set operations."""
-    tagged = truth.select("id_a", "id_b", F.lit(1).alias("t"), F.lit(0).alias("a")).unionByName(
-        actual.select("id_a", "id_b", F.lit(0).alias("t"), F.lit(1).alias("a"))
-    )
-    sides = tagged.groupBy("id_a", "id_b").agg(F.max("t").alias("t"), F.max("a").alias("a"))
-    return sides.agg(
-        F.count_if((F.col("t") == 1) & (F.col("a") == 1)).alias("tp"),
-        F.count_if((F.col("t") == 0) & (F.col("a") == 1)).alias("fp"),
-        F.count_if((F.col("t") == 1) & (F.col("a") == 0)).alias("fn"),
+def pair_set_rows(truth: DataFrame, actual: DataFrame) -> DataFrame:
+    """Union of two pair sets with each pair's outcome: tp (in both), fp or fn.
+
+    One aggregation over the tagged union instead of an intersection and two
+    differences, so neither input is computed more than once.
+    """
+    in_truth = truth.select("id_a", "id_b", F.lit(1).alias("t"), F.lit(0).alias("a"))
+    in_actual = actual.select("id_a", "id_b", F.lit(0).alias("t"), F.lit(1).alias("a"))
+    sides = (
+        in_truth.unionByName(in_actual)
+        .groupBy("id_a", "id_b")
+        .agg(F.max("t").alias("t"), F.max("a").alias("a"))
     )
+    outcome = F.when(F.col("t") == 0, "fp").when(F.col("a") == 0, "fn").otherwise("tp")
+    return sides.select("id_a", "id_b", outcome.alias("outcome"))
 
 
-def pair_set_rows(truth: DataFrame, actual: DataFrame) -> DataFrame:
-    """The pairs themselves with their outcome: tp, fp or fn."""
-    t, a = (df.select("id_a", "id_b").distinct() for df in (truth, actual))
-    return (
-        t.intersect(a).withColumn("outcome", F.lit("tp"))
-        .unionByName(a.subtract(t).withColumn("outcome", F.lit("fp")))
-        .unionByName(t.subtract(a).withColumn("outcome", F.lit("fn")))
-    )
+def pair_set_counts(truth: DataFrame, actual: DataFrame) -> DataFrame:
+    rows = pair_set_rows(truth, actual)
+    return rows.agg(
+        *[F.count_if(F.col("outcome") == o).alias(o) for o in ("tp", "fp", "fn")]
+    )
 
 
 def threshold_sweep(
@@ -269,7 +270,7 @@ def low_overlap_matches(
         )
     )
     paired = (
-        others.join(heads, "canonical_id")
+        join_groups(others, heads, ["canonical_id"])
         .withColumn(
             "_b",
             F.when(F.col("_first.catalog_id") != F.col("other_id"), F.col("_first")).otherwise(

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import PLATFORMS
-from .stats import discount_pct, grouped_percentiles, rank_levels, value_counts
+from .stats import discount_pct, grouped_percentiles, join_groups, rank_levels, value_counts
 
 HISTOGRAM_BINS = 8
 TIER_PERCENTS = {"budget_threshold": 33.33, "premium_threshold": 66.67}
@@ -81,12 +81,9 @@ def brand_share(cube: DataFrame) -> DataFrame:
         F.sum("sku_count").alias("category_total"), F.count_if(has_brand()).alias("total_brands")
     )
     ranks = rank_levels(branded(cube), "category", "sku_count")
-    return (
-        branded(cube)
-        .select("category", "brand", "sku_count")
-        .join(ranks.join(totals, "category"), ["category", "sku_count"])
-        .withColumn("share_pct", F.col("sku_count") / F.col("category_total") * 100)
-    )
+    own = branded(cube).select("category", "brand", "sku_count")
+    ranked = join_groups(own, ranks.join(totals, "category"), ["category", "sku_count"])
+    return ranked.withColumn("share_pct", F.col("sku_count") / F.col("category_total") * 100)
 
 
 def competitors(cube: DataFrame, target: str | None = None) -> DataFrame:
@@ -110,7 +107,7 @@ def price_histogram(priced: DataFrame, bins: int = HISTOGRAM_BINS) -> DataFrame:
         width > 0, F.least(F.floor((F.col("price") - F.col("cat_min")) / width), F.lit(bins - 1))
     )
     return (
-        points.join(span, "category")
+        join_groups(points, span, ["category"])
         .withColumn("_bin", bin_no)
         .groupBy("category", "brand", "cat_min", "cat_max")
         .agg(
@@ -159,7 +156,7 @@ def mrp_tiers(priced: DataFrame) -> DataFrame:
         return F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0)).alias(name)
 
     return (
-        points.join(cuts, "category")
+        join_groups(points, cuts, ["category"])
         .groupBy("category", "brand", "budget_threshold", "premium_threshold")
         .agg(
             tier(mrp <= low, "budget"),
@@ -174,11 +171,10 @@ def avg_discount(cube: DataFrame) -> DataFrame:
     totals = category_totals(cube).select(
         "category", mean_or_zero("cat_sum_discount", "cat_n_discounted").alias("category_avg")
     )
-    return (
-        branded(cube)
-        .select("category", "brand", mean_or_zero("sum_discount", "n_discounted").alias("brand_avg"))
-        .join(totals, "category")
+    own = branded(cube).select(
+        "category", "brand", mean_or_zero("sum_discount", "n_discounted").alias("brand_avg")
     )
+    return join_groups(own, totals, ["category"])
 
 
 def platform_mix(cube: DataFrame) -> DataFrame:
@@ -306,7 +302,7 @@ def scorecard_by_category(cube: DataFrame) -> DataFrame:
         mean_or_zero("sum_price", "n_priced").alias("avg_price"),
         mean_or_zero("sum_discount", "n_discounted").alias("avg_discount_pct"),
     )
-    return brand_share(cube).join(own, ["category", "brand"]).join(totals, "category")
+    return join_groups(brand_share(cube).join(own, ["category", "brand"]), totals, ["category"])
 
 
 def distribution_gaps(
@@ -336,7 +332,9 @@ def distribution_gaps(
         .select("brand", "category", F.col("name").alias("product_name"), "platform",
                 F.col("id").alias("catalog_id"))
         .join(links.select("catalog_id").withColumn("_mapped", F.lit(True)), "catalog_id", "left")
-        .join(covered, ["brand", "category"], "left")
+    )
+    listing_side = (
+        join_groups(listing_side, covered, ["brand", "category"], "left")
         .where(F.col("_mapped").isNull() | F.col("_covered").isNull())
         .drop("_mapped", "_covered")
     )
@@ -373,17 +371,14 @@ def discount_battle(cube: DataFrame) -> DataFrame:
             "category_avg_discount"
         ),
     )
-    return (
-        branded(cube)
-        .select(
-            "category",
-            "brand",
-            mean_or_zero("sum_discount", "n_discounted").alias("avg_discount_pct"),
-            (F.col("n_discounted") / F.col("sku_count") * 100).alias("discounted_sku_pct"),
-            "sku_count",
-        )
-        .join(totals, "category")
+    own = branded(cube).select(
+        "category",
+        "brand",
+        mean_or_zero("sum_discount", "n_discounted").alias("avg_discount_pct"),
+        (F.col("n_discounted") / F.col("sku_count") * 100).alias("discounted_sku_pct"),
+        "sku_count",
     )
+    return join_groups(own, totals, ["category"])
 
 
 def platform_heatmap(cube: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..schemas import PLATFORMS
 from .brand import branded, category_totals, has_brand, mean_or_zero, platforms_present
-from .stats import top_n, value_counts
+from .stats import join_groups, top_n, value_counts
 
 BANDS = 10
 # Upper limits of the price bands and their labels.
@@ -26,20 +26,17 @@ def landscape(cube: DataFrame) -> DataFrame:
         F.coalesce("cat_min_price", F.lit(0.0)).alias("price_min"),
         F.coalesce("cat_max_price", F.lit(0.0)).alias("price_max"),
     )
-    return (
-        branded(cube)
-        .select(
-            "category",
-            "brand",
-            "sku_count",
-            mean_or_zero("sum_price", "n_priced").alias("avg_price"),
-            mean_or_zero("sum_discount", "n_discounted").alias("avg_discount_pct"),
-            platforms_present().alias("platforms"),
-            F.size(platforms_present()).alias("platform_count"),
-            F.greatest(F.sqrt("sku_count") * 5, F.lit(4.0)).alias("bubble_radius"),
-        )
-        .join(totals, "category")
+    own = branded(cube).select(
+        "category",
+        "brand",
+        "sku_count",
+        mean_or_zero("sum_price", "n_priced").alias("avg_price"),
+        mean_or_zero("sum_discount", "n_discounted").alias("avg_discount_pct"),
+        platforms_present().alias("platforms"),
+        F.size(platforms_present()).alias("platform_count"),
+        F.greatest(F.sqrt("sku_count") * 5, F.lit(4.0)).alias("bubble_radius"),
     )
+    return join_groups(own, totals, ["category"])
 
 
 def _band(price: Column, low: Column, width: Column, bands: int) -> Column:
@@ -70,7 +67,7 @@ def whitespace(priced: DataFrame, bands: int = BANDS) -> DataFrame:
         F.when(F.col("high") > F.col("low"), (F.col("high") - F.col("low")) / bands).otherwise(1.0),
     )
     per_brand = (
-        points.join(span, "category")
+        join_groups(points, span, ["category"])
         .withColumn("band", _band(F.col("price"), F.col("low"), F.col("width"), bands))
         .groupBy("category", "band", "brand")
         .agg(F.sum("n").alias("n"))

@@ -26,7 +26,7 @@ from ..schemas import (
 from ..session import cut_lineage
 from .catalog import unmapped_by_category, unmapped_listings
 from .similarity import SetScore, rarest_first, set_top_k
-from .stats import top_n
+from .stats import join_groups, top_n
 from .tables import insert_canonicals
 
 
@@ -56,7 +56,7 @@ def choose_anchor(listings: DataFrame, by: str = "preference") -> DataFrame:
     # Platforms are few, so the category level is settled on a tiny table.
     per_platform = listings.groupBy("category", "platform").agg(F.min("id").alias("id"))
     anchors = per_platform.groupBy("category").agg(F.min_by("platform", order).alias("anchor"))
-    return listings.join(anchors, "category").withColumn(
+    return join_groups(listings, anchors, ["category"]).withColumn(
         "is_anchor", F.col("platform") == F.col("anchor")
     )
 
@@ -302,7 +302,8 @@ def incremental_normalize(
     A second run over its own result finds nothing left to do.
     """
     due = unmapped_by_category(catalog, mappings, threshold).select("category")
-    in_scope = catalog.join(due, "category", "left_semi")
+    # Matching, guards and assignment all start from this part of the catalog.
+    in_scope = cut_lineage(catalog.join(due, "category", "left_semi"))
     matched = matches_for_assignment(match_products(in_scope, **match_options))
     return assign_canonicals(
         unmapped_listings(in_scope, mappings),

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import COSINE_FLOOR, TOP_K
-from .stats import top_n
+from .stats import join_groups, top_n
 
 BLOCK_ROWS = 1024
 HOT_FEATURE = 512
@@ -132,12 +132,15 @@ def cell_top_k(
     block meets each corpus block once.  Keys without a partner are dropped before
     anything is copied.  Candidates hold every query's top k over the key.
     """
-    sizes = _block_counts(queries, keys, "_qb", block_rows).join(
-        _block_counts(corpus, keys, "_cb", block_rows), keys
-    )
-    return _score_cells(
-        queries.join(sizes, keys), corpus.join(sizes, keys), keys, scorer, k, floor
-    )
+    q_blocks = _block_counts(queries, keys, "_qb", block_rows)
+    c_blocks = _block_counts(corpus, keys, "_cb", block_rows)
+    if keys:
+        sizes = q_blocks.join(c_blocks, keys)
+        q, c = join_groups(queries, sizes, keys), join_groups(corpus, sizes, keys)
+    else:
+        layout = {"_qb": q_blocks.scalar(), "_cb": c_blocks.scalar()}
+        q, c = queries.withColumns(layout), corpus.withColumns(layout)
+    return _score_cells(q, c, keys, scorer, k, floor)
 
 
 def _score_cells(

@@ -45,6 +45,24 @@ def top_n(df: DataFrame, group: list[str], order: list[Column], n: int, position
     return df.withColumn(position, F.row_number().over(w)).where(F.col(position) <= n)
 
 
+SALTS = 64
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join rows to a table with one row per group, with hot groups split.
+
+    A plain join would leave the rows partitioned by the group key, and Spark would
+    keep that layout for the aggregation that follows: all of a hot group in one
+    task.  So the rows carry a salt (a hash of the row, the same in every retry)
+    and the one-row groups are repeated per salt.
+    """
+    hashable = [c for c, kind in rows.dtypes if "map<" not in kind and "variant" not in kind]
+    salt = F.pmod(F.xxhash64(*hashable), F.lit(SALTS)).cast("int")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    salted = rows.withColumn("_salt", salt)
+    return salted.join(groups.withColumn("_salt", salts), [*keys, "_salt"], how).drop("_salt")
+
+
 def value_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Distinct non-null values with their multiplicity ``n``."""
     return df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
@@ -66,7 +84,7 @@ def grouped_percentiles(
     slice_no = F.when(
         width > 0, F.least(F.floor((F.col(value) - F.col("_lo")) / width), F.lit(buckets - 1))
     ).otherwise(F.lit(0))
-    sliced = points.join(span, group).withColumn("_slice", slice_no.cast("int"))
+    sliced = join_groups(points, span, [group]).withColumn("_slice", slice_no.cast("int"))
 
     before = (
         Window.partitionBy(group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)

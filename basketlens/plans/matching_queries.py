@@ -100,9 +100,8 @@ def _(t: RetailTables) -> DataFrame:
 
 def _vectors(t: RetailTables) -> tuple[DataFrame, DataFrame]:
     rows = t.raw("embeddings").select(
-        F.col("vec_id").alias("id"), F.lit("all").alias("category"), F.col("embedding").alias("vec"),
-        "label",
-    )
+        F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), "label"
+    )
     is_anchor = F.col("id") % 3 == 0
     return rows.where(~is_anchor), rows.where(is_anchor)
 
@@ -125,19 +124,19 @@ _TOP = f"""
 )
 def _(t: RetailTables) -> DataFrame:
     q, c = _vectors(t)
-    return rounded(S.cosine_pairs(q, c, ["category"], floor=0.25), "score")
+    return rounded(S.cosine_pairs(q, c, [], floor=0.25), "score")
 
 
 @query("topk_candidates", f"SELECT query_id, corpus_id, round(score, 6) AS score, rank FROM ({_TOP})")
 def _(t: RetailTables) -> DataFrame:
     q, c = _vectors(t)
-    return rounded(S.cosine_pairs(q, c, ["category"], floor=0.1, k=5), "score")
+    return rounded(S.cosine_pairs(q, c, [], floor=0.1, k=5), "score")
 
 
 @query("topk_candidates_lsh")
 def _(t: RetailTables) -> DataFrame:
     q, c = _vectors(t)
-    found = S.approximate_top_k(q, c, ["category"], dim=64, floor=0.1, k=5)
+    found = S.approximate_top_k(q, c, [], dim=64, floor=0.1, k=5)
     return rounded(found, "score")
 
 
@@ -451,7 +450,7 @@ def _sweep(t: RetailTables) -> DataFrame:
     q, c = _vectors(t)
     first = c.groupBy("label").agg(F.min("id").alias("corpus_id"))
     truth = q.select(F.col("id").alias("query_id"), "label").join(first, "label")
-    scored = S.cosine_pairs(q, c, ["category"], floor=0.1, k=5)
+    scored = S.cosine_pairs(q, c, [], floor=0.1, k=5)
     return A.threshold_sweep(scored, truth, _SWEEP_AT)
 
 
