@@ -287,6 +287,21 @@ def matches_for_assignment(matched: DataFrame) -> DataFrame:
     )
 
 
+def acceptable_matches(
+    listings: DataFrame, threshold: float = MATCH_THRESHOLD, **match_options
+) -> DataFrame:
+    """Matches that assignment can accept, searched with its threshold as the floor.
+
+    What scores lower is never assigned, and a high floor keeps prefixes short:
+    at 0.8 a third of a text's features, its rarest ones, take part in the search.
+    A reranker may lift a weak candidate, so with one the usual floor stays.
+    """
+    if "scorer" not in match_options:
+        # Scores are rounded to four decimals before they meet the threshold.
+        match_options.setdefault("floor", threshold - 1e-4)
+    return matches_for_assignment(match_products(listings, **match_options))
+
+
 def incremental_normalize(
     catalog: DataFrame,
     mappings: DataFrame,
@@ -304,7 +319,7 @@ def incremental_normalize(
     due = unmapped_by_category(catalog, mappings, threshold).select("category")
     # Matching, guards and assignment all start from this part of the catalog.
     in_scope = cut_lineage(catalog.join(due, "category", "left_semi"))
-    matched = matches_for_assignment(match_products(in_scope, **match_options))
+    matched = acceptable_matches(in_scope, **match_options)
     return assign_canonicals(
         unmapped_listings(in_scope, mappings),
         matched,

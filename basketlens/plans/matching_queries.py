@@ -198,7 +198,7 @@ def _(t: RetailTables) -> DataFrame:
 
 
 def _matches(t: RetailTables) -> DataFrame:
-    return M.matches_for_assignment(M.match_products(t.catalog))
+    return M.acceptable_matches(t.catalog)
 
 
 @query("best_match", "SELECT query_id, corpus_id, score FROM best")
