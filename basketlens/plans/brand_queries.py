@@ -437,6 +437,94 @@ def _(t: RetailTables) -> DataFrame:
     return rows.select("brand", "category", "catalog_id", "total_units", "pincode_count")
 
 
-@query("report_text")
+_MONEY = "': ₹' || CAST(price AS VARCHAR) || ' (MRP ₹' || coalesce(CAST(mrp AS VARCHAR), 'None') || ')'"
+
+
+def _section(number: int, headers: list[str], source: str, line: str, order1: str, order2: str) -> str:
+    """SQL for a list section: its header lines where it has rows, then the rows."""
+    heads = " ".join(
+        f"""UNION ALL SELECT DISTINCT brand, category, {number}, {i}, 0.0::DOUBLE, '', {text} FROM {source}"""
+        for i, text in enumerate(headers)
+    )
+    return f"""{heads} UNION ALL
+      SELECT brand, category, {number}, {len(headers)}, CAST({order1} AS DOUBLE), {order2}, {line}
+      FROM {source}"""
+
+
+_REPORT_SQL = f"""
+  WITH asked AS (SELECT DISTINCT brand, category FROM canonicals WHERE brand IS NOT NULL),
+  facts AS (
+    SELECT a.brand, a.category, count(c.id) AS own, any_value(t.n) AS total, any_value(t.b) AS brands,
+           coalesce(string_agg(DISTINCT c.platform, ', ' ORDER BY c.platform), '') AS platforms,
+           coalesce(any_value((SELECT string_agg(brand, ', ' ORDER BY brand) FROM (
+             SELECT DISTINCT x.brand FROM catalog x WHERE x.category = a.category AND x.brand <> a.brand
+             ORDER BY x.brand LIMIT 15))), '') AS others
+    FROM asked a
+    LEFT JOIN catalog c ON c.brand = a.brand AND c.category = a.category
+    LEFT JOIN (SELECT category, count(*) AS n, count(DISTINCT brand) AS b FROM catalog GROUP BY category) t
+      ON t.category = a.category
+    GROUP BY a.brand, a.category),
+  own_prices AS (
+    SELECT a.brand, a.category, c.id, c.name, c.platform, l.price, l.mrp, l.in_stock
+    FROM asked a JOIN catalog c ON c.brand = a.brand AND c.category = a.category
+    JOIN latest l ON l.catalog_id = c.id),
+  rivals AS (
+    SELECT k.*, l.price, l.mrp FROM (
+      SELECT a.brand, a.category, c.id, c.name, c.platform, c.brand AS rival
+      FROM asked a JOIN catalog c ON c.category = a.category AND c.brand IS DISTINCT FROM a.brand
+      QUALIFY row_number() OVER (PARTITION BY a.brand, a.category ORDER BY c.id) <= 50) k
+    JOIN latest l ON l.catalog_id = k.id),
+  spread AS (
+    SELECT a.brand, a.category, p.id, p.canonical_name,
+           string_agg(m.platform, ', ' ORDER BY m.platform) AS platforms
+    FROM asked a JOIN canonicals p ON p.brand = a.brand JOIN cluster m ON m.canonical_id = p.id
+    GROUP BY a.brand, a.category, p.id, p.canonical_name),
+  sold AS (SELECT v.* FROM velocity v JOIN asked a ON a.brand = v.brand AND a.category = v.category),
+  best_sold AS (
+    SELECT a.brand, a.category, v.* EXCLUDE (brand, category) FROM asked a JOIN (
+      SELECT brand AS seller, category, brand, name, platform, total_units,
+             row_number() OVER (PARTITION BY category ORDER BY total_units DESC, catalog_id) AS position
+      FROM velocity QUALIFY position <= 20) v ON v.category = a.category)
+  SELECT brand, category, CAST(section AS INTEGER) AS section, CAST(part AS INTEGER) AS part,
+         order1, order2, line
+  FROM (
+    SELECT brand, category, 0 AS section, part, 0.0::DOUBLE AS order1, '' AS order2, line FROM (
+      SELECT brand, category, unnest([0, 1, 2, 3, 4]) AS part, unnest([
+        CASE WHEN own = 0 THEN 'Analyze market entry opportunities for **' || brand || '** in the **'
+               || category || '** category on Blinkit, Zepto, and Swiggy Instamart.' || chr(10) || '**' || brand
+               || '** has NO current listings in this category. '
+               || 'Use the competitor data below to identify gaps and opportunities.'
+             ELSE 'Generate a market intelligence report for **' || brand || '** in the **' || category
+               || '** category.' END,
+        chr(10) || '### Category Overview',
+        '- Total products in category: ' || total,
+        '- Active brands: ' || brands,
+        '- Competitor brands: ' || others]) AS line FROM facts)
+    UNION ALL
+    SELECT brand, category, 1, part, 0.0::DOUBLE, '', line FROM (
+      SELECT brand, category, unnest([0, 1, 2]) AS part, unnest([
+        chr(10) || '### ' || brand || ' Presence', '- Products listed: ' || own,
+        '- Platforms present: ' || platforms]) AS line FROM facts WHERE own > 0)
+    {_section(2, ["chr(10) || '### ' || brand || ' Product Prices'"], "own_prices",
+              f"'- ' || name || ' (' || platform || ')' || {_MONEY} || CASE WHEN in_stock THEN ' [In Stock]' ELSE ' [OOS]' END",
+              "id", "''")}
+    {_section(3, ["chr(10) || '### Competitor Products & Prices (full sample)'"], "rivals",
+              f"'- ' || name || ' by ' || coalesce(rival, 'None') || ' (' || platform || ')' || {_MONEY}",
+              "id", "''")}
+    {_section(4, ["chr(10) || '### ' || brand || ' Cross-Platform Availability'"], "spread",
+              "'- ' || canonical_name || ': ' || platforms", "id", "''")}
+    {_section(5, ["chr(10) || '### ' || brand || ' Sales Velocity (Blinkit inventory delta)'",
+                  "'*" + R.SALES_NOTE + "*'"], "sold",
+              "'- ' || name || ' (' || platform || '): ' || total_units || ' units sold (avg ' "
+              "|| CAST(round(avg_per_pincode, 1) AS VARCHAR) || '/pincode across ' || pincode_count "
+              "|| ' pincodes, ' || restocks || ' restocks)'",
+              "-total_units", "lpad(CAST(catalog_id AS VARCHAR), 20, '0')")}
+    {_section(6, ["chr(10) || '### Category Top Sellers (' || category || ')'"], "best_sold",
+              "'- ' || name || ' by ' || coalesce(seller, 'None') || ' (' || platform || '): ' "
+              "|| total_units || ' units'", "position", "''")}
+  )"""
+
+
+@query("report_text", f"SELECT * FROM ({_REPORT_SQL})")
 def _(t: RetailTables) -> DataFrame:
     return R.report_lines(_report(t))
