@@ -415,3 +415,15 @@ def test_products_page_keyset_equals_offset(spark, rows):
     assert total.first()["total"] == t.catalog.agg(F.count(F.lit(1))).first()[0]
     with pytest.raises(ValueError):
         products_page(t.catalog, t.obs, page=1, per_page=101)
+
+
+def test_task_functions_need_no_package_on_the_executors(tmp_path):
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    code = "import sys, pickle; pickle.loads(sys.stdin.buffer.read())"
+    for scorer in (sim.dense_cosine, sim.SetScore(0.7, 0.3).block, sim.hybrid(0.7, 0.3)):
+        task = cloudpickle.dumps(sim._cell_top_k(scorer, 3, 0.4))
+        subprocess.run([sys.executable, "-c", code], input=task, cwd=tmp_path, check=True)
