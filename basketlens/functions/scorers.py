@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import _col, tokens
+from .text import tokens
 
 
 def batch_scorer(fn: Callable, return_type: str) -> Callable[..., Column]:

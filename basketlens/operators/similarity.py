@@ -206,7 +206,7 @@ def cosine_pairs(
     return pairs if k is None else best_k(pairs, k)
 
 
-def lsh_keys(rows: DataFrame, keys: list[str], dim: int, tables: int, bits: int, seed: int = 7):
+def lsh_keys(rows: DataFrame, dim: int, tables: int, bits: int, seed: int = 7) -> DataFrame:
     """Sign-of-random-projection bucket per table, as an extra key column."""
     planes = np.random.default_rng(seed).normal(size=(tables * bits, dim))
 
@@ -235,7 +235,7 @@ def approximate_top_k(
 ) -> DataFrame:
     """Top k by hyperplane hashing: scores are exact, recall is below 1."""
     band = [*keys, "lsh_table", "lsh_bucket"]
-    q, c = (lsh_keys(side, keys, dim, tables, bits) for side in (queries, corpus))
+    q, c = (lsh_keys(side, dim, tables, bits) for side in (queries, corpus))
     return best_k(cell_top_k(q, c, band, dense_cosine, k=k, floor=floor), k)
 
 

@@ -11,10 +11,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def platform_flag(platform: str) -> Column:
-    return F.col("platform") == platform
-
-
 def discount_pct(price="price", mrp="mrp") -> Column:
     """Discount in percent, null unless mrp > 0 and the discount is positive."""
     pct = (F.col(mrp) - F.col(price)) / F.nullif(F.col(mrp), F.lit(0.0)) * 100
