@@ -11,7 +11,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def sample_by_label(
-    labelled: DataFrame, id_col: str, text_col: str, label_col: str, rows: int
+    labelled: DataFrame, id_col: str, text_col: str, label_col: str, rows: int, more: list[str] = []
 ) -> DataFrame:
     """About ``rows`` rows of each label, chosen by the hash of the id."""
     usable = labelled.where(
@@ -23,7 +23,7 @@ def sample_by_label(
     for label, part in share.items():
         wanted = wanted | ((F.col(label_col) == label) & (spot < int(min(part, 1.0) * (1 << 30))))
     return usable.where(wanted).select(
-        F.col(text_col).alias("text"), F.col(label_col).cast("string").alias("label")
+        F.col(text_col).alias("text"), F.col(label_col).cast("string").alias("label"), *more
     )
 
 

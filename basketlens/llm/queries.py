@@ -8,11 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, pii, vectors
+from ..session import cut_lineage, shared_dir
+from . import bpe, chat, decontaminate, language_id, ngram_join, pii, quality, vectors, warc
 from .common import is_held_out, table
 
 #: A deployment takes the key from its secret store.
 PII_KEY = b"basketlens demonstration key"
+QUALITY_FLOOR = 0.3
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,6 +38,45 @@ def op3_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "text", F.size("spans").alias("n_replaced"), "spans")
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every document under Jaccard links of 0.9 on three-word shingles."""
+    return ngram_join.join(table(spark, sf_dir, "documents"), words=3, percent=90)
+
+
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words and benchmark items hit in every document."""
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return decontaminate.report(docs, items)
+
+
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, and one made of control strings, formatted and read back."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    made = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], rows.schema)
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    formatted = chat.format_conversations(rows.unionByName(made), path, pattern)
+    return chat.digests(formatted, path, pattern)
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learned from the labels that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    held = is_held_out(F.col("doc_id"), 5, 0)
+    model = quality.train(docs, table(spark, sf_dir, "labels").where(~held))
+    rows = docs.select("doc_id", held.alias("held_out"), "text")
+    found = quality.score(rows, model, F.col("text"), "score").drop("text")
+    return found.withColumn("predicted", (F.col("score") >= QUALITY_FLOOR).cast("int"))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to archives, and its record as read back from them."""
+    folder = shared_dir(spark, "warc")
+    manifest = cut_lineage(warc.write(table(spark, sf_dir, "pages"), folder))
+    archives = manifest.repartition(max(1, manifest.count()), "path")
+    return warc.read(archives).drop("url", "payload")
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Number and digest of every document's token ids, and digest of what they decode to."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -46,6 +87,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_permutation_index": op2_permutation_index,
     "op3_pseudonyms": op3_pseudonyms,
+    "op5_ngram_join": op5_ngram_join,
+    "op6_decontaminate": op6_decontaminate,
+    "op7_chat_format": op7_chat_format,
+    "op8_quality": op8_quality,
+    "op9_warc": op9_warc,
     "op10_byte_bpe": op10_byte_bpe,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op6_decontaminate": decontaminate.ORACLE}
