@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..session import cut_lineage
 from .graph import components
@@ -359,3 +360,26 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
         F.col("n").alias("n_shingles"),
         F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
     )
+
+
+def representatives(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """Of each group of linked documents the one with the smallest id, with all columns.
+
+    Rows without an id and documents without words are kept; of rows that share an id one is
+    kept, the one with the longest text (ties: the first in order).
+    """
+    joined = join(docs.select("doc_id", "text"), words, percent).where("doc_id IS NOT NULL")
+    kept = (
+        joined.groupBy(F.col("doc_id").alias("_id"))
+        .agg(F.min("component_id").alias("_component"))
+        .where("_id = _component")
+        .select("_id")
+    )
+    first = Window.partitionBy("doc_id").orderBy(F.length("text").desc_nulls_last(), "text")
+    named = (
+        docs.join(kept, F.col("doc_id") == F.col("_id"), "left_semi")
+        .withColumn("_row", F.row_number().over(first))
+        .where("_row = 1")
+        .drop("_row")
+    )
+    return named.unionByName(docs.where("doc_id IS NULL"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, shared_dir
-from . import bpe, chat, decontaminate, language_id, ngram_join, pii, quality, vectors, warc
+from . import bpe, chat, decontaminate, language_id, ngram_join, passages, pii, quality, vectors, warc
 from .common import is_held_out, table
 
 #: A deployment takes the key from its secret store.
@@ -38,6 +38,11 @@ def op3_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "text", F.size("spans").alias("n_replaced"), "spans")
 
 
+def op4_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words and more that repeat an earlier document's."""
+    return passages.find(table(spark, sf_dir, "documents"))
+
+
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Component of every document under Jaccard links of 0.9 on three-word shingles."""
     return ngram_join.join(table(spark, sf_dir, "documents"), words=3, percent=90)
@@ -87,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_permutation_index": op2_permutation_index,
     "op3_pseudonyms": op3_pseudonyms,
+    "op4_compact_windows": op4_compact_windows,
     "op5_ngram_join": op5_ngram_join,
     "op6_decontaminate": op6_decontaminate,
     "op7_chat_format": op7_chat_format,
