@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 NEVER = 1 << 30
 #: Entries a worker remembers before it forgets all; the results do not depend on it.
-PIECES_KEPT = 400_000
+PIECES_KEPT = 1_000_000
 PAIRS_KEPT = 2_000_000
 
 
@@ -211,8 +211,6 @@ class Vocabulary:
         They are taken in byte order: neighbours then share a prefix, and its entries of the
         table stay as they are.
         """
-        if len(self.pieces) + len(pieces) > PIECES_KEPT:
-            self.pieces.clear()
         tokens, known, last, previous = self.tokens, self.pieces, [], b""
         for data, piece in sorted((p.encode("utf-8", "surrogatepass"), p) for p in pieces):
             shared, most = 0, min(len(data), len(previous))
@@ -235,7 +233,10 @@ class Vocabulary:
             plain = ascii_pattern(self.pattern)
             self.find_ascii = re.compile(plain).findall if plain else self.find
         cut = [self.find_ascii(t) if t.isascii() else self.find(t) for t in texts]
-        self.learn(set().union(*cut).difference(self.pieces))
+        needed = set().union(*cut)
+        if len(self.pieces) + len(needed) > PIECES_KEPT:
+            self.pieces.clear()
+        self.learn(needed.difference(self.pieces))
         known = self.pieces.__getitem__
         return [list(chain.from_iterable(map(known, pieces))) for pieces in cut]
 
