@@ -30,7 +30,7 @@ TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 MARKS = (TURN, TEXT, END)
 LEARNED = ("assistant",)
 #: A control string after its first character, with the backslashes that escape it.
-_REST = r"(?=\|[A-Za-z0-9_]+\|>|/?s>|/?INST\]|</?SYS>>|/?SYS>>)"
+_REST = r"(?=\|[A-Za-z0-9_]+\|>|/?s>|/?INST\]|/?SYS>>)"
 PLAIN = re.compile(r"([<\[])(\\*)" + _REST)
 ESCAPED = re.compile(r"([<\[])\\(\\*)" + _REST)
 

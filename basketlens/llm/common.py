@@ -10,8 +10,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one, so that no name can clash with an operator's own."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
+
+
+def unpacked(df: DataFrame, names: list[str], **new: Column) -> DataFrame:
+    """The columns ``names`` of ``row``, some replaced or added by ``new``."""
+    row = F.col("row")
+    kept = [new.get(c, row.getField(c)).alias(c) for c in names]
+    return df.select(*kept, *[col.alias(c) for c, col in new.items() if c not in names])
+
+
 def sample_by_label(
-    labelled: DataFrame, id_col: str, text_col: str, label_col: str, rows: int, more: list[str] = []
+    labelled: DataFrame, id_col: str, text_col: str, label_col: str, rows: int, more: tuple[str, ...] = ()
 ) -> DataFrame:
     """About ``rows`` rows of each label, chosen by the hash of the id."""
     usable = labelled.where(

@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import unpacked, whole_row
+
 #: A word of the original text, and the characters between words.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WORD_WITH_GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*" + WORD
@@ -118,23 +120,22 @@ def hits(
 
 
 def with_hits(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
-    """All columns of ``docs`` plus ``_covered`` and ``_items`` (null without hits)."""
-    found = hits(docs, benchmark, n).select(
-        F.col("doc_id").alias("_id"), "_text", F.col("covered").alias("_covered"), F.col("items").alias("_items")
+    """Every row of ``docs`` as ``row``, with covered and items (null without hits)."""
+    found = hits(docs, benchmark, n)
+    rows = docs.select(whole_row(docs))
+    same = F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & (
+        text_key(F.col("row.text")) == F.col("_text")
     )
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (text_key(F.col("text")) == F.col("_text"))
-    kept = [F.col(f"`{c}`") for c in docs.columns]
-    return docs.join(found, same, "left").select(*kept, "_covered", "_items")
+    return rows.join(found, same, "left").select("row", "covered", "items")
 
 
 def report(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
     """Per document: words, words hit, items with occurring windows."""
-    small = docs.select("doc_id", "text")
-    counted = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    n_hit = F.greatest(F.size("_covered"), F.lit(0)).cast("long")
-    items = F.coalesce("_items", F.array().cast("array<string>"))
-    return with_hits(small, benchmark, n).select(
-        "doc_id",
+    counted = F.coalesce(F.regexp_count("row.text", F.lit(WORD)), F.lit(0)).cast("long")
+    n_hit = F.when(F.col("covered").isNull(), F.lit(0)).otherwise(F.size("covered")).cast("long")
+    items = F.coalesce("items", F.array().cast("array<string>"))
+    return with_hits(docs.select("doc_id", "text"), benchmark, n).select(
+        "row.doc_id",
         counted.alias("n_words"),
         n_hit.alias("n_hit"),
         F.size(items).cast("long").alias("n_items"),
@@ -145,21 +146,16 @@ def report(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
     """Only the documents without hit."""
-    return with_hits(docs, benchmark, n).where(F.col("_covered").isNull()).drop("_covered", "_items")
+    return unpacked(with_hits(docs, benchmark, n).where(F.col("covered").isNull()), docs.columns)
 
 
 def cut_spans(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
     """All documents, without the words hit and the gap before each of them."""
-    pieces = F.regexp_extract_all("text", F.lit(WORD_WITH_GAP), F.lit(0))
-    kept = F.filter(pieces, lambda p, i: ~F.array_contains("_covered", i + 1))
-    cut = F.concat(F.array_join(kept, ""), F.regexp_extract("text", GAP_AT_END, 0))
-    columns = [
-        F.when(F.col("_covered").isNull(), F.col("text")).otherwise(cut).alias("text")
-        if c == "text"
-        else F.col(f"`{c}`")
-        for c in docs.columns
-    ]
-    return with_hits(docs, benchmark, n).select(*columns)
+    pieces = F.regexp_extract_all("row.text", F.lit(WORD_WITH_GAP), F.lit(0))
+    kept = F.filter(pieces, lambda p, i: ~F.array_contains("covered", i + 1))
+    cut = F.concat(F.array_join(kept, ""), F.regexp_extract("row.text", GAP_AT_END, 0))
+    text = F.when(F.col("covered").isNull(), F.col("row.text")).otherwise(cut)
+    return unpacked(with_hits(docs, benchmark, n), docs.columns, text=text)
 
 
 ORACLE = """

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import sample_by_label
+from .common import sample_by_label, unpacked, whole_row
 
 UNDETERMINED = "und"
 #: Letters of any script, in runs; the same class in Spark's and Python's notation.
@@ -172,7 +172,7 @@ def predict(docs: DataFrame, model: Model, text: Column, lang_out: str, score_ou
             ["lang", "score"],
         )
 
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in (lang_out, score_out)]
-    return docs.select(*kept, guess(text).alias("_guess")).select(
-        *kept, F.col("_guess.lang").alias(lang_out), F.col("_guess.score").alias(score_out)
-    )
+    kept = [c for c in docs.columns if c not in (lang_out, score_out)]
+    found = docs.select(whole_row(docs), guess(text).alias("guess"))
+    new = {lang_out: F.col("guess.lang"), score_out: F.col("guess.score")}
+    return unpacked(found, kept, **new)

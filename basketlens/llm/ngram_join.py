@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import cut_lineage
+from .common import unpacked, whole_row
 from .graph import components
 from .shingles import STEP, WordHashes, mixed, rolled, stepped
 
@@ -375,11 +376,11 @@ def representatives(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
         .where("_id = _component")
         .select("_id")
     )
-    first = Window.partitionBy("doc_id").orderBy(F.length("text").desc_nulls_last(), "text")
+    rows = docs.select(whole_row(docs), F.col("doc_id").cast("long").alias("_id"))
+    first = Window.partitionBy("_id").orderBy(F.length("row.text").desc_nulls_last(), "row.text")
     named = (
-        docs.join(kept, F.col("doc_id") == F.col("_id"), "left_semi")
-        .withColumn("_row", F.row_number().over(first))
-        .where("_row = 1")
-        .drop("_row")
+        rows.join(kept, "_id", "left_semi")
+        .withColumn("n", F.row_number().over(first))
+        .where("n = 1")
     )
-    return named.unionByName(docs.where("doc_id IS NULL"))
+    return unpacked(named.unionByName(rows.where("_id IS NULL").withColumn("n", F.lit(1))), docs.columns)

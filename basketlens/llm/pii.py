@@ -40,6 +40,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import unpacked, whole_row
+
 ROUNDS = 8
 FIRST_DAY = datetime.date(1900, 1, 1).toordinal()
 DAYS = datetime.date(2100, 1, 1).toordinal() - FIRST_DAY
@@ -288,14 +290,11 @@ def pseudonymize(
             [pa.array(out, pa.string()), pa.array(spans, kind[1].type)], fields=list(kind)
         )
 
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in (text_col, spans_col)]
-    found = docs.select(*kept, replace(F.col(f"`{text_col}`")).alias("_new"))
-    order = [
-        F.col("_new.text").alias(text_col) if c == text_col else F.col(f"`{c}`")
-        for c in docs.columns
-        if c != spans_col
-    ]
-    return found.select(*order, *([F.col("_new.spans").alias(spans_col)] if spans_col else []))
+    found = docs.select(whole_row(docs), replace(F.col(f"`{text_col}`")).alias("new"))
+    new = {text_col: F.col("new.text")}
+    if spans_col:
+        new[spans_col] = F.col("new.spans")
+    return unpacked(found, docs.columns, **new)
 
 
 def restore(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFrame:

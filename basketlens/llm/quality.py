@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import sample_by_label
+from .common import sample_by_label, unpacked, whole_row
 
 #: Labelled rows per label, hashed terms and latent dimensions: they bound model and broadcast.
 SAMPLE_ROWS, TERMS, LATENT = 1_500, 4_096, 48
@@ -107,7 +107,7 @@ def train(
     counted = {r["label"]: r["count"] for r in usable.groupBy("label").count().collect()}
     share = counted.get(1, 0) / sum(counted.values()) if counted else None
     chosen = sample_by_label(
-        usable.withColumn("text", F.lit("")), "id", "text", "label", rows_per_label, ["id"]
+        usable.withColumn("text", F.lit("")), "id", "text", "label", rows_per_label, ("id",)
     ).drop("text")
     rows = (
         texts.join(F.broadcast(chosen), "id")
@@ -131,5 +131,6 @@ def score(docs: DataFrame, model: Model, text: Column, score_out: str) -> DataFr
     def scored(texts: pa.Array) -> pa.Array:
         return pa.array(np.concatenate([np.empty(0), *runs(texts)]), pa.float64())
 
-    kept = [F.col(f"`{c}`") for c in docs.columns if c != score_out]
-    return docs.select(*kept, scored(text).alias(score_out))
+    kept = [c for c in docs.columns if c != score_out]
+    found = docs.select(whole_row(docs), scored(text).alias("scored"))
+    return unpacked(found, kept, **{score_out: F.col("scored")})
