@@ -10,4 +10,4 @@ from .text import (  # noqa: F401
     truthy_num,
 )
 from .register import register_functions  # noqa: F401
-from .scorers import batch_scorer, text_features, weight_vector  # noqa: F401
+from .scorers import batch_scorer, hashed_counts, text_features, weight_vector  # noqa: F401

@@ -30,6 +30,18 @@ def text_features(text, ngram: int = 0) -> Column:
     return F.array_distinct(F.concat(words, grams))
 
 
+def hashed_counts(text, dim: int = 64) -> Column:
+    """Words of a text counted in ``dim`` hashed columns; a vector without a model."""
+    bucket = F.transform(
+        F.split(F.lower(text), " "),
+        lambda w: F.conv(F.substring(F.md5(w), 1, 6), 16, 10).cast("long") % dim,
+    )
+    return F.transform(
+        F.sequence(F.lit(0), F.lit(dim - 1)),
+        lambda j: F.size(F.filter(bucket, lambda b: b == j)).cast("double"),
+    )
+
+
 def weight_vector(text) -> Column:
     """Sparse lexical weights token -> 1/sqrt(#tokens) (unit length), as a map."""
     words = tokens(text)

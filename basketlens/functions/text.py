@@ -76,7 +76,13 @@ def normalize_unit(unit) -> Column:
 
     def written(size: Column) -> Column:
         amount, whole = size["amount"], size["amount"].cast("bigint")
-        number = F.when(amount == whole, whole.cast("string")).otherwise(amount.cast("string"))
+        # Plain notation for any size; Spark writes large doubles with an exponent.
+        plain = F.regexp_replace(amount.cast("decimal(38,10)").cast("string"), r"\.?0+$", "")
+        number = (
+            F.when(amount == whole, whole.cast("string"))
+            .when((amount >= 1e-3) & (amount < 1e7), amount.cast("string"))
+            .otherwise(plain)
+        )
         thousands = size["spec"]["large"].isNotNull() & (amount >= 1000) & (amount % 1000 == 0)
         return F.when(
             thousands, F.concat((amount / 1000).cast("bigint").cast("string"), size["spec"]["large"])

@@ -106,8 +106,11 @@ def price_histogram(priced: DataFrame, bins: int = HISTOGRAM_BINS) -> DataFrame:
     bin_no = F.when(
         width > 0, F.least(F.floor((F.col("price") - F.col("cat_min")) / width), F.lit(bins - 1))
     )
+    brands = priced.where(F.col("price").isNull()).select("category", "brand").distinct()
+    listed = brands.join(span.where(F.col("cat_min").isNotNull()).select("category"), "category", "left_semi")
+    unpriced = listed.withColumns({"price": F.lit(None).cast("double"), "n": F.lit(0).cast("bigint")})
     return (
-        join_groups(points, span, ["category"])
+        join_groups(points.select("category", "brand", "price", "n").unionByName(unpriced), span, ["category"])
         .withColumn("_bin", bin_no)
         .groupBy("category", "brand", "cat_min", "cat_max")
         .agg(
@@ -155,8 +158,11 @@ def mrp_tiers(priced: DataFrame) -> DataFrame:
     def tier(cond: Column, name: str) -> Column:
         return F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0)).alias(name)
 
+    brands = priced.where(F.col("mrp").isNull()).select("category", "brand").distinct()
+    listed = brands.join(cuts.select("category"), "category", "left_semi")
+    unknown = listed.withColumns({"mrp": F.lit(None).cast("double"), "n": F.lit(0).cast("bigint")})
     return (
-        join_groups(points, cuts, ["category"])
+        join_groups(points.select("category", "brand", "mrp", "n").unionByName(unknown), cuts, ["category"])
         .groupBy("category", "brand", "budget_threshold", "premium_threshold")
         .agg(
             tier(mrp <= low, "budget"),

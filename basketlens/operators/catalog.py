@@ -68,15 +68,24 @@ def _latest(obs: DataFrame, keys: list[str]) -> DataFrame:
     return obs.groupBy(*keys).agg(newest).select(*keys, "_row.*").select(*obs.columns)
 
 
+def reading_order(time: str = "observed_at", id_col: str = "id"):
+    """Time, then id, as one number: a decimal stays in a hash aggregate's buffer."""
+    micros = F.unix_micros(F.col(time).cast("timestamp")).cast("decimal(18,0)")
+    shift = F.lit(str(1 << 64)).cast("decimal(20,0)")
+    return (micros * shift + F.col(id_col).cast("decimal(20,0)")).cast("decimal(38,0)")
+
+
 def latest_by_id(obs: DataFrame, columns: tuple[str, ...] = LATEST_COLUMNS) -> DataFrame:
-    """Values of the reading with the highest id per listing, over all pincodes.
+    """Values of the latest reading (by time, then id) per listing, over all pincodes.
 
     One ``max_by`` per fixed-width column instead of one over a struct: the
     buffers stay primitive, so Spark uses a hash aggregate with map-side combine
     where a struct would force a sort.
     """
-    return obs.groupBy("catalog_id").agg(
-        F.max("id").alias("obs_id"), *[F.max_by(c, "id").alias(c) for c in columns]
+    rows = obs.withColumn("_order", reading_order())
+    return rows.groupBy("catalog_id").agg(
+        F.max_by("id", "_order").alias("obs_id"),
+        *[F.max_by(c, "_order").alias(c) for c in columns],
     )
 
 
@@ -89,7 +98,7 @@ def latest_positive_mrp(obs: DataFrame) -> DataFrame:
     return (
         obs.where(F.col("mrp") > 0)
         .groupBy("catalog_id")
-        .agg(F.max_by("mrp", F.struct("observed_at", "id")).alias("mrp"))
+        .agg(F.max_by("mrp", reading_order()).alias("mrp"))
     )
 
 

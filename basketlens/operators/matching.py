@@ -5,7 +5,7 @@ Every step runs for all categories at once; the category is a join key.
 
 from __future__ import annotations
 
-import time
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -25,7 +25,7 @@ from ..schemas import (
 )
 from ..session import cut_lineage
 from .catalog import unmapped_by_category, unmapped_listings
-from .similarity import SetScore, rarest_first, set_top_k
+from .similarity import SetScore, cosine_pairs, rarest_first, set_top_k
 from .stats import join_groups, top_n
 from .tables import insert_canonicals
 
@@ -89,16 +89,23 @@ def match_products(
     use_lexical: bool = False,
     anchor_by: str = "preference",
     anchored: bool = False,
+    encoder: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
     """Top-k anchor candidates of every non-anchor listing, all categories at once.
 
     Listings with the same text are matched once.  Of an anchor text only the k
     lowest listing ids can be among anybody's top k (ties go to the lower id), so
     copies are expanded to k at most and no result changes.
+
+    ``encoder`` (a built-in expression or a ``batch_scorer`` model: text -> vector) puts
+    the cosine of vectors in place of that of token sets.
     """
     marked = listings if anchored else choose_anchor(listings, anchor_by)
     rows = listing_texts(marked).select("category", "id", "is_anchor", "text")
 
+    if encoder is not None:
+        return _match_vectors(rows, encoder, k, floor, scorer)
+
     # One document per distinct text and side; its id is the lowest listing id.
     documents = rows.groupBy("category", "is_anchor", "text").agg(F.min("id").alias("id"))
     ranked = rarest_first(
@@ -147,23 +154,28 @@ def match_products(
     return scored.withColumn("dense_score", F.round("dense_score", 4))
 
 
-def compare_matchers(listings: DataFrame, combos: dict[str, dict]) -> DataFrame:
-    """Run several matcher settings; pairs, time and error of each.
-
-    Each combination is one Spark job over all categories and only its count
-    reaches the driver.  A failing one is reported, not fatal.
-    """
-    rows = []
-    for name, options in combos.items():
-        started = time.time()
-        try:
-            n, error = match_products(listings, **options).count(), None
-        except Exception as exc:  # noqa: BLE001 - reported in the result
-            n, error = None, str(exc).splitlines()[0][:200]
-        rows.append((name, n, time.time() - started, error))
-    return listings.sparkSession.createDataFrame(
-        rows, "combo STRING, num_scores BIGINT, elapsed_seconds DOUBLE, error STRING"
+def _match_vectors(rows: DataFrame, encoder, k: int, floor: float, scorer) -> DataFrame:
+    vectors = cut_lineage(rows.withColumn("vec", encoder(F.col("text"))))
+    found = cosine_pairs(
+        vectors.where("NOT is_anchor"), vectors.where("is_anchor"), ["category"], floor=floor, k=k
     )
+    q = rows.select("category", F.col("id").alias("query_id"), F.col("text").alias("query_text"))
+    c = rows.select(F.col("id").alias("corpus_id"), F.col("text").alias("corpus_text"))
+    candidates = found.join(q, "query_id").join(c, "corpus_id").withColumnRenamed("score", "dense_score")
+    if scorer is not None:
+        return rerank(candidates, scorer)
+    return candidates.withColumn("rerank_score", F.round("dense_score", 4))
+
+
+def compare_matchers(listings: DataFrame, combos: dict[str, dict]) -> DataFrame:
+    """Number of scored pairs of several matcher settings, as one lazy union."""
+    counts = [
+        match_products(listings, **options)
+        .agg(F.count(F.lit(1)).alias("num_scores"))
+        .select(F.lit(name).alias("combo"), "num_scores")
+        for name, options in combos.items()
+    ]
+    return functools.reduce(DataFrame.unionByName, counts)
 
 
 def best_match(matches: DataFrame, threshold: float = MATCH_THRESHOLD) -> DataFrame:

@@ -11,15 +11,15 @@ from .stats import top_n
 SIGNALS = ("inventory_count", "max_cart_qty", "in_stock")
 
 
-def _slot(slot: str, column: str) -> Column:
-    return F.max(F.when(F.col("time_of_day") == slot, F.col(column)))
+def _slot(slot: str, column: str, order: str) -> Column:
+    return F.min_by(column, F.when(F.col("time_of_day") == slot, F.col(order)))
 
 
-def slot_pairs_aggregates() -> list[Column]:
-    """Aggregates that put both readings of a key side by side."""
+def slot_pairs_aggregates(order: str) -> list[Column]:
+    """Aggregates that put the first reading of both slots side by side."""
     out = [F.count_if(F.col("time_of_day") == s).alias(f"{s[0]}_n") for s in ("morning", "night")]
     for slot, letter in (("morning", "m"), ("night", "n")):
-        out += [_slot(slot, c).alias(f"{letter}_{c}") for c in SIGNALS]
+        out += [_slot(slot, c, order).alias(f"{letter}_{c}") for c in SIGNALS]
     return out
 
 
@@ -61,10 +61,16 @@ def estimate(pairs: DataFrame, cap: int = INVENTORY_CAP) -> DataFrame:
 
 
 def daily_sales(
-    obs: DataFrame, day: str | None = None, pincode: str | None = None, cap: int = INVENTORY_CAP
+    obs: DataFrame,
+    day: str | None = None,
+    pincode: str | None = None,
+    cap: int = INVENTORY_CAP,
+    order: str = "observed_at",
 ) -> DataFrame:
     """Estimated sales per (listing, pincode, date) that has both readings.
 
+    Of several readings of a slot the first in ``order`` counts, with all its signals.
+
     Both slots meet in one aggregation instead of a self join: one exchange, hash
     aggregate on primitive buffers, combined on the map side.
     """
@@ -79,7 +85,7 @@ def daily_sales(
         )
     pairs = (
         rows.groupBy("catalog_id", "pincode", F.to_date("observed_at").alias("sale_date"))
-        .agg(*slot_pairs_aggregates())
+        .agg(*slot_pairs_aggregates(order))
         .where((F.col("m_n") > 0) & (F.col("n_n") > 0))
     )
     return estimate(pairs, cap)

@@ -9,6 +9,7 @@ is looked at only where it can still win.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -16,6 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scorers import text_features
 from ..schemas import COSINE_FLOOR, TOP_K
 from .stats import join_groups, top_n
 
@@ -196,14 +198,35 @@ def cosine_pairs(
 ) -> DataFrame:
     """Cosine of (query, corpus) pairs of a key that reach the floor.
 
-    ``queries``/``corpus``: id, keys, vec.  Equal vectors are scored once, under
-    their lowest id.  With ``k`` only each query's k best pairs come out, which
+    ``queries``/``corpus``: id, keys, vec.  Equal vectors are scored once and stand for
+    all their ids afterwards.  With ``k`` only each query's k best pairs come out, which
     keeps the result linear in the queries.
     """
-    q = collapse_copies(queries, "vec", keys).drop("copies")
-    c = collapse_copies(corpus, "vec", keys).drop("copies")
-    pairs = cell_top_k(q, c, keys, dense_cosine, k=k, floor=floor, block_rows=block_rows)
-    return pairs if k is None else best_k(pairs, k)
+    q, c = collapse_copies(queries, "vec", keys), collapse_copies(corpus, "vec", keys)
+    pairs = cell_top_k(
+        q.drop("copies"), c.drop("copies"), keys, dense_cosine, k=k, floor=floor, block_rows=block_rows
+    )
+    return expand_copies(pairs, members(queries, q, keys), members(corpus, c, keys), k)
+
+
+def members(rows: DataFrame, collapsed: DataFrame, keys: list[str]) -> DataFrame:
+    """(doc, id): the id that stands for a value, and every id that has it."""
+    docs = collapsed.select(*keys, "vec", F.col("id").alias("doc"))
+    return rows.select(*keys, "vec", "id").join(docs, [*keys, "vec"]).select("doc", "id")
+
+
+def expand_copies(pairs: DataFrame, queries: DataFrame, corpus: DataFrame, k: int | None) -> DataFrame:
+    """Pairs of values as pairs of ids; of equal corpus rows the k lowest ids are enough."""
+    if k is not None:
+        corpus = top_n(corpus, ["doc"], [F.col("id")], k, "_copy").drop("_copy")
+        pairs = best_k(pairs, k).drop("rank")
+    c = corpus.select(F.col("doc").alias("corpus_id"), F.col("id").alias("_corpus"))
+    found = pairs.join(c, "corpus_id").select("query_id", F.col("_corpus").alias("corpus_id"), "score")
+    if k is not None:
+        found = best_k(found, k)
+    rest = [x for x in found.columns if x != "query_id"]
+    q = queries.select(F.col("doc").alias("query_id"), F.col("id").alias("_query"))
+    return found.join(q, "query_id").select(F.col("_query").alias("query_id"), *rest)
 
 
 def lsh_keys(rows: DataFrame, dim: int, tables: int, bits: int, seed: int = 7) -> DataFrame:
@@ -222,6 +245,11 @@ def lsh_keys(rows: DataFrame, dim: int, tables: int, bits: int, seed: int = 7) -
     )
 
 
+def bits_for(rows: int, bucket: int = 64) -> int:
+    """Bits that leave about ``bucket`` rows in a bucket."""
+    return max(1, math.ceil(math.log2(max(rows, 1) / bucket)))
+
+
 def approximate_top_k(
     queries: DataFrame,
     corpus: DataFrame,
@@ -233,7 +261,12 @@ def approximate_top_k(
     tables: int = 16,
     bits: int = 4,
 ) -> DataFrame:
-    """Top k by hyperplane hashing: scores are exact, recall is below 1."""
+    """Top k by hyperplane hashing: scores are exact, recall is below 1.
+
+    A bucket holds about one in 2^bits of a key's rows; for work in proportion to
+    the input ``bits`` grows with the logarithm of its rows (:func:`bits_for`), and
+    ``tables`` with it to hold the recall.
+    """
     band = [*keys, "lsh_table", "lsh_bucket"]
     q, c = (lsh_keys(side, dim, tables, bits) for side in (queries, corpus))
     return best_k(cell_top_k(q, c, band, dense_cosine, k=k, floor=floor), k)
@@ -385,6 +418,15 @@ def lexical_score(weights_a: Column, weights_b: Column) -> Column:
     )
 
 
+def idf_weights(texts: DataFrame) -> DataFrame:
+    """(id, weights): every word of a text with ln(N / documents with it) + 1."""
+    words = texts.select("id", F.explode(text_features("text")).alias("word"))
+    total = texts.agg(F.count(F.lit(1)).alias("n")).first()["n"]
+    frequency = words.groupBy("word").agg((F.log(F.lit(float(total)) / F.count(F.lit(1))) + 1).alias("weight"))
+    joined = join_groups(words, frequency, ["word"])
+    return joined.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("word", "weight"))).alias("weights"))
+
+
 def hybrid_score(
     pairs: DataFrame, weights: DataFrame, dense_weight: float, lexical_weight: float
 ) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import compose_text, normalize_unit
 from ..session import cut_lineage
-from ..sources.listings import parse_items
+from ..sources.listings import parse_items, parse_rejects
 from ..sources.validate import LISTING_RULES, validate_rows
 
 CATALOG_KEY = ["platform", "platform_product_id"]
@@ -127,7 +127,9 @@ def ingest_run(
     ``items``: run_id, platform, category, seq, item (VARIANT).  ``runs``: id,
     platform, pincode, category, time_of_day, started_at.  Items the row model
     refuses are dropped; what breaks a table rule afterwards counts as an error.
-    Duplicates that the observation key ignores still count as found.
+    Duplicates that the observation key ignores still count as found.  ``rejected`` in
+    the result holds every item that is not stored, with the reason.  A run with errors
+    and without any product has failed; ``completed_at`` is the ledger's, if it has one.
     """
     attrs = runs.select(
         F.col("id").alias("run_id"), "pincode", "time_of_day", F.col("started_at").alias("seen_at")
@@ -152,6 +154,8 @@ def ingest_run(
     ).withColumnRenamed("obs_id", "id")
     appended = append_observations(stored, batch).drop("seq")
 
+    no_end = F.lit(None).cast("timestamp_ntz")
+    ended = [F.col("completed_at") if "completed_at" in runs.columns else no_end.alias("completed_at")]
     found = valid.groupBy("run_id").agg(F.count(F.lit(1)).alias("products_found"))
     errors = rejected.groupBy("run_id").agg(F.count(F.lit(1)).alias("errors"))
     finished = (
@@ -163,16 +167,27 @@ def ingest_run(
             "platform", "pincode", "category", "time_of_day", "started_at",
             F.coalesce("products_found", F.lit(0)).alias("products_found"),
             F.coalesce("errors", F.lit(0)).alias("errors"),
-            F.lit("completed").alias("status"),
+            F.when((F.col("errors") > 0) & F.col("products_found").isNull(), "failed")
+            .otherwise("completed").alias("status"),
+            *ended,
         )
     )
-    return {"catalog": new_catalog, "observations": appended, "runs": finished}
+    refused = parse_rejects(items).unionByName(
+        items.join(own, "run_id", "left_anti").select(
+            "run_id", "seq", "platform", F.lit("run unknown").alias("reason"),
+            F.to_json("item").alias("raw_json"),
+        )
+    ).unionByName(
+        rejected.select("run_id", "seq", "platform", F.array_join("reasons", ", ").alias("reason"), "raw_json")
+    )
+    return {
+        "catalog": new_catalog, "observations": appended, "runs": finished, "rejected": refused
+    }
 
 
 def observation_id(seen_at: str, *key: str):
-    """Id that grows with time: seconds in the high bits, key hash in the low 20."""
-    seconds = F.unix_seconds(F.col(seen_at).cast("timestamp"))
-    return seconds * F.lit(1 << 20) + F.pmod(F.xxhash64(*key), F.lit(1 << 20))
+    """64-bit hash of time and key; readings are put in order by time, then id."""
+    return F.xxhash64(seen_at, *key)
 
 
 def remap_categories(

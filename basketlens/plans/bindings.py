@@ -79,7 +79,7 @@ class RetailTables:
         day = F.datediff(F.col("l_shipdate"), F.lit("1992-01-01").cast("date")).cast("bigint")
         return (
             self.raw("lineitem")
-            .where((F.col("l_returnflag") != "R") & ((part * 7 + i * 3) % 5 < 3))
+            .where((part * 7 + i * 3) % 5 < 3)
             .select(
                 (day * F.lit(1 << 51) + F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"),
                 (part * 3 + i + 1).alias("catalog_id"),
@@ -171,7 +171,7 @@ class RetailTables:
 
     @cached_property
     def sales(self) -> DataFrame:
-        return daily_sales(self.stock)
+        return daily_sales(self.event_readings, order="seq")
 
     @cached_property
     def runs(self) -> DataFrame:

@@ -50,7 +50,7 @@ _BINS = ", ".join(
     f"""SELECT category, brand, lo AS cat_min, hi AS cat_max, {_BINS}
         FROM priced JOIN (SELECT category, min(price) AS lo, max(price) AS hi FROM priced GROUP BY category)
           USING (category)
-        WHERE price IS NOT NULL GROUP BY category, brand, lo, hi""",
+        WHERE lo IS NOT NULL GROUP BY category, brand, lo, hi""",
 )
 def _(t: RetailTables) -> DataFrame:
     return B.price_histogram(t.priced)
@@ -74,7 +74,7 @@ def _(t: RetailTables) -> DataFrame:
               count(*) FILTER (mrp > t2) AS premium
        FROM priced JOIN (SELECT category, quantile_cont(mrp, 0.3333) AS t1, quantile_cont(mrp, 0.6667) AS t2
                          FROM priced GROUP BY category) USING (category)
-       WHERE mrp IS NOT NULL GROUP BY category, brand, t1, t2""",
+       WHERE t1 IS NOT NULL GROUP BY category, brand, t1, t2""",
 )
 def _(t: RetailTables) -> DataFrame:
     return rounded(B.mrp_tiers(t.priced), "budget_threshold", "premium_threshold")

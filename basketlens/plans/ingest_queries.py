@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import stable_listing_id
 from ..operators import tables as W
 from ..schemas import CATALOG, OBSERVATION, PLATFORMS
-from ..session import shared_dir, spread
+from ..session import shared_dir
 from ..sources import files, listings, payloads, snapshots
 from .bindings import SEED_PINCODES, RetailTables, pick, r6
 from .registry import query
@@ -18,7 +18,7 @@ P = F.col
 
 def _capture(t: RetailTables, doc: Column) -> DataFrame:
     """One payload per part, as text turned into a VARIANT."""
-    return spread(t.raw("part")).select(
+    return t.raw("part").select(
         P("p_partkey").alias("payload_id"), F.parse_json(F.to_json(doc)).alias("payload")
     )
 
@@ -63,7 +63,7 @@ def _cart_payloads(t: RetailTables) -> DataFrame:
     text = F.concat(
         F.lit('{"status":"ok","response":{"snippets":['), F.array_join(doc["snippets"], ","), F.lit("]}}")
     )
-    parts = spread(t.raw("part"))
+    parts = t.raw("part")
     return parts.select(P("p_partkey").alias("payload_id"), F.parse_json(text).alias("payload"))
 
 
@@ -80,6 +80,20 @@ def _(t: RetailTables) -> DataFrame:
     return payloads.walk_cart_items(_cart_payloads(t)).drop("pos", "image_url")
 
 
+@query(
+    "ingest_walk_deep_payloads",
+    "SELECT p_partkey AS payload_id, CAST(p_partkey + 1 AS VARCHAR) AS id, p_name AS name FROM part",
+)
+def _(t: RetailTables) -> DataFrame:
+    item = F.to_json(
+        _named(cart_item=_named(product_id=P("p_partkey") + 1, product_name=P("p_name")))
+    )
+    levels = F.lit(15) + P("p_partkey") % 10
+    text = F.concat(F.repeat(F.lit('{"a":['), levels), item, F.repeat(F.lit("]}"), levels))
+    deep = t.raw("part").select(P("p_partkey").alias("payload_id"), F.parse_json(text).alias("payload"))
+    return payloads.walk_cart_items(deep).select("payload_id", "id", "name")
+
+
 @query(
     "ingest_walk_cart_items_in_page",
     """SELECT p_partkey AS payload_id, CAST(p_partkey * 3 + i AS VARCHAR) AS id,
@@ -122,25 +136,30 @@ def _(t: RetailTables) -> DataFrame:
     return payloads.field_scan(_cart_payloads(t))
 
 
-@query(
-    "payload_structure",
-    """SELECT path, type, n AS count, CAST(size AS INTEGER) AS max_size
-       FROM (SELECT count(*) AS n FROM part),
-            (VALUES ('status', 'STRING', NULL), ('response', 'object', 1),
-                    ('response.snippets', 'array', 3), ('response.snippets[0]', 'object', 1),
-                    ('response.snippets[0].data', 'object', 1),
-                    ('response.snippets[0].data.cart_item', 'object', 9),
-                    ('response.snippets[0].data.cart_item.product_id', 'BIGINT', NULL),
-                    ('response.snippets[0].data.cart_item.brand', 'STRING', NULL),
-                    ('response.snippets[0].data.cart_item.unit', 'STRING', NULL),
-                    ('response.snippets[0].data.cart_item.price', 'DECIMAL', NULL),
-                    ('response.snippets[0].data.cart_item.mrp', 'DECIMAL', NULL),
-                    ('response.snippets[0].data.cart_item.quantity', 'BIGINT', NULL),
-                    ('response.snippets[0].data.cart_item.product_name', 'STRING', NULL),
-                    ('response.snippets[0].data.cart_item.inventory', 'BIGINT', NULL),
-                    ('response.snippets[0].data.cart_item.unavailable_quantity', 'BIGINT', NULL)
-            ) s(path, type, size)""",
-)
+def _structure_sql() -> str:
+    """Every path of the cart payloads; each occurs once per part."""
+    plain = {"product_id": "BIGINT", "brand": "STRING", "unit": "STRING", "price": "DECIMAL",
+             "mrp": "DECIMAL", "quantity": "BIGINT"}
+    counted = {"product_name": "STRING", "inventory": "BIGINT", "unavailable_quantity": "BIGINT"}
+    first, second, third = (f"response.snippets[{i}]" for i in range(3))
+    items = {
+        f"{first}.data.cart_item": plain | counted,
+        f"{second}.data.inner.leaf.cart_item": plain | {"display_name": "STRING", "inventory": "STRING"},
+        f"{third}.more[0].cart_item": plain | counted,
+    }
+    rows = [("status", "STRING", "NULL"), ("response", "object", 1), ("response.snippets", "array", 3)]
+    rows += [(path, "object", 1) for path in (first, f"{first}.data", second, f"{second}.data", third)]
+    rows += [(f"{second}.data.inner", "object", 1), (f"{second}.data.inner.leaf", "object", 1)]
+    rows += [(f"{third}.more", "array", 1), (f"{third}.more[0]", "object", 1)]
+    for path, fields in items.items():
+        rows.append((path, "object", len(fields)))
+        rows += [(f"{path}.{name}", kind, "NULL") for name, kind in fields.items()]
+    values = ", ".join(f"('{path}', '{kind}', {size})" for path, kind, size in rows)
+    return f"""SELECT path, type, n AS count, CAST(size AS INTEGER) AS max_size
+       FROM (SELECT count(*) AS n FROM part), (VALUES {values}) s(path, type, size)"""
+
+
+@query("payload_structure", _structure_sql())
 def _(t: RetailTables) -> DataFrame:
     return payloads.structure(_cart_payloads(t))
 
@@ -274,7 +293,7 @@ def _(t: RetailTables) -> DataFrame:
         F.lit('\n  - link "second '), name, F.lit(" ADD ₹"), (P("p_size") + 1).cast("string"),
         F.lit(" "), size, F.lit(' g" [ref=e3]:\n    - img\n    - /url: /pn/z/other'),
     )
-    shots = spread(t.raw("part")).select(P("p_partkey").alias("snapshot_id"), text.alias("text"))
+    shots = t.raw("part").select(P("p_partkey").alias("snapshot_id"), text.alias("text"))
     return snapshots.snapshot_links(shots).select(
         "snapshot_id", "pos", "product_id", "name", "unit_quantity", "discounted_price", "mrp"
     )
@@ -298,7 +317,7 @@ def _(t: RetailTables) -> DataFrame:
         (P("p_size") + 20).cast("string"), F.lit("\n  generic: 7 kg"),
         F.lit('\ngeneric "Delivery in 7 MINS" [ref=f1]:\n  generic [ref=f2]: Without price here'),
     )
-    shots = spread(t.raw("part")).select(P("p_partkey").alias("snapshot_id"), text.alias("text"))
+    shots = t.raw("part").select(P("p_partkey").alias("snapshot_id"), text.alias("text"))
     return snapshots.snapshot_cards(shots).drop("inStock", "maxSelectableQuantity")
 
 
@@ -306,7 +325,7 @@ def _(t: RetailTables) -> DataFrame:
 
 
 def _items(t: RetailTables, **fields: Column) -> DataFrame:
-    return spread(t.raw("part")).select(
+    return t.raw("part").select(
         P("p_type").alias("run_id"),
         P("p_type").alias("category"),
         P("p_partkey").alias("seq"),
@@ -398,6 +417,31 @@ def _(t: RetailTables) -> DataFrame:
     return listings.parse_instamart(items).select(*_LISTING)
 
 
+@query(
+    "parse_rejects",
+    """SELECT p_partkey AS seq, platform,
+              CASE WHEN platform = 'elsewhere' THEN 'platform unknown'
+                   WHEN p_partkey % 7 = 0 THEN 'name missing'
+                   WHEN p_size % 5 = 0 THEN 'price not positive'
+                   WHEN p_partkey % 11 = 0 AND platform = 'zepto' THEN 'inventory_count not whole' END AS reason
+       FROM (SELECT *, ['blinkit', 'zepto', 'instamart', 'elsewhere'][CAST(p_partkey % 4 + 1 AS INTEGER)]
+                       AS platform FROM part) WHERE reason IS NOT NULL""",
+)
+def _(t: RetailTables) -> DataFrame:
+    price = F.when(P("p_size") % 5 != 0, P("p_retailprice")).otherwise(0.0)
+    items = _items(
+        t,
+        id=P("p_partkey").cast("string"),
+        product_id=P("p_partkey").cast("string"),
+        name=F.when(P("p_partkey") % 7 != 0, P("p_name")),
+        price=price,
+        discounted_price=price,
+        quantity=F.when(P("p_partkey") % 11 == 0, F.lit(0.5)).otherwise(1.0),
+        max_allowed_quantity=F.lit(1),
+    ).withColumn("platform", pick(("blinkit", "zepto", "instamart", "elsewhere"), P("seq") % 4))
+    return listings.parse_rejects(items).select("seq", "platform", "reason")
+
+
 @query(
     "stable_listing_id",
     """SELECT id, substr(md5(platform || ':' || lower(trim(name)) || ':' || lower(trim(unit))), 1, 16) AS stable_id
@@ -438,7 +482,27 @@ def _(t: RetailTables) -> DataFrame:
     return listings.dedupe_terms_by_name(_term_items(t)).select("run_id", "name", "pos")
 
 
-@query("dedupe_terms_by_id_or_name")
+_ID_OR_NAME = """
+  WITH RECURSIVE hits AS (
+    SELECT p_type AS run_id, CASE WHEN p_size % 4 <> 0 THEN CAST(p_partkey % 50 AS VARCHAR) END AS id,
+           p_name AS name, p_partkey AS pos,
+           row_number() OVER (PARTITION BY p_type ORDER BY p_size % 5, p_partkey) AS n
+    FROM part),
+  settled AS (
+    SELECT run_id, id, name, pos, n, [name] AS names, CASE WHEN id IS NULL THEN [] ELSE [id] END AS ids,
+           true AS kept
+    FROM hits WHERE n = 1
+    UNION ALL
+    SELECT h.run_id, h.id, h.name, h.pos, h.n,
+           CASE WHEN f THEN list_append(s.names, h.name) ELSE s.names END,
+           CASE WHEN f AND h.id IS NOT NULL THEN list_append(s.ids, h.id) ELSE s.ids END, f
+    FROM settled s JOIN (SELECT * FROM hits) h ON h.run_id = s.run_id AND h.n = s.n + 1,
+         LATERAL (SELECT NOT list_contains(s.names, h.name)
+                    AND NOT coalesce(list_contains(s.ids, h.id), false) AS f))
+  SELECT run_id, id, name, pos FROM settled WHERE kept"""
+
+
+@query("dedupe_terms_by_id_or_name", _ID_OR_NAME)
 def _(t: RetailTables) -> DataFrame:
     return listings.dedupe_terms_by_id_or_name(_term_items(t)).select("run_id", "id", "name", "pos")
 
@@ -570,6 +634,16 @@ def _(t: RetailTables) -> DataFrame:
     return _ingested(t)["runs"].select("id", "products_found", "errors", "status")
 
 
+@query(
+    "observation_ids_unique",
+    """SELECT 2 * count(*) AS n, 2 * count(*) AS n_ids
+       FROM catalog WHERE id % 9 <> 0""",
+)
+def _(t: RetailTables) -> DataFrame:
+    ids = _ingested(t)["observations"]
+    return ids.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("n_ids"))
+
+
 @query(
     "ingest_run_observations",
     """SELECT CAST(id AS VARCHAR) AS platform_product_id, s.slot AS time_of_day, '122001' AS pincode,

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import (
     batch_scorer,
     compose_text,
+    hashed_counts,
     normalize_unit,
     register_functions,
     text_features,
@@ -99,19 +100,26 @@ def _(t: RetailTables) -> DataFrame:
 
 
 def _vectors(t: RetailTables) -> tuple[DataFrame, DataFrame]:
+    """Queries and anchors, category by category; every anchor has a copy under a second id."""
     rows = t.raw("embeddings").select(
         F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), "label"
     )
     is_anchor = F.col("id") % 3 == 0
-    return rows.where(~is_anchor), rows.where(is_anchor)
+    anchors = rows.where(is_anchor)
+    again = anchors.withColumn("id", -F.col("id") - 1)
+    return rows.where(~is_anchor), anchors.unionByName(again)
 
 
 _COSINE = """
   SELECT q.vec_id AS query_id, c.vec_id AS corpus_id,
          list_dot_product(q.v, c.v) / ((sqrt(list_dot_product(q.v, q.v)) + 1e-10)
                                      * (sqrt(list_dot_product(c.v, c.v)) + 1e-10)) AS score
-  FROM (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 3 <> 0) q,
-       (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 3 = 0) c"""
+  FROM (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 3 <> 0) q
+       JOIN
+       (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 3 = 0
+        UNION ALL
+        SELECT -vec_id - 1, label, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 3 = 0) c
+       USING (label)"""
 _TOP = f"""
   SELECT query_id, corpus_id, score,
          row_number() OVER (PARTITION BY query_id ORDER BY score DESC, corpus_id) AS rank
@@ -124,20 +132,34 @@ _TOP = f"""
 )
 def _(t: RetailTables) -> DataFrame:
     q, c = _vectors(t)
-    return rounded(S.cosine_pairs(q, c, [], floor=0.25), "score")
+    return rounded(S.cosine_pairs(q, c, ["label"], floor=0.25), "score")
 
 
 @query("topk_candidates", f"SELECT query_id, corpus_id, round(score, 6) AS score, rank FROM ({_TOP})")
 def _(t: RetailTables) -> DataFrame:
     q, c = _vectors(t)
-    return rounded(S.cosine_pairs(q, c, [], floor=0.1, k=5), "score")
+    return rounded(S.cosine_pairs(q, c, ["label"], floor=0.1, k=5), "score")
 
 
-@query("topk_candidates_lsh")
+@query(
+    "topk_candidates_lsh",
+    f"""SELECT count(DISTINCT query_id) AS n_queries, CAST(0 AS BIGINT) AS not_exact, true AS recall_reached
+        FROM ({_TOP})""",
+)
 def _(t: RetailTables) -> DataFrame:
+    """Pairs of the approximate search that are no pair, or have another score, and its recall."""
     q, c = _vectors(t)
-    found = S.approximate_top_k(q, c, [], dim=64, floor=0.1, k=5)
-    return rounded(found, "score")
+    found = S.approximate_top_k(q, c, ["label"], dim=64, floor=0.1, k=5, tables=24, bits=3)
+    every = S.cosine_pairs(q, c, ["label"], floor=0.1).withColumnRenamed("score", "exact")
+    best = S.cosine_pairs(q, c, ["label"], floor=0.1, k=5).select("query_id", "corpus_id")
+    key = ["query_id", "corpus_id"]
+    right = F.coalesce(F.abs(F.col("score") - F.col("exact")) < 1e-9, F.lit(False))
+    checked = found.join(every, key, "left").agg(F.count_if(~right).alias("not_exact"))
+    hit = best.join(found.select(*key, F.lit(1).alias("hit")), key, "left").agg(
+        F.count_distinct("query_id").alias("n_queries"),
+        (F.sum(F.coalesce("hit", F.lit(0))) >= 0.9 * F.count(F.lit(1))).alias("recall_reached"),
+    )
+    return hit.crossJoin(checked)
 
 
 _MATCHED = """SELECT category, query_id, corpus_id, query_text, corpus_text, rank,
@@ -161,28 +183,93 @@ def _(t: RetailTables) -> DataFrame:
 
 @query(
     "hybrid_score",
-    """SELECT query_id, corpus_id, round(score, 6) AS score, round(score, 6) AS lexical_score,
-              round(0.7 * score + 0.3 * score, 6) AS hybrid_score FROM matched""",
+    """SELECT * FROM (WITH words AS (
+         SELECT id, unnest(list_distinct(string_split(lower(text), ' '))) AS w FROM texts),
+       idf AS (
+         SELECT w, ln((SELECT count(*) FROM texts) / count(*)::DOUBLE) + 1 AS weight
+         FROM words GROUP BY w)
+       SELECT query_id, corpus_id, round(score, 6) AS score, round(coalesce(lexical, 0), 6) AS lexical_score,
+              round(0.7 * score + 0.3 * coalesce(lexical, 0), 6) AS hybrid_score
+       FROM matched LEFT JOIN (
+         SELECT query_id, corpus_id, sum(weight * weight) AS lexical
+         FROM matched JOIN words a ON a.id = query_id JOIN words b ON b.id = corpus_id AND a.w = b.w
+           JOIN idf ON idf.w = a.w
+         GROUP BY query_id, corpus_id) USING (query_id, corpus_id))""",
 )
 def _(t: RetailTables) -> DataFrame:
-    texts = M.listing_texts(t.catalog).select("id", weight_vector("text").alias("weights"))
+    texts = M.listing_texts(t.catalog).select("id", "text")
+    weights = S.idf_weights(texts)
     pairs = M.match_products(t.catalog).select("query_id", "corpus_id", "query_text", "corpus_text")
     q, c = text_features("query_text"), text_features("corpus_text")
     shared = F.size(F.array_intersect(q, c))
     dense = shared / F.sqrt((F.size(q) * F.size(c)).cast("double"))
     pairs = pairs.select("query_id", "corpus_id", dense.alias("score"))
-    blended = S.hybrid_score(pairs, texts, DENSE_WEIGHT, LEXICAL_WEIGHT)
+    blended = S.hybrid_score(pairs, weights, DENSE_WEIGHT, LEXICAL_WEIGHT)
     return rounded(blended, "score", "lexical_score", "hybrid_score")
 
 
-@query("match_products_ngram")
+_DENSE = '''
+  SELECT category, query_id, corpus_id, rank, round(score, 6) AS dense_score FROM (
+    SELECT q.category, q.id AS query_id, a.id AS corpus_id,
+           row_number() OVER (PARTITION BY q.id ORDER BY
+             list_dot_product(q.v, a.v) / ((sqrt(list_dot_product(q.v, q.v)) + 1e-10)
+                                         * (sqrt(list_dot_product(a.v, a.v)) + 1e-10)) DESC, a.id) AS rank,
+           list_dot_product(q.v, a.v) / ((sqrt(list_dot_product(q.v, q.v)) + 1e-10)
+                                       * (sqrt(list_dot_product(a.v, a.v)) + 1e-10)) AS score
+    FROM {v} q JOIN {v} a ON a.category = q.category AND a.is_anchor AND NOT q.is_anchor)
+  WHERE rank <= 5 AND score >= 0.4'''.format(v='''(
+    SELECT id, category, is_anchor, list_transform(range(64), lambda j: CAST(
+      len(list_filter(string_split(lower(text), ' '),
+                      lambda t: CAST('0x' || substr(md5(t), 1, 6) AS BIGINT) % 64 = j)) AS DOUBLE)) AS v
+    FROM anchored)''')
+
+
+@query("match_products_dense", _DENSE)
+def _(t: RetailTables) -> DataFrame:
+    found = M.match_products(t.catalog, encoder=hashed_counts)
+    return rounded(found.select("category", "query_id", "corpus_id", "rank", "dense_score"), "dense_score")
+
+
+def _features_sql(ngram: bool) -> str:
+    """Distinct words of the anchored texts, with character 3-grams if asked."""
+    grams = ''', list_transform(range(1, greatest(len(array_to_string(w, ' ')) - 2, 1) + 1),
+                lambda i: '#' || substr(array_to_string(w, ' '), i, 3))'''
+    return f'''SELECT id, category, is_anchor, w, list_distinct(list_concat(w{grams if ngram else ''})) AS f
+      FROM (SELECT *, list_filter(s, lambda x, i: list_position(s, x) = i) AS w
+            FROM (SELECT *, string_split(lower(text), ' ') AS s FROM anchored))'''
+
+
+def _scored_sql(dense: float, lexical: float, floor: float, ngram: bool) -> str:
+    return f'''SELECT category, query_id, corpus_id, score,
+        row_number() OVER (PARTITION BY query_id ORDER BY score DESC, corpus_id) AS rank
+      FROM (
+        SELECT q.category, q.id AS query_id, a.id AS corpus_id,
+               {dense}::DOUBLE * (len(list_intersect(q.f, a.f)) / sqrt(CAST(len(q.f) * len(a.f) AS DOUBLE)))
+               + {lexical}::DOUBLE * (len(list_intersect(q.w, a.w)) / sqrt(CAST(len(q.w) * len(a.w) AS DOUBLE)))
+                 AS score
+        FROM ({_features_sql(ngram)}) q JOIN ({_features_sql(ngram)}) a
+          ON a.category = q.category AND a.is_anchor AND NOT q.is_anchor)
+      WHERE score >= {floor}::DOUBLE QUALIFY rank <= 5'''
+
+
+_NGRAM = f'''SELECT category, query_id, corpus_id, rank, round(score, 4) AS score
+  FROM ({_scored_sql(0.7, 0.3, 0.6, True)})'''
+_COMPARED = f'''
+  SELECT 'tokens' AS combo, count(*) AS num_scores FROM matched
+  UNION ALL SELECT 'tokens + jaccard', count(*) FROM matched
+  UNION ALL SELECT 'blended', count(*) FROM ({_scored_sql(0.7, 0.3, 0.4, False)})'''
+
+
+@query("match_products_ngram", _NGRAM)
 def _(t: RetailTables) -> DataFrame:
-    return M.match_products(
+    found = M.match_products(
         t.catalog, features=lambda text: text_features(text, 3), use_lexical=True, floor=0.6
     )
+    score = F.col("dense_score")
+    return found.select("category", "query_id", "corpus_id", "rank", score.alias("score"))
 
 
-@query("compare_matchers")
+@query("compare_matchers", _COMPARED)
 def _(t: RetailTables) -> DataFrame:
     return M.compare_matchers(
         t.catalog,
@@ -450,13 +537,13 @@ def _sweep(t: RetailTables) -> DataFrame:
     q, c = _vectors(t)
     first = c.groupBy("label").agg(F.min("id").alias("corpus_id"))
     truth = q.select(F.col("id").alias("query_id"), "label").join(first, "label")
-    scored = S.cosine_pairs(q, c, [], floor=0.1, k=5)
+    scored = S.cosine_pairs(q, c, ["label"], floor=0.1, k=5)
     return A.threshold_sweep(scored, truth, _SWEEP_AT)
 
 
 _SWEEP = f"""
   WITH sweep_truth AS (
-    SELECT q.vec_id AS query_id, min(c.vec_id) AS corpus_id
+    SELECT q.vec_id AS query_id, min(-c.vec_id - 1) AS corpus_id
     FROM embeddings q JOIN embeddings c ON c.label = q.label AND c.vec_id % 3 = 0
     WHERE q.vec_id % 3 <> 0 GROUP BY q.vec_id),
   sweep_best AS (SELECT query_id, corpus_id, score FROM ({_TOP}) WHERE rank = 1),

@@ -71,7 +71,7 @@ CTES = {
                CASE WHEN l_linenumber % 2 = 0 THEN 'morning' ELSE 'night' END AS time_of_day,
                l_shipdate AS observed_at
         FROM lineitem
-        WHERE l_returnflag <> 'R' AND (l_partkey * 7 + (l_suppkey % 3) * 3) % 5 < 3""",
+        WHERE (l_partkey * 7 + (l_suppkey % 3) * 3) % 5 < 3""",
     "latest": """
         SELECT catalog_id, id AS obs_id, price, mrp, in_stock
         FROM obs WHERE id IN (SELECT max(id) FROM obs GROUP BY catalog_id)

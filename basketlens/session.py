@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
+import contextlib
 import uuid
 
 from pyspark.sql import SparkSession
@@ -43,26 +44,30 @@ def apply_sql_defaults(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession, *parts: str) -> str:
     """New path below ``spark.checkpoint.dir``, the folder all executors can reach.
 
-    Only a local session may fall back to a temporary folder: there driver and
-    executors are one process on one machine.
+    A local session without that setting uses the folder of its own warehouse.  All
+    paths of an application lie in one folder, which it removes when it ends.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder shared by the executors")
-        base = tempfile.mkdtemp(prefix="basketlens-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return "/".join([base.rstrip("/"), *parts, uuid.uuid4().hex])
+        base = spark.conf.get("spark.sql.warehouse.dir")
+    own = f"{base.rstrip('/')}/basketlens-{spark.sparkContext.applicationId}"
+    if own not in _OWNED:
+        _OWNED.add(own)
+        atexit.register(_remove, spark, own)
+    return "/".join([own, *parts, uuid.uuid4().hex])
 
 
-def spread(df, parallelism: int | None = None):
-    """Re-partition a scan that has fewer partitions than there are cores.
+_OWNED: set[str] = set()
 
-    For CPU-heavy row work (payload walks) on input of a few small files; a large
-    input already has enough partitions and passes unchanged, without exchange.
-    """
-    wanted = parallelism or df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)
+
+def _remove(spark: SparkSession, path: str) -> None:
+    """Delete the application's folder while its JVM is still there."""
+    with contextlib.suppress(Exception):
+        jvm = spark.sparkContext._jvm
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def cut_lineage(df):

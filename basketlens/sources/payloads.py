@@ -85,24 +85,40 @@ def _as_array(v: Column) -> Column:
 # ------------------------------------------------------------------------- walk
 
 
+def nesting(payloads: DataFrame, payload: str = "payload") -> int:
+    """Deepest nesting of any payload, from one pass over their text."""
+    bare = F.regexp_replace(F.to_json(payload), r'"(?:[^"\\]|\\.)*+"', "")
+    brackets = F.split(F.regexp_replace(bare, r"[^\[\]{}]", ""), "")
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+
+    def count(state: Column, c: Column) -> Column:
+        now = state["now"] + F.when(c.isin("[", "{"), 1).when(c.isin("]", "}"), -1).otherwise(0)
+        return F.struct(now.alias("now"), F.greatest(state["most"], now).alias("most"))
+
+    depth = F.aggregate(brackets, start, count)["most"]
+    return payloads.agg(F.coalesce(F.max(depth), F.lit(0)).alias("depth")).first()["depth"]
+
+
 def walk(
     payloads: DataFrame,
     keep: Callable[[Column], Column],
     *,
     payload: str = "payload",
-    max_depth: int = 12,
+    max_depth: int | None = None,
     stop: Callable[[Column], Column] | None = None,
     first_items: int | None = None,
-    strict: bool = True,
 ) -> DataFrame:
     """Nodes of every payload for which ``keep(node)`` holds.
 
     Adds ``pos`` (position path, sorts in walk order), ``path``, ``depth`` and
-    ``node``.  ``stop`` ends the descent below a node, ``first_items`` limits how
-    many array entries are entered.  With ``strict`` a payload nested deeper than
-    ``max_depth`` fails the query, so nothing is left out in silence.
+    ``node``.  ``stop`` ends the descent below a node.  ``max_depth`` and
+    ``first_items`` leave out what lies deeper or comes later in a list; without
+    them everything is walked, as deep as the deepest payload of the input.
     """
 
+    if max_depth is None:
+        max_depth = nesting(payloads, payload)
+
     def child(parent: Column, i: Column, label: Column, value: Column) -> Column:
         return F.struct(
             F.concat(parent["pos"], F.array(i.cast("int"))).alias("pos"),
@@ -160,11 +176,6 @@ def walk(
         )
     last = F.col("_level")
     hits = F.concat(F.col("_hits"), hits_of(last))
-    if strict:
-        below = F.exists(F.transform(last, children), lambda nodes: F.size(nodes) > 0)
-        hits = F.when(
-            below, F.raise_error(F.lit(f"payload nested deeper than {max_depth} levels"))
-        ).otherwise(hits)
     keep_columns = [c for c in payloads.columns if c != payload]
     return out.select(*keep_columns, F.explode(hits).alias("_n")).select(
         *keep_columns,
@@ -187,7 +198,7 @@ def walk_cart_items(
     id_col: str = "payload_id",
     *,
     missing_means_available: bool = True,
-    max_depth: int = 12,
+    max_depth: int | None = None,
 ) -> DataFrame:
     """Objects holding ``cart_item.product_id``, one per product id and payload.
 
@@ -223,7 +234,7 @@ def walk_cart_items(
 
 
 def walk_bff_products(
-    payloads: DataFrame, id_col: str = "payload_id", *, max_depth: int = 12
+    payloads: DataFrame, id_col: str = "payload_id", *, max_depth: int | None = None
 ) -> DataFrame:
     """Objects with ``availableQuantity``, ``mrp`` and ``product``; paise to rupees."""
 
@@ -380,7 +391,7 @@ def instamart_products(payloads: DataFrame, id_col: str = "payload_id") -> DataF
 # ------------------------------------------------------------------ payload scans
 
 
-def product_scan(payloads: DataFrame, *, max_depth: int = 12) -> DataFrame:
+def product_scan(payloads: DataFrame, *, max_depth: int | None = None) -> DataFrame:
     """Objects with a name key and a price or id key; matches are not entered."""
 
     def any_key(v: Column, *names: str) -> Column:
@@ -403,14 +414,15 @@ def _scan_name(path: Column) -> Column:
     return F.regexp_replace(F.lower(last), "[- ]", "_")
 
 
-def field_scan(payloads: DataFrame, *, max_depth: int = 10, first_items: int = 3) -> DataFrame:
+def field_scan(
+    payloads: DataFrame, *, max_depth: int | None = None, first_items: int | None = None
+) -> DataFrame:
     """Distinct (path, value, type) of every key that looks like a stock field."""
     nodes = walk(
         payloads,
         lambda v: F.lit(True),
         max_depth=max_depth,
         first_items=first_items,
-        strict=False,
     )
     hit = _scan_name(F.col("path")).rlike("|".join(INVENTORY_KEYWORDS))
     keys = [c for c in payloads.columns if c != "payload"]
@@ -426,19 +438,22 @@ def field_scan(payloads: DataFrame, *, max_depth: int = 10, first_items: int = 3
     )
 
 
-def structure(payloads: DataFrame, *, max_depth: int = 5) -> DataFrame:
+def structure(
+    payloads: DataFrame, *, max_depth: int | None = None, first_items: int | None = None
+) -> DataFrame:
     """Profile over all payloads: path -> kind, occurrences and largest size.
 
-    As a list stands for its entries, only its first one is entered; the depth
-    counts keys, not list levels.
+    Entries of a list have paths of their own; ``first_items=1`` lets its first
+    entry stand for all.  ``max_depth`` counts keys, not list levels.
     """
-    nodes = walk(
-        payloads, lambda v: F.lit(True), max_depth=2 * max_depth, first_items=1, strict=False
-    )
-    keys = F.split(F.regexp_replace("path", r"\[[0-9]+\]", ""), r"\.")
+    deepest = None if max_depth is None else 2 * max_depth
+    nodes = walk(payloads, lambda v: F.lit(True), max_depth=deepest, first_items=first_items)
+    if max_depth is not None:
+        keys = F.split(F.regexp_replace("path", r"\[[0-9]+\]", ""), r"\.")
+        nodes = nodes.where(F.size(keys) <= max_depth)
     v = F.col("node")
     return (
-        nodes.where((F.col("depth") > 0) & (F.size(keys) <= max_depth))
+        nodes.where(F.col("depth") > 0)
         .select(
             "path",
             value_kind(v).alias("type"),

@@ -7,7 +7,18 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from basketlens.operators import audit, brand, category, matching, report, sales, stats, tables
+from basketlens.functions.text import normalize_unit
+from basketlens.operators import (
+    audit,
+    brand,
+    catalog,
+    category,
+    matching,
+    report,
+    sales,
+    stats,
+    tables,
+)
 from basketlens.operators import similarity as sim
 
 DAY = dt.datetime(2026, 3, 28)
@@ -206,16 +217,10 @@ def test_dense_top_k_with_copies(spark, block):
         floor=0.2, k=4, block_rows=block,
     )
 
-    def first_of(rows):
-        seen = {}
-        for r in rows:
-            seen.setdefault(tuple(r[2]), r)
-        return list(seen.values())
-
     def cosine(a, b):
         return sum(x * y for x, y in zip(a, b)) / (math.hypot(*a) * math.hypot(*b))
 
-    want = brute_top_k(first_of(queries), first_of(corpus), cosine, 4, 0.2)
+    want = brute_top_k(queries, corpus, cosine, 4, 0.2)
     assert {(r["query_id"], r["corpus_id"]) for r in got.collect()} == want
 
 
@@ -315,11 +320,11 @@ def test_incremental_run_is_idempotent(spark):
     assert second.count() == 0
 
 
-def test_compare_matchers_reports_a_failure(spark):
+def test_compare_matchers_counts_pairs(spark):
     df = catalog_rows(spark, LISTINGS)
-    got = {r["combo"]: r for r in matching.compare_matchers(df, {"ok": {}, "bad": {"floor": -1.0}}).collect()}
-    assert got["ok"]["num_scores"] > 0 and got["ok"]["error"] is None
-    assert got["bad"]["num_scores"] is None and "floor" in got["bad"]["error"]
+    combos = {"tokens": {}, "one": {"k": 1}}
+    got = {r["combo"]: r["num_scores"] for r in matching.compare_matchers(df, combos).collect()}
+    assert got == {name: matching.match_products(df, **options).count() for name, options in combos.items()}
 
 
 def test_choose_anchor_scan_order(spark, rows):
@@ -427,3 +432,57 @@ def test_task_functions_need_no_package_on_the_executors(tmp_path):
     for scorer in (sim.dense_cosine, sim.SetScore(0.7, 0.3).block, sim.hybrid(0.7, 0.3)):
         task = cloudpickle.dumps(sim._cell_top_k(scorer, 3, 0.4))
         subprocess.run([sys.executable, "-c", code], input=task, cwd=tmp_path, check=True)
+
+
+def test_a_sale_takes_the_first_reading_with_all_its_signals(spark):
+    rows = [
+        (1, 1, "p", "2024-01-01 08:00:00", "morning", 30, 1, True),
+        (2, 1, "p", "2024-01-01 09:00:00", "morning", 40, 9, False),
+        (3, 1, "p", "2024-01-01 20:00:00", "night", 20, 1, True),
+    ]
+    schema = (
+        "id long, catalog_id long, pincode string, at string, time_of_day string,"
+        " inventory_count int, max_cart_qty int, in_stock boolean"
+    )
+    obs = spark.createDataFrame(rows, schema).withColumn("observed_at", F.to_timestamp_ntz("at"))
+    got = sales.daily_sales(obs).collect()
+    assert [(r["morning_qty"], r["night_qty"], r["estimated_sales"]) for r in got] == [(30, 20, 10)]
+
+
+def test_latest_reading_by_time_before_id(spark):
+    rows = [(-5, 1, "2024-01-02", 2.0), (9, 1, "2024-01-01", 1.0), (7, 2, "2024-01-01", 3.0), (8, 2, "2024-01-01", 4.0)]
+    obs = spark.createDataFrame(rows, "id long, catalog_id long, at string, price double").select(
+        "*", F.to_timestamp_ntz("at").alias("observed_at")
+    )
+    df = catalog.latest_by_id(obs, ("price",))
+    assert sorted(tuple(r) for r in df.collect()) == [(1, -5, 2.0), (2, 8, 4.0)]
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan
+
+
+def test_hashing_scores_fewer_pairs_than_all(spark):
+    """The pairs that meet in a bucket grow far less than with the square of the rows."""
+
+    def meetings(n: int) -> int:
+        rng = random.Random(3)
+        rows = [(i, [rng.gauss(0, 1) for _ in range(16)]) for i in range(n)]
+        df = spark.createDataFrame(rows, "id long, vec array<double>")
+        keys = sim.lsh_keys(df, 16, tables=4, bits=sim.bits_for(n, 16))
+        sizes = keys.groupBy("lsh_table", "lsh_bucket").count()
+        return sizes.agg(F.sum(F.col("count") * F.col("count"))).first()[0]
+
+    assert meetings(1024) < 4 * 2 * meetings(256) < 4 * 256 * 256
+
+
+def test_plain_notation_of_large_sizes(spark):
+    got = spark.createDataFrame([("12345678.5 g",), ("0.0005 kg",)], "u string").select(normalize_unit("u"))
+    assert [r[0] for r in got.collect()] == ["12345678.5g", "0.5g"]
+
+
+def test_brands_without_price_have_zeros(spark):
+    rows = [("c", "a", 1.0, 1.0), ("c", "a", 9.0, 9.0), ("c", "b", None, None)]
+    priced = spark.createDataFrame(rows, "category string, brand string, price double, mrp double")
+    got = {r["brand"]: r for r in brand.price_histogram(priced).collect()}
+    assert sum(got["b"][f"bin{i}"] for i in range(8)) == 0 and sum(got["a"][f"bin{i}"] for i in range(8)) == 2
+    tiers = {r["brand"]: (r["budget"], r["mid"], r["premium"]) for r in brand.mrp_tiers(priced).collect()}
+    assert tiers == {"a": (1, 0, 1), "b": (0, 0, 0)}

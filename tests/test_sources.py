@@ -32,16 +32,26 @@ def test_walk_cart_items_nested_and_repeated(spark, rows):
     assert got == [("7", "Milk", True, None), ("x", "", True, None)]
 
 
-def test_walk_refuses_to_cut_deep_payloads(spark):
-    doc: dict = {"cart_item": {"product_id": 1}}
-    for _ in range(15):
-        doc = {"n": doc}
-    df = variants(spark, [doc])
-    with pytest.raises(Exception, match="nested deeper"):
-        payloads.walk_cart_items(df, max_depth=10).collect()
+def test_walk_reaches_any_depth(spark):
+    doc: dict = {"cart_item": {"product_id": 1, "note": "]}[{\\"}}
+    for _ in range(30):
+        doc = {"n": [doc]}
+    df = variants(spark, [doc, {"cart_item": {"product_id": 2}}])
+    assert payloads.nesting(df) == 62
+    assert payloads.walk_cart_items(df).count() == 2
     assert payloads.walk_cart_items(df, max_depth=18).count() == 1
 
 
+def test_rejects_carry_their_reason(spark):
+    items = [("r", 1, "blinkit", {"name": "a", "price": 1}), ("r", 2, "blinkit", {"price": 1}),
+             ("r", 3, "zepto", {"name": "a", "price": 0}), ("r", 4, "else", {"name": "a"}), ("r", 5, None, {})]
+    df = spark.createDataFrame([(*r[:3], json.dumps(r[3])) for r in items], "run_id string, seq long, platform string, t string")
+    df = df.select("run_id", "seq", "platform", F.lit("c").alias("category"), F.parse_json("t").alias("item"))
+    got = {r["seq"]: r["reason"] for r in listings.parse_rejects(df).collect()}
+    assert got == {2: "name missing", 3: "price not positive", 4: "platform unknown", 5: "platform unknown"}
+    assert listings.parse_items(df).count() == 1
+
+
 def test_bff_product_in_paise(spark):
     doc = [{"id": "p1", "mrp": 5550, "discountedSellingPrice": 4999, "availableQuantity": 3,
             "outOfStock": False, "product": {"name": "Curd", "brand": "B"},
