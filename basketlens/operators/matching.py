@@ -243,8 +243,11 @@ def assign_canonicals(
             {"canonical_id": F.col("id"), "similarity_score": F.lit(1.0), "_joined": F.lit(False)}
         )
     else:
-        accepted = match_guards(best_match(matches, threshold), catalog, mrp, tolerance).where(
-            F.col("reject_reason").isNull()
+        # Founders, mappings and figures are made of these; match once.
+        accepted = cut_lineage(
+            match_guards(best_match(matches, threshold), catalog, mrp, tolerance).where(
+                F.col("reject_reason").isNull()
+            )
         )
         targets = marked.where("is_anchor").select(
             F.col("id").alias("corpus_id"), F.col("id").alias("target"),
