@@ -2,7 +2,6 @@ from __future__ import annotations
 
 import json
 
-import pytest
 from pyspark.sql import functions as F
 
 from basketlens.sources import dims, listings, payloads, snapshots
