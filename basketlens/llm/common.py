@@ -22,6 +22,13 @@ def unpacked(df: DataFrame, names: list[str], **new: Column) -> DataFrame:
     return df.select(*kept, *[col.alias(c) for c, col in new.items() if c not in names])
 
 
+def about(rows: DataFrame, wanted: int, *key: str) -> DataFrame:
+    """About ``wanted`` of the rows, chosen by the hash of ``key``; all if there are fewer."""
+    spot = F.pmod(F.xxhash64(*key, F.lit("about")), F.lit(1 << 30))
+    share = min(1.0, wanted / max(1, rows.count()))
+    return rows.where(spot < int(share * (1 << 30)))
+
+
 def sample_by_label(
     labelled: DataFrame, id_col: str, text_col: str, label_col: str, rows: int, more: tuple[str, ...] = ()
 ) -> DataFrame:

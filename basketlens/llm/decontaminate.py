@@ -1,11 +1,11 @@
 """Benchmark decontamination with DataFrame functions only.
 
 The benchmark's items are cut into windows of ``n`` words (an item of fewer words is one
-window); the distinct windows are the hash set.  Every document is scanned: its windows of
-the lengths that occur are probed in a broadcast hash join whose key is the window's text
-itself, so a hit is verified by the probe.  If the windows are larger than
-``broadcast_limit`` bytes, the same join is left to a shuffle, where adaptive execution
-splits frequent windows.  Long documents are scanned in segments that overlap by a window.
+window).  Every document is scanned: the 64-bit hashes of its windows, of the lengths that
+occur, are probed in a broadcast hash join with those of the benchmark.  Hits are verified on
+the words.  If the benchmark's windows are larger than ``broadcast_limit`` bytes, the same join
+is left to a shuffle, where adaptive execution splits frequent windows.  Long documents are
+scanned in segments that overlap by a window.
 
 Defined results: a null text has no words, as has one without a word character; it has no
 hits.  Items without words have no window.  Items with equal windows are all counted.  Rows
@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .common import unpacked, whole_row
 
 #: A word of the original text, and the characters between words.
@@ -39,31 +40,47 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(ascii_lower(text), F.lit(WORD), F.lit(0)), F.array())
 
 
-def windows(terms: Column, size: int) -> Column:
-    """All runs of ``size`` words; none if there are fewer words."""
+def window_codes(hashes: Column, size: int) -> Column:
+    """(start, size, code) of all runs of ``size`` words; none if there are fewer words."""
     starts = F.when(
-        F.size(terms) >= size, F.sequence(F.lit(1), F.size(terms) - (size - 1))
+        F.size(hashes) >= size, F.sequence(F.lit(1), F.size(hashes) - (size - 1))
     ).otherwise(F.array().cast("array<int>"))
     return F.transform(
         starts,
         lambda i: F.struct(
-            i.alias("start"), F.array_join(F.slice(terms, i, size), " ").alias("window")
+            i.alias("start"),
+            F.lit(size).alias("size"),
+            F.xxhash64(F.lit(size), *[F.get(hashes, i + (k - 1)) for k in range(size)]).alias("code"),
         ),
     )
 
 
+def word_hashes(terms: Column) -> Column:
+    return F.transform(terms, lambda w: F.xxhash64(w))
+
+
+def run(terms: Column, start: Column, size: Column) -> Column:
+    """The words of a window as one string."""
+    return F.array_join(F.slice(terms, start, size), " ")
+
+
 def item_windows(benchmark: DataFrame, n: int) -> DataFrame:
-    """Distinct (item_id, size, window)."""
-    items = benchmark.select("item_id", words(F.col("text")).alias("terms")).where(
-        F.size("terms") > 0
-    )
-    whole = items.where(F.size("terms") < n).select(
-        "item_id", F.size("terms").alias("size"), F.array_join("terms", " ").alias("window")
+    """Distinct (item_id, size, code, window)."""
+    items = benchmark.select("item_id", words(F.col("text")).alias("terms")).withColumn(
+        "hashes", word_hashes(F.col("terms"))
     )
-    cut = items.where(F.size("terms") >= n).select(
-        "item_id", F.lit(n).alias("size"), F.explode(windows(F.col("terms"), n)).alias("w")
-    )
-    return whole.unionAll(cut.select("item_id", "size", "w.window")).distinct()
+    by_size = F.array().cast("array<struct<start:int,size:int,code:bigint>>")
+    for size in range(1, n):
+        by_size = F.when(F.size("terms") == size, window_codes(F.col("hashes"), size)).otherwise(by_size)
+    by_size = F.when(F.size("terms") >= n, window_codes(F.col("hashes"), n)).otherwise(by_size)
+    return (
+        items.select("item_id", "terms", F.explode(by_size).alias("w"))
+        .select(
+            "item_id", "w.size", "w.code",
+            run(F.col("terms"), F.col("w.start"), F.col("w.size")).alias("window"),
+        )
+        .distinct()
+    )
 
 
 def text_key(text: Column) -> Column:
@@ -75,43 +92,69 @@ def hits(
 ) -> DataFrame:
     """Per document with hits: doc_id, _text, covered word positions (from 1), item ids."""
     found_in = item_windows(benchmark, n)
-    distinct = found_in.select("size", "window").distinct()
+    distinct = found_in.select("size", "code", "window").distinct()
     measured = distinct.agg(
-        F.collect_set("size").alias("sizes"), F.sum(F.octet_length("window") + 48).alias("bytes")
+        F.collect_set("size").alias("sizes"), F.sum(F.octet_length("window") + 64).alias("bytes")
     ).first()
     sizes = sorted(measured["sizes"])
     small = (measured["bytes"] or 0) <= broadcast_limit
     probe = F.broadcast(distinct) if small else distinct
 
-    rows = docs.select("doc_id", text_key(F.col("text")).alias("_text"), words(F.col("text")).alias("terms"))
-    cuts = F.sequence(F.lit(0), F.greatest(F.size("terms") - 1, F.lit(0)), F.lit(SEGMENT))
-    segments = rows.where(F.size("terms") > 0).select(
+    rows = docs.select(
+        "doc_id",
+        text_key(F.col("text")).alias("_text"),
+        word_hashes(words(F.col("text"))).alias("hashes"),
+    )
+    cuts = F.sequence(F.lit(0), F.greatest(F.size("hashes") - 1, F.lit(0)), F.lit(SEGMENT))
+    segments = rows.where(F.size("hashes") > 0).select(
         "doc_id",
         "_text",
         F.explode(
             F.transform(
                 cuts,
                 lambda c: F.struct(
-                    c.alias("before"), F.slice(F.col("terms"), c + 1, SEGMENT + n - 1).alias("terms")
+                    c.alias("before"), F.slice("hashes", c + 1, F.lit(SEGMENT + n - 1)).alias("hashes")
                 ),
             )
         ).alias("s"),
     )
-    every = F.flatten(F.array(*[windows(F.col("s.terms"), size) for size in sizes])) if sizes else (
-        F.array().cast("array<struct<start:int,window:string>>")
-    )
-    scanned = segments.select("doc_id", "_text", "s.before", F.explode(every).alias("w")).select(
-        "doc_id", "_text", (F.col("before") + F.col("w.start")).alias("start"), "w.window"
+    nothing = F.array().cast("array<struct<start:int,size:int,code:bigint>>")
+    every = F.concat(nothing, *[window_codes(F.col("s.hashes"), size) for size in sizes])
+    candidates = (
+        segments.select("doc_id", "_text", "s.before", F.explode(every).alias("w"))
+        .select(
+            "doc_id", "_text", (F.col("before") + F.col("w.start")).alias("start"), "w.size", "w.code"
+        )
+        .join(probe, ["size", "code"])
+        .groupBy("doc_id", "_text")
+        .agg(F.collect_set(F.struct("start", "size", "window")).alias("found"))
+    )
+    texts = docs.select(
+        F.col("doc_id").alias("_id"), F.col("text"), text_key(F.col("text")).alias("_key")
+    )
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_key"))
+    verified = (
+        candidates.join(texts, same)
+        .withColumn("terms", words(F.col("text")))
+        .withColumn(
+            "found",
+            F.filter("found", lambda h: run(F.col("terms"), h["start"], h["size"]) == h["window"]),
+        )
+    )
+    hit = cut_lineage(
+        verified.select("doc_id", "_text", F.explode("found").alias("h"))
+        .select("doc_id", "_text", "h.start", "h.size", "h.window")
+        .distinct()
     )
-    hit = scanned.join(probe, "window")
     positions = F.sequence("start", F.col("start") + F.col("size") - 1)
     covered = hit.groupBy("doc_id", "_text").agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_set(positions)))).alias("covered")
     )
+    named = found_in.select("item_id", "window")
     items = (
         hit.select("doc_id", "_text", "window")
         .distinct()
-        .join(F.broadcast(found_in) if small else found_in, "window")
+        .join(F.broadcast(named) if small else named, "window")
         .groupBy("doc_id", "_text")
         .agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
     )
@@ -131,12 +174,17 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFra
 
 def report(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
     """Per document: words, words hit, items with occurring windows."""
-    counted = F.coalesce(F.regexp_count("row.text", F.lit(WORD)), F.lit(0)).cast("long")
+    found = hits(docs, benchmark, n)
+    counted = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    rows = docs.select(
+        F.col("doc_id").alias("_id"), text_key(F.col("text")).alias("_key"), counted.alias("n_words")
+    )
+    same = F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_key") == F.col("_text"))
     n_hit = F.when(F.col("covered").isNull(), F.lit(0)).otherwise(F.size("covered")).cast("long")
     items = F.coalesce("items", F.array().cast("array<string>"))
-    return with_hits(docs.select("doc_id", "text"), benchmark, n).select(
-        "row.doc_id",
-        counted.alias("n_words"),
+    return rows.join(found, same, "left").select(
+        F.col("_id").alias("doc_id"),
+        "n_words",
         n_hit.alias("n_hit"),
         F.size(items).cast("long").alias("n_items"),
         F.sha2(F.array_join(items, ",").cast("binary"), 256).alias("items_sha256"),

@@ -142,7 +142,7 @@ def train(
             ]
         )
     )
-    pieces = (
+    pieces = cut_lineage(
         words.select("label", F.explode(every).alias("entry"))
         .where(F.length("entry") <= longest)
         .groupBy("label", "entry")
@@ -150,8 +150,16 @@ def train(
     )
 
     def most(table: DataFrame, limit: int) -> list:
-        ordered = table.orderBy(F.desc("count"), "entry", "label").limit(limit)
-        return [(r["entry"], r["label"], r["count"]) for r in ordered.collect()]
+        """The entries down to the lowest count at which they are not more than ``limit``."""
+        least, n = 1, 0
+        levels = table.groupBy("count").agg(F.count(F.lit(1)).alias("n")).collect()
+        for level in sorted(levels, key=lambda r: -r["count"]):
+            n += level["n"]
+            if n > limit:
+                least = level["count"] + 1
+                break
+        kept = table.where(F.col("count") >= least)
+        return [(r["entry"], r["label"], r["count"]) for r in kept.collect()]
 
     shares = {r[0]: r[1] for r in chosen.groupBy("label").count().collect()}
     return Model(most(words, MOST_WORDS), most(pieces, MOST_GRAMS), shares, longest)

@@ -1,10 +1,10 @@
 """Jaccard join of documents on word n-grams, and its components.
 
 Equal sets are joined first, by a 128-bit digest.  Distinct sets meet in tiles: sizes are cut
-into bands, and within a band the space of n-gram hashes is cut into one part more than two
-linked sets of the band can differ in elements.  Linked sets then agree in a whole part, so
-the tile (band, part, hash of the part's elements) holds them both, and a passage that many
-documents share makes no tile unless it fills a whole part.  Tiles hang their sets on one of
+into bands, and within a band the space of n-gram hashes is cut into more parts than two linked
+sets of the band can differ in elements.  Linked sets then agree in a whole part that is not
+empty, so the tile (band, part, hash of the part's elements) holds them both, and a passage
+that many documents share makes no tile unless it fills a whole part.  Tiles hang their sets on one of
 them; the components of these candidate links are compared within a task: sizes, then the
 bit counts of hashed bitmaps (which bound the overlap from above), then the sorted arrays.
 Pairs that are connected already are passed over, so a group of near copies takes few
@@ -24,6 +24,7 @@ read whole.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,43 +42,57 @@ WORDS, PERCENT = 3, 90
 BAND_RATIO = 1.6
 #: Sets and n-grams of one comparing task; pivots of a larger candidate component.
 CHUNK_SETS, CHUNK_GRAMS, PIVOTS = 3_000, 4_000_000, 8
-#: Further partitions for parts without elements.
-LEVELS = 3
+#: Partitions tried for sets that leave many parts empty.
+LEVELS = 6
 
 
-def bands(largest: int, percent: int) -> list[tuple[int, int, int, int]]:
-    """(lowest, highest size at home, highest size of a guest, parts) of every band."""
+def bands(largest: int, percent: int) -> list[tuple[int, int, int, int, int]]:
+    """(lowest, highest size at home, highest size of a guest, parts, spare) of every band.
+
+    Two linked sets of a band agree in ``spare + 1`` parts at least.  ``spare`` is what the
+    smallest sets of the band can be expected to leave empty, if that is possible.
+    """
     out, low = [], 1
     while low <= largest:
         high = max(low, int(low * BAND_RATIO) - 1)
         guest = high * 100 // percent
-        out.append((low, high, guest, (100 - percent) * (high + guest) // (100 + percent) + 1))
+        least = (100 - percent) * (high + guest) // (100 + percent) + 1
+        spare = least // 4
+        for wanted in range(spare):
+            empty = (least + wanted) * math.exp(-low / (least + wanted))
+            if empty + 3 * math.sqrt(empty) <= wanted:
+                spare = wanted
+                break
+        out.append((low, high, guest, least + spare, spare))
         low = high + 1
     return out
 
 
 class Tiles:
-    """The tiles a set belongs to."""
+    """The tiles a set belongs to: one for each part that holds elements.
+
+    A set that leaves more parts empty than the band spares also takes the tiles of another
+    partition, and so on; after the last one, all such sets of the band share a tile.
+    """
 
     def __init__(self, percent: int) -> None:
         self.percent, self.bands, self.largest = percent, [], 0
 
-    def _parts(self, grams: np.ndarray, parts: int, seed: int, level: int) -> np.ndarray:
-        """Hashes that are equal where the elements of a part are equal."""
-        values = grams if not level else np.sort(mixed(grams + stepped(level)))
+    def _in_band(self, grams: np.ndarray, band: int, parts: int, spare: int) -> list[np.ndarray]:
+        found = []
         edges = (np.arange(1, parts, dtype=np.float64) * (2.0**64 / parts)).astype(np.uint64)
-        ends = np.concatenate([[0], np.searchsorted(values, edges), [len(values)]])
-        with np.errstate(over="ignore"):
-            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(values + STEP))])
-            number = np.arange(parts, dtype=np.uint64) + np.uint64(seed)
-            keys = mixed((sums[ends[1:]] - sums[ends[:-1]]) + mixed(number * STEP))
-        empty = np.flatnonzero(ends[1:] == ends[:-1])
-        if level + 1 < LEVELS and len(empty):
-            again = [
-                self._parts(grams, parts, int(keys[p] >> np.uint64(1)), level + 1) for p in empty
-            ]
-            keys = np.concatenate([np.delete(keys, empty), *again])
-        return keys
+        for level in range(LEVELS):
+            values = grams if not level else np.sort(mixed(grams + stepped(level)))
+            ends = np.concatenate([[0], np.searchsorted(values, edges), [len(values)]])
+            with np.errstate(over="ignore"):
+                sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(values + STEP))])
+                place = np.arange(parts, dtype=np.uint64) + np.uint64((band * LEVELS + level) << 32)
+                keys = mixed((sums[ends[1:]] - sums[ends[:-1]]) + mixed(place * STEP))
+            full = ends[1:] > ends[:-1]
+            found.append(keys[full])
+            if parts - int(full.sum()) <= spare:
+                return found
+        return [*found, mixed(np.array([stepped(band + 1)], dtype=np.uint64))]
 
     def of(self, grams: np.ndarray) -> np.ndarray:
         n = len(grams)
@@ -85,9 +100,10 @@ class Tiles:
             self.largest = 2 * n
             self.bands = bands(self.largest, self.percent)
         found = [
-            self._parts(grams, parts, at << 32, 0)
-            for at, (low, high, guest, parts) in enumerate(self.bands)
+            keys
+            for band, (low, high, guest, parts, spare) in enumerate(self.bands)
             if low <= n <= max(high, guest)
+            for keys in self._in_band(grams, band, parts, spare)
         ]
         return np.unique(np.concatenate(found)) if found else np.empty(0, np.uint64)
 
@@ -105,35 +121,44 @@ def digest(grams: np.ndarray) -> tuple[int, int]:
     )
 
 
-def described(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """doc_id, n, digest (hi, lo; null for an empty set) and tiles of every row."""
+def described(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, n and digest (hi, lo; null for an empty set) of every row."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            n, hi, lo = [], [], []
+            for value in batch.column("text"):
+                grams = gram_set(hashes, value.as_py() or "", words)
+                a, b = digest(grams) if len(grams) else (None, None)
+                n.append(len(grams))
+                hi.append(a)
+                lo.append(b)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), *[pa.array(c, pa.int64()) for c in (n, hi, lo)]],
+                ["doc_id", "n", "hi", "lo"],
+            )
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string"))
+    return rows.mapInArrow(describe, "doc_id long, n long, hi long, lo long")
+
+
+def posted(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """(tile, doc_id) of every tile of every row with an id."""
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, tiles = WordHashes(), Tiles(percent)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1_000):
-                part = batch.slice(at, 1_000)
-                n, hi, lo, keys = [], [], [], []
-                for value in part.column("text"):
-                    grams = gram_set(hashes, value.as_py() or "", words)
-                    n.append(len(grams))
-                    a, b = digest(grams) if len(grams) else (None, None)
-                    hi.append(a)
-                    lo.append(b)
-                    keys.append(tiles.of(grams).view(np.int64) if len(grams) else None)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("doc_id"),
-                        pa.array(n, pa.int64()),
-                        pa.array(hi, pa.int64()),
-                        pa.array(lo, pa.int64()),
-                        pa.array(keys, pa.list_(pa.int64())),
-                    ],
-                    ["doc_id", "n", "hi", "lo", "tiles"],
-                )
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                ids = np.array(part.column("doc_id").to_pylist(), dtype=np.int64)
+                keys = [tiles.of(gram_set(hashes, t.as_py() or "", words)) for t in part.column("text")]
+                owners = np.repeat(ids, [len(k) for k in keys])
+                found = np.concatenate(keys).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(owners)], ["tile", "doc_id"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string"))
-    return rows.mapInArrow(describe, "doc_id long, n long, hi long, lo long, tiles array<long>")
+    return rows.where("doc_id IS NOT NULL").mapInArrow(post, "tile long, doc_id long")
 
 
 class Joiner:
@@ -260,15 +285,21 @@ def join_groups(rows: DataFrame, keys: list[str], words: int, percent: int) -> D
 
 
 def links(docs: DataFrame, sets: DataFrame, words: int, percent: int) -> DataFrame:
-    """Spanning links (u, v) of the distinct sets; sets: doc_id, n, tiles."""
-    posted = sets.select("doc_id", F.explode("tiles").alias("tile"))
+    """Spanning links (u, v) of the distinct sets; sets: doc_id, n."""
+    # dealt out by tile once, for the search and for the join; a row is two numbers, and the
+    # many tiles of a large group of near copies go to as many tasks
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tiles = posted(docs, words, percent).repartition(parts, "tile")
     shared = (
-        posted.groupBy("tile")
+        tiles.groupBy("tile")
         .agg(F.min("doc_id").alias("u"), F.max("doc_id").alias("most"))
         .where("u <> most")
     )
-    hung = posted.join(shared, "tile").where("doc_id <> u").select("u", F.col("doc_id").alias("v"))
-    grouped = cut_lineage(components(hung.distinct()))
+    hung = tiles.join(shared, "tile").where("doc_id <> u").select("u", F.col("doc_id").alias("v"))
+    # the lowest document of a tile stands for its set; of the others, copies can go
+    ids = sets.select(F.col("doc_id").alias("v")).distinct()
+    hung = hung.distinct().join(ids, "v", "left_semi")
+    grouped = cut_lineage(components(hung))
     sized = grouped.join(sets.select(F.col("doc_id").alias("vertex"), "n"), "vertex")
     counted = sized.groupBy("root").agg(F.count("*").alias("sets"), F.sum("n").alias("grams"))
     chunks = F.greatest(
@@ -336,11 +367,11 @@ def links(docs: DataFrame, sets: DataFrame, words: int, percent: int) -> DataFra
 
 def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id."""
-    rows = cut_lineage(described(docs, words, percent))
+    rows = cut_lineage(described(docs, words))
     sets = cut_lineage(
         rows.where("n > 0 AND doc_id IS NOT NULL")
         .groupBy("hi", "lo")
-        .agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("tiles").alias("tiles"))
+        .agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
     )
     found = links(docs, sets, words, percent)
     # an id with several texts joins their sets

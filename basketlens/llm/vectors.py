@@ -28,6 +28,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import about
+
 #: Pivots, length of the ordered lists, vectors and queries of a task.
 PIVOTS, LISTED, BLOCK, QUERIES_AT_ONCE = 256, 64, 16_384, 4_096
 #: Part of a block that is reranked exactly, and the least number.
@@ -119,7 +121,8 @@ def search(
     distinct = small.where("n = 1").select("place", "v")
     queries = ids.where(is_query)
 
-    sampled = distinct.orderBy("place", "v").limit(pivots).collect()
+    sampled = about(distinct, pivots, "place").orderBy("place", "v").collect()
+    sampled = sampled or distinct.limit(1).collect()
     if not sampled:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     sent = spark.sparkContext.broadcast(np.array([r["v"] for r in sampled]))

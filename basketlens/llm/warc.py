@@ -29,6 +29,8 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import about
+
 #: Fixed values of the format: the magic number of the skippable frame that holds a dictionary.
 DICTIONARY_FRAME = 0x184D2A5D
 LEAST, ARCHIVE_BYTES = 1_000, 1 << 30
@@ -116,11 +118,10 @@ def write(
     """Write the archives; the manifest has path, n_records, n_bytes."""
     import zstandard
 
+    chosen = about(pages.where(F.length("html") > 0), SAMPLE_RECORDS, "page_id", "url")
     sample = (
-        pages.where(F.length("html") > 0)
-        .orderBy(F.xxhash64("page_id", "url"), "page_id")
-        .select("page_id", "url", F.substring("html", 1, SAMPLE_BYTES).alias("html"))
-        .limit(SAMPLE_RECORDS)
+        chosen.select("page_id", "url", F.substring("html", 1, SAMPLE_BYTES).alias("html"))
+        .orderBy("page_id", "url", "html")
         .collect()
     )
     samples = []

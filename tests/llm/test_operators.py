@@ -267,6 +267,26 @@ def test_ngram_join_equals_brute_force(spark, monkeypatch, chunk):
     assert {r[0]: (r[1], r[2]) for r in got} == brute_components(rows)
 
 
+@pytest.mark.parametrize("percent", [90, 80, 50])
+def test_linked_sets_share_a_tile(percent):
+    """Sets that differ as much as the bound allows, of all small and some large sizes."""
+    rng = np.random.default_rng(percent)
+    tiles = ngram_join.Tiles(percent)
+    for n in [*range(1, 60), 100, 377, 2000]:
+        for _ in range(40 if n < 60 else 5):
+            grams = rng.integers(0, 2**64, 3 * n + 3, dtype=np.uint64)
+            a = np.unique(grams[:n])
+            gone = rng.integers(0, (100 - percent) * n // 100 + 1)
+            new = ((n - gone) * 100 // percent) - n
+            if new < 0:
+                continue
+            new = rng.integers(0, new + 1)
+            b = np.unique(np.concatenate([a[gone:], grams[n : n + new]]))
+            shared = n - gone
+            assert 100 * shared >= percent * (len(a) + len(b) - shared)
+            assert len(np.intersect1d(tiles.of(a), tiles.of(b)))
+
+
 def test_ngram_join_table(spark):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "text")
     got = queries.op5_ngram_join(spark, SF_DIR).collect()
