@@ -15,6 +15,8 @@ the hits of its own text; null ids are compared as equal.  Other columns are pas
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,6 +61,11 @@ def word_hashes(terms: Column) -> Column:
     return F.transform(terms, lambda w: F.xxhash64(w))
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once a row, however often it is named."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def run(terms: Column, start: Column, size: Column) -> Column:
     """The words of a window as one string."""
     return F.array_join(F.slice(terms, start, size), " ")
@@ -100,23 +107,19 @@ def hits(
     small = (measured["bytes"] or 0) <= broadcast_limit
     probe = F.broadcast(distinct) if small else distinct
 
-    rows = docs.select(
+    def segments_of(hashes: Column) -> Column:
+        cuts = F.sequence(F.lit(0), F.greatest(F.size(hashes) - 1, F.lit(0)), F.lit(SEGMENT))
+        return F.transform(
+            cuts,
+            lambda c: F.struct(
+                c.alias("before"), F.slice(hashes, c + 1, F.lit(SEGMENT + n - 1)).alias("hashes")
+            ),
+        )
+
+    segments = docs.select(
         "doc_id",
         text_key(F.col("text")).alias("_text"),
-        word_hashes(words(F.col("text"))).alias("hashes"),
-    )
-    cuts = F.sequence(F.lit(0), F.greatest(F.size("hashes") - 1, F.lit(0)), F.lit(SEGMENT))
-    segments = rows.where(F.size("hashes") > 0).select(
-        "doc_id",
-        "_text",
-        F.explode(
-            F.transform(
-                cuts,
-                lambda c: F.struct(
-                    c.alias("before"), F.slice("hashes", c + 1, F.lit(SEGMENT + n - 1)).alias("hashes")
-                ),
-            )
-        ).alias("s"),
+        F.explode(once(word_hashes(words(F.col("text"))), segments_of)).alias("s"),
     )
     nothing = F.array().cast("array<struct<start:int,size:int,code:bigint>>")
     every = F.concat(nothing, *[window_codes(F.col("s.hashes"), size) for size in sizes])
@@ -133,13 +136,14 @@ def hits(
         F.col("doc_id").alias("_id"), F.col("text"), text_key(F.col("text")).alias("_key")
     )
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_key"))
-    verified = (
-        candidates.join(texts, same)
-        .withColumn("terms", words(F.col("text")))
-        .withColumn(
-            "found",
-            F.filter("found", lambda h: run(F.col("terms"), h["start"], h["size"]) == h["window"]),
-        )
+    verified = candidates.join(texts, same).withColumn(
+        "found",
+        once(
+            words(F.col("text")),
+            lambda terms: F.filter(
+                "found", lambda h: run(terms, h["start"], h["size"]) == h["window"]
+            ),
+        ),
     )
     hit = cut_lineage(
         verified.select("doc_id", "_text", F.explode("found").alias("h"))
