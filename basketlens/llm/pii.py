@@ -13,14 +13,21 @@ Kinds and what stays as it is:
 * card: 13-19 digits with a right Luhn sum; separators stay, the check digit is recomputed.
 * number: other runs of 9-19 digits (not valid cards); separators stay.
 * phone: ``+`` and country code stay, all later digits are permuted; separators stay.
-* ssn, iban: separators, IBAN country code stay; IBAN check digits are recomputed.
+* ssn, iban: separators, IBAN country code stay; IBAN check digits are recomputed.  An
+  IBAN ends at its country's length, whatever capitals and digits follow.
 * ip: a valid IPv4 address becomes a valid one.
 * email: letters become letters of that case, digits digits; ``@``, dots and the last
   label (top-level domain) stay.
 * date: a calendar day 1900-2099 becomes another one in that notation.
 * access_key: the prefix of four letters stays.
 * secret: runs of 16 and more hexadecimal or base64 characters, with letters and digits,
-  after a quote or an equals sign, each character within its class.
+  after a quote or an equals sign, each character within its class.  A whole run that is
+  another kind's valid value is of that kind, quoted or not; a longer run is a secret, but
+  for an IBAN or access key at its start.
+
+The search goes on one character behind the start of what fails its check.  Such a value
+gives the same pseudonym as elsewhere, but where it overlaps what failed, that may pass its
+check with the pseudonym (one card in ten), and :func:`restore` then misses the value.
 
 Defined results: a null text stays null and counts no replacements, an empty one stays
 empty; a text without personal data is returned unchanged.  Rows are independent, so
@@ -48,23 +55,53 @@ DAYS = datetime.date(2100, 1, 1).toordinal() - FIRST_DAY
 VALUES_KEPT = 100_000
 LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 
-#: Tried in this order at each place.
-PATTERN = re.compile(
-    r"(?P<email>(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24})"
-    r"|(?P<secret>(?<=[\"'=])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/_-]))"
-    r"|(?P<access_key>(?<![A-Za-z0-9])A(?:KIA|SIA)[A-Z0-9]{16}(?![A-Za-z0-9]))"
-    r"|(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))"
-    r"|(?P<date>(?<![0-9A-Za-z./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}"
-    r"|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9A-Za-z]|[./-][0-9]))"
-    r"|(?P<ip>(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z]|\.[0-9]))"
-    r"|(?P<phone>(?<![0-9A-Za-z+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9])"
+RUN = "A-Za-z0-9+/_-"
+#: Tried in this order at each place; what fails its check is left to the next ones.
+KINDS = {
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24}",
+    "access_key": r"(?<![A-Za-z0-9])A(?:KIA|SIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "date": r"(?<![0-9A-Za-z./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}"
+    r"|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9A-Za-z]|[./-][0-9])",
+    "ip": r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z]|\.[0-9])",
+    "phone": r"(?<![0-9A-Za-z+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9])"
     r"|(?<![0-9A-Za-z])\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])"
-    r"|(?<![0-9A-Za-z.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9]))"
-    r"|(?P<ssn>(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z]|-[0-9]))"
-    r"|(?P<card>(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){2}[ -][0-9]{1,7}"
-    r"|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9A-Za-z]))"
-    r"|(?P<number>(?<![0-9A-Za-z])[0-9]{9,19}(?![0-9A-Za-z]))"
-)
+    r"|(?<![0-9A-Za-z.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9])",
+    "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z]|-[0-9])",
+    "card": r"(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){2}[ -][0-9]{1,7}"
+    r"|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9A-Za-z])",
+    "number": r"(?<![0-9A-Za-z])[0-9]{9,19}(?![0-9A-Za-z])",
+    "secret": rf"(?<=[\"'=])(?=[+/_A-Za-z-]*[0-9])(?=[+/_0-9-]*[A-Za-z])[{RUN}]{{16,}}={{0,2}}(?![{RUN}])",
+}
+PATTERN = re.compile("|".join(f"(?P<{k}>{p})" for k, p in KINDS.items()))
+ONE = {k: re.compile(p) for k, p in KINDS.items()}
+#: Kinds that a secret beginning at the same place and ending later does not take over.
+CERTAIN = ("email", "access_key", "iban")
+#: Length of a country's account numbers; other countries' end where the pattern does.
+IBAN_LENGTHS = {
+    country: size
+    for size, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK",
+        21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+        24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR",
+        27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+        29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for country in countries.split()
+}
+
+
+def iban_within(value: str) -> str | None:
+    """The start of ``value`` that has the length of its country's account numbers."""
+    size = IBAN_LENGTHS.get(value[:2])
+    if size is None:
+        return value
+    ends = [i for i, c in enumerate(value, 1) if c != " "]
+    if len(ends) < size or value[ends[size - 1] :][:1].isalnum():
+        return None
+    return value[: ends[size - 1]]
+
+
 #: A text can only hold any of these if it has one of these characters.
 HINT = re.compile(r"[0-9@]|A[KS]IA")
 
@@ -126,17 +163,23 @@ class Pseudonyms:
         self.feistel = Feistel(key, back)
         self.known: dict[tuple[str, str], tuple[str, str] | None] = {}
 
-    def _string(self, value: str, alphabets: list[str], tweak: str) -> str:
+    def _string(
+        self, value: str, alphabets: list[str], tweak: str, valid: Callable[[str], bool] | None = None
+    ) -> str:
         """Permute a string whose characters each come from an alphabet of their own."""
         number = size = 0
         for c, letters in zip(value, alphabets):
             number, size = number * len(letters) + letters.index(c), (size or 1) * len(letters)
-        number = self.feistel.permute(number, size, f"{tweak}:{[len(a) for a in alphabets]}")
-        out = []
-        for letters in reversed(alphabets):
-            number, at = divmod(number, len(letters))
-            out.append(letters[at])
-        return "".join(reversed(out))
+
+        def spelled(number: int) -> str:
+            out = []
+            for letters in reversed(alphabets):
+                number, at = divmod(number, len(letters))
+                out.append(letters[at])
+            return "".join(reversed(out))
+
+        fits = valid and (lambda n: valid(spelled(n)))
+        return spelled(self.feistel.permute(number, size, f"{tweak}:{[len(a) for a in alphabets]}", fits))
 
     def _digits(self, value: str, tweak: str) -> str:
         return self._string(value, [DIGITS] * len(value), tweak)
@@ -179,11 +222,15 @@ class Pseudonyms:
     def ssn(self, value: str) -> str:
         return self._into(value, self._digits(value.replace("-", ""), "ssn"))
 
-    def iban(self, value: str) -> str | None:
+    def _is_iban(self, value: str) -> bool:
         plain = value.replace(" ", "")
-        country, check, account = plain[:2], plain[2:4], plain[4:]
-        if iban_sum(country, account, check) != 1:
+        return iban_sum(plain[:2], plain[4:], plain[2:4]) == 1
+
+    def iban(self, value: str) -> str | None:
+        if not self._is_iban(value):
             return None
+        plain = value.replace(" ", "")
+        country, account = plain[:2], plain[4:]
         account = self._string(account, self._classes(account), "iban" + country)
         check = str(98 - iban_sum(country, account)).zfill(2)
         return self._into(value, country + check + account, lambda c: c != " ")
@@ -218,12 +265,21 @@ class Pseudonyms:
 
     def secret(self, value: str) -> str | None:
         letters = re.sub("[^A-Za-z0-9]", "", value)
-        if not re.search("[0-9]", letters) or not re.search("[A-Za-z]", letters):
+
+        def secret_again(s: str) -> bool:
+            new = self._into(value, s, str.isalnum)
+            if not re.search("[0-9]", s) or not re.search("[A-Za-z]", s) or ONE["access_key"].match(new):
+                return False
+            m = ONE["iban"].match(new)
+            account = m and iban_within(m[0])
+            return not account or not self._is_iban(account)
+
+        if not secret_again(letters):
             return None
+        alphabets, tweak = self._classes(letters), "secret"
         if re.fullmatch("[0-9a-f]+", letters):
-            return self._into(value, self._string(letters, [DIGITS + "abcdef"] * len(letters), "hex"), str.isalnum)
-        letters = self._string(letters, self._classes(letters), "secret")
-        return self._into(value, letters, str.isalnum)
+            alphabets, tweak = [DIGITS + "abcdef"] * len(letters), "hex"
+        return self._into(value, self._string(letters, alphabets, tweak, secret_again), str.isalnum)
 
     def access_key(self, value: str) -> str:
         return value[:4] + self._string(value[4:], [DIGITS + UPPER] * 16, "access_key")
@@ -240,21 +296,35 @@ class Pseudonyms:
             self.known[key] = None if found is None else (kind, found)
         return self.known[key]
 
+    def _at(self, text: str, start: int) -> tuple[str, str, int] | None:
+        """Kind, pseudonym and end of the first valid value that begins at ``start``."""
+        secret = ONE["secret"].match(text, start)
+        for kind, pattern in ONE.items():
+            m = pattern.match(text, start)
+            value = iban_within(m[0]) if m and kind == "iban" else m and m[0]
+            if value is None or (secret and kind not in CERTAIN and m.end() < secret.end()):
+                continue
+            found = self.replaced(kind, value)
+            if found is not None:
+                return *found, start + len(value)
+        return None
+
     def text(self, text: str) -> tuple[str, list[tuple[str, int, int]]]:
         """The text with pseudonyms, and (kind, start, end) of each within the new text."""
         if not HINT.search(text):
             return text, []
-        out, spans, at, size = [], [], 0, 0
-        for m in PATTERN.finditer(text):
-            found = self.replaced(m.lastgroup, m[0])
+        out, spans, at, size, look = [], [], 0, 0, 0
+        while m := PATTERN.search(text, look):
+            found = self._at(text, m.start())
             if found is None:
+                look = m.start() + 1
                 continue
-            kind, value = found
+            kind, value, end = found
             out += [text[at : m.start()], value]
             size += m.start() - at
             spans.append((kind, size, size + len(value)))
             size += len(value)
-            at = m.end()
+            at = look = end
         return "".join([*out, text[at:]]) if out else text, spans
 
 
