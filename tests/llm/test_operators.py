@@ -223,6 +223,29 @@ def test_compact_windows_cover_every_passage():
             assert any(a <= i and j <= b and c == low for a, c, b in found)
 
 
+def test_passages_version_chains(spark):
+    """v1 ~ v2 and v2 ~ v3, but not v1 ~ v3: v3 is reported with v2."""
+    rng, rows, chains = random.Random(5), [], 40
+    for chain in range(chains):
+        passage = words(57, 2_000 + chain)
+        places = [rng.randint(14, 26), rng.randint(32, 42)]
+        for version in range(3):
+            if version:
+                passage = [*passage]
+                passage[places[version - 1]] = f"edit{version}"
+            around = [words(60, 10_000 + 10 * chain + 2 * version + i) for i in range(2)]
+            rows.append((version * chains + chain, " ".join(around[0] + passage + around[1])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    values = {i: passages.tokens(passages.WordHashes(), t, 5) for i, t in rows}
+    for i in range(2 * chains, 3 * chains):
+        held = [passages.passages(values[i], values[j], {0}, 46, 0.8) for j in (i - 2 * chains, i - chains)]
+        assert not held[0] and held[1]
+    found = {r["doc_id"]: r["ref_doc_id"] for r in passages.find(df).collect() if r["doc_id"] >= 2 * chains}
+    assert set(found.items()) <= {(i, i - chains) for i in range(2 * chains, 3 * chains)}
+    print(f"version chains: {len(found)} of {chains} last versions found")
+    assert len(found) >= 0.8 * chains
+
+
 def test_passages_planted(spark, odd, empty):
     passage, phrase = words(60, 3), words(18, 4)
     rows = [(i, " ".join(words(80, 10 + i) + phrase + words(70, 40 + i))) for i in range(12)]
