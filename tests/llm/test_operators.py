@@ -411,6 +411,28 @@ def test_chat_escapes_and_reads_back(spark):
     assert chat.digests(empty, PATH, PATTERN).count() == 0
 
 
+def test_chat_splits_long_conversations(spark):
+    rng = random.Random(9)
+    rows = [(None, rng.randrange(300), rng.choice(("user", "assistant")), " ".join(words(60, i))) for i in range(900)]
+    rows += [(7, i % 2, "assistant", "same") for i in range(40)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    formatted = chat.format_conversations(df, PATH, PATTERN).cache()
+    blocks = formatted.where("conv_id IS NULL").orderBy("start").collect()
+    assert len(blocks) > 10 and max(len(b["ids"]) for b in blocks) < 3 * chat.BLOCK
+    place = 0
+    for b in blocks:
+        assert b["start"] == place and len(b["ids"]) == len(b["loss_mask"])
+        place += len(b["ids"])
+    got = {r["conv_id"]: r for r in chat.digests(formatted, PATH, PATTERN).collect()}
+    told = sorted(r[1:] for r in rows[:900])
+    turns = "".join(f"{role}\n{text}\n" for _, role, text in told)
+    loss = "".join(text for _, role, text in told if role == "assistant")
+    assert got[None]["n_turns"] == 900 and got[7]["n_turns"] == 40
+    assert got[None]["turns_sha256"] == hashlib.sha256(turns.encode()).hexdigest()
+    assert (got[None]["loss_chars"], got[None]["loss_sha256"]) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    assert got[None]["formatted_chars"] == sum(len(b["text"]) for b in blocks)
+
+
 def test_chat_query(spark):
     got = {r["conv_id"]: r for r in queries.op7_chat_format(spark, SF_DIR).collect()}
     rows = spark.read.parquet(f"{SF_DIR}/conversations.parquet").orderBy("conv_id", "turn").collect()
