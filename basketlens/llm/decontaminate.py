@@ -100,11 +100,20 @@ def hits(
     """Per document with hits: doc_id, _text, covered word positions (from 1), item ids."""
     found_in = item_windows(benchmark, n)
     distinct = found_in.select("size", "code", "window").distinct()
-    measured = distinct.agg(
-        F.collect_set("size").alias("sizes"), F.sum(F.octet_length("window") + 64).alias("bytes")
-    ).first()
+    owners = F.sum(F.octet_length(F.coalesce(F.col("item_id").cast("string"), F.lit(""))) + 64)
+    measured = (
+        found_in.groupBy("size", "code", "window")
+        .agg(F.count("*").alias("n"), owners.alias("owned"))
+        .agg(
+            F.collect_set("size").alias("sizes"),
+            F.sum(F.octet_length("window") + 64).alias("bytes"),
+            F.sum(F.octet_length("window") * F.col("n") + F.col("owned")).alias("named_bytes"),
+        )
+        .first()
+    )
     sizes = sorted(measured["sizes"])
     small = (measured["bytes"] or 0) <= broadcast_limit
+    named_small = (measured["named_bytes"] or 0) <= broadcast_limit
     probe = F.broadcast(distinct) if small else distinct
 
     def segments_of(hashes: Column) -> Column:
@@ -158,7 +167,7 @@ def hits(
     items = (
         hit.select("doc_id", "_text", "window")
         .distinct()
-        .join(F.broadcast(named) if small else named, "window")
+        .join(F.broadcast(named) if named_small else named, "window")
         .groupBy("doc_id", "_text")
         .agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
     )

@@ -387,6 +387,17 @@ def test_decontaminate_across_segments_and_by_shuffle(spark, monkeypatch):
     assert {r["doc_id"]: len(r["covered"]) for r in shuffled.collect()} == {1: 25, 2: 2}
 
 
+def test_decontaminate_measures_items_by_windows(spark, monkeypatch):
+    text = words(40, 6)
+    docs = spark.createDataFrame([(1, " ".join(text))], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(text)) for i in range(50)], "item_id long, text string")
+    hinted = []
+    broadcast = F.broadcast
+    monkeypatch.setattr(decontaminate.F, "broadcast", lambda df: hinted.append(df.columns) or broadcast(df))
+    found = decontaminate.hits(docs, bench, broadcast_limit=20_000).collect()
+    assert len(found[0]["items"]) == 50 and hinted == [["size", "code", "window"]]
+
+
 # 7 chat
 
 
