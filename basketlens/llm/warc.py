@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import about
@@ -34,8 +34,8 @@ from .common import about
 #: Fixed values of the format: the magic number of the skippable frame that holds a dictionary.
 DICTIONARY_FRAME = 0x184D2A5D
 LEAST, ARCHIVE_BYTES = 1_000, 1 << 30
-#: Bounded sample for the dictionary, and its size.
-SAMPLE_RECORDS, SAMPLE_BYTES, DICTIONARY_BYTES = 300, 16 << 10, 64 << 10
+#: Bounded sample for the dictionary (records, characters of each, in so many slices), and its size.
+SAMPLE_RECORDS, SAMPLE_BYTES, SLICES, DICTIONARY_BYTES = 300, 16 << 10, 4, 64 << 10
 LEVEL, READ_AT_ONCE = 3, 1 << 20
 DATE = "2024-01-01T00:00:00Z"
 
@@ -112,6 +112,16 @@ def opened(url: str) -> tuple[fs.FileSystem, str]:
     return fs.LocalFileSystem(), url
 
 
+def sampled(text: Column) -> Column:
+    """A text whole up to the bound, or slices from its start to its end."""
+    size = SAMPLE_BYTES // SLICES
+    room = F.length(text) - size
+    slices = [
+        F.substring(text, (room * i / (SLICES - 1)).cast("int") + 1, F.lit(size)) for i in range(SLICES)
+    ]
+    return F.when(F.length(text) <= SAMPLE_BYTES, text).otherwise(F.concat(*slices))
+
+
 def write(
     pages: DataFrame, folder: str, least: int = LEAST, archive_bytes: int = ARCHIVE_BYTES
 ) -> DataFrame:
@@ -120,7 +130,7 @@ def write(
 
     chosen = about(pages.where(F.length("html") > 0), SAMPLE_RECORDS, "page_id", "url")
     sample = (
-        chosen.select("page_id", "url", F.substring("html", 1, SAMPLE_BYTES).alias("html"))
+        chosen.select("page_id", "url", sampled(F.col("html")).alias("html"))
         .orderBy("page_id", "url", "html")
         .collect()
     )

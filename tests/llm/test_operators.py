@@ -479,6 +479,13 @@ def test_quality_separates_and_keeps_empty_texts(spark, odd, empty):
 # 9 WARC
 
 
+def test_warc_sample_reaches_the_end(spark):
+    text = "a" * 100_000 + "END"
+    df = spark.createDataFrame([(text,), ("short",)], "html string")
+    long, short = [r[0] for r in df.select(warc.sampled(F.col("html"))).collect()]
+    assert len(long) == warc.SAMPLE_BYTES and long.endswith("aEND") and short == "short"
+
+
 def test_warc_round_trip(spark, tmp_path):
     big, small = "<p>" + "x" * 1500, "small"
     rows = [(i, f"http://h/{i}", f"{big}{i % 3}") for i in range(30)]
