@@ -9,7 +9,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, shared_dir
-from . import bpe, chat, decontaminate, language_id, ngram_join, passages, pii, quality, vectors, warc
+from . import (
+    bpe,
+    chat,
+    clusters,
+    decontaminate,
+    fill_middle,
+    language_id,
+    line_rules,
+    ngram_join,
+    passages,
+    pii,
+    quality,
+    vectors,
+    warc,
+)
 from .common import is_held_out, table
 
 #: A deployment takes the key from its secret store.
@@ -88,6 +102,30 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op11_ns_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster of every vector after five rounds from 40 first centroids."""
+    found, centroids = clusters.cluster(table(spark, sf_dir, "embeddings"), k=40, rounds=5, seed=2)
+    return clusters.with_inertia(found, centroids)
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document cut into prefix, middle and suffix, and restored."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = fill_middle.transform(docs, share=100, spm_share=50, seed=7)
+    again = fill_middle.restored(F.col("output"), F.col("form"))
+    return found.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
+        F.sha2(again.cast("binary"), 256).alias("restored_sha256"),
+    )
+
+
+def op13_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base figures of every document, and the verdict on it without its source's common lines."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return line_rules.judged(docs, "source", "text").drop("source", "text", "cleaned")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_permutation_index": op2_permutation_index,
@@ -99,5 +137,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_warc": op9_warc,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_ns_bounds": op11_ns_bounds,
+    "op12_fill_middle": op12_fill_middle,
+    "op13_line_rules": op13_line_rules,
+}
+SQL: dict[str, str] = {
+    "op6_decontaminate": decontaminate.ORACLE,
+    "op11_ns_bounds": clusters.oracle(k=40, rounds=5, seed=2, dims=64, scale=256),
+    "op12_fill_middle": fill_middle.ORACLE,
+    "op13_line_rules": line_rules.ORACLE,
 }
-SQL: dict[str, str] = {"op6_decontaminate": decontaminate.ORACLE}
