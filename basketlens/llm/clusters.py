@@ -1,12 +1,12 @@
 """Centroid clustering of integer vectors with bounds loosened by total displacement.
 
-The centroids of all rounds are kept.  Every vector carries its cluster, the distance to that
-centroid, a lower bound for all others, and the round in which the two were measured.  In a
-later round the first grows at most by the norm of the displacement of its centroid *since
-that round*, the second shrinks at most by the largest such norm among the others; a sum of
-the drifts round by round would be larger.  Where the two still do not meet, the vector keeps
-its cluster unseen.  If they do, its distance to its own centroid is measured anew, and if
-that does not settle it either, all distances are, exactly.
+The centroids of all rounds are kept, and centroids are held in a few groups.  Every vector
+carries its cluster, the distance to that centroid, a lower bound for the others of each group,
+and the rounds in which these were measured.  In a later round the distance grows at most by the
+norm of the displacement of its centroid *since its round*, and a bound shrinks at most by the
+largest such norm in its group; a sum of the drifts round by round would be larger.  Where a
+bound still lies beyond the distance, the group is left out.  If some do not, the distance to the
+own centroid is measured anew, and then all distances to the groups that still fail, exactly.
 
 Vectors never move between tasks.  A round is one pass over them, written to the shared
 folder; per cluster, sums are combined within tasks before the exchange, and the driver gets
@@ -36,7 +36,12 @@ from ..session import cut_lineage
 LARGEST = 1 << 27
 #: Float bounds are widened by this part, so that rounding cannot settle a vector.
 SLACK = 1e-9
-STATE = "vec_id long, v array<int>, cluster int, own long, other long, seen int, scanned int"
+STATE = (
+    "vec_id long, v array<int>, cluster int, own long, own_seen int, lower array<double>,"
+    " lower_seen array<int>, scanned int"
+)
+#: Centroids of a group, on average.
+GROUP = 10
 
 
 def as_integers(vector: Column, scale: int) -> Column:
@@ -68,60 +73,86 @@ def squared(vectors: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     return ((x * x).sum(1)[:, None] - 2 * (x @ c.T) + (c * c).sum(1)[None, :]).astype(np.int64)
 
 
-def displaced(history: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Per earlier round and cluster: how far its centroid is from there now, and the largest
-    such distance among the other clusters."""
-    moved = np.sqrt(((history - history[-1]).astype(np.float64) ** 2).sum(2)) * (1 + SLACK)
-    largest = np.zeros_like(moved)
-    for j in range(moved.shape[1]):
-        largest[:, j] = np.delete(moved, j, 1).max(1, initial=0.0)
-    return moved, largest
+def groups_of(first: np.ndarray) -> list[np.ndarray]:
+    """Numbers of the centroids by the nearest of the first few, in ascending order."""
+    leaders = first[: max(1, len(first) // GROUP)]
+    nearest = squared(first, leaders).argmin(1)
+    return [np.flatnonzero(nearest == g) for g in range(len(leaders)) if (nearest == g).any()]
 
 
-def assign(
-    v: np.ndarray, cluster: np.ndarray, own: np.ndarray, other: np.ndarray, seen: np.ndarray, history: np.ndarray
-) -> tuple[np.ndarray, ...]:
-    """New (cluster, own, other, seen, scanned); squared distances as measured in round ``seen``.
+def assign(v: np.ndarray, state: dict[str, np.ndarray], history: np.ndarray, groups: list[np.ndarray]) -> dict:
+    """The state after one more round.
 
-    ``seen`` is -1 for vectors that were never measured.  ``scanned`` counts the distances
-    measured in this round.
+    own is the squared distance to the centroid of ``cluster`` in round ``own_seen``; lower
+    bounds the distances to all others of a group in round ``lower_seen``.
     """
-    now = len(history) - 1
-    moved, others_moved = displaced(history)
-    cluster, own, other, seen = (a.copy() for a in (cluster, own, other, seen))
+    now, every = len(history) - 1, np.arange(len(groups))
+    moved = np.sqrt(((history - history[now]).astype(np.float64) ** 2).sum(2)) * (1 + SLACK)
+    group_moved = np.stack([moved[:, g].max(1) for g in groups], 1)
+    cluster, own, own_seen = (state[c].copy() for c in ("cluster", "own", "own_seen"))
+    lower, lower_seen = state["lower"].copy(), state["lower_seen"].copy()
     scanned = np.zeros(len(v), np.int32)
-    known = np.flatnonzero(seen >= 0)
-    upper = np.sqrt(own[known]) * (1 + SLACK) + moved[seen[known], cluster[known]]
-    lower = np.sqrt(other[known]) * (1 - SLACK) - others_moved[seen[known], cluster[known]]
-    loose = known[upper >= lower]
-    low = lower[upper >= lower]
-    # their own centroid alone, without keeping it: ``own`` and ``other`` share a round
-    at = history[now][cluster[loose]]
-    exact = ((v[loose].astype(np.int64) - at) ** 2).sum(1)
-    scanned[loose] += 1
-    failed = np.concatenate([np.flatnonzero(seen < 0), loose[np.sqrt(exact) * (1 + SLACK) >= low]])
-    if len(failed):
-        distances = squared(v[failed], history[now])
-        best = distances.argmin(1)  # the first of equals
-        every = np.arange(len(failed))
-        cluster[failed], own[failed], seen[failed] = best, distances[every, best], now
-        distances[every, best] = np.iinfo(np.int64).max
-        other[failed] = distances.min(1)
-        scanned[failed] += history.shape[1]
-    return cluster, own, other, seen, scanned
-
-
-def one_round(state: DataFrame, history: np.ndarray) -> DataFrame:
-    dims = history.shape[2]
+
+    low = lower - group_moved[lower_seen, every]
+    upper = np.sqrt(own) * (1 + SLACK) + moved[own_seen, cluster]
+    rows = np.flatnonzero((low <= upper[:, None]).any(1))
+    old = cluster[rows]
+    to_old = ((v[rows].astype(np.int64) - history[now][old]) ** 2).sum(1)
+    own[rows], own_seen[rows] = to_old, now
+    scanned[rows] += 1
+    fails = low[rows] <= (np.sqrt(to_old) * (1 + SLACK))[:, None]
+
+    least = np.full((2, *fails.shape), np.iinfo(np.int64).max)  # the two smallest of each group
+    least_at = np.full(fails.shape, -1)
+    for g, members in enumerate(groups):
+        at = np.flatnonzero(fails[:, g])
+        if not len(at):
+            continue
+        distances = squared(v[rows[at]], history[now][members])
+        scanned[rows[at]] += len(members)
+        best, line = distances.argmin(1), np.arange(len(at))  # the first of equals
+        found, number = distances[line, best], members[best]
+        least[0, at, g], least_at[at, g] = found, number
+        distances[line, best] = np.iinfo(np.int64).max
+        least[1, at, g] = distances.min(1)
+        mine, mine_at = own[rows[at]], cluster[rows[at]]
+        nearer = (found < mine) | ((found == mine) & (number < mine_at))
+        own[rows[at]], cluster[rows[at]] = np.where(nearer, found, mine), np.where(nearer, number, mine_at)
+
+    new = cluster[rows]
+    others = np.where(least_at == new[:, None], least[1], least[0])
+    lower[rows] = np.where(fails, np.sqrt(others) * (1 - SLACK), lower[rows])
+    lower_seen[rows] = np.where(fails, now, lower_seen[rows])
+    # the centroid left is now one of the others of its group, measured or not
+    group_of = np.zeros(history.shape[1], np.int64)
+    for g, members in enumerate(groups):
+        group_of[members] = g
+    left = np.flatnonzero((new != old) & ~fails[np.arange(len(rows)), group_of[old]])
+    at, g = rows[left], group_of[old[left]]
+    lower[at, g] = np.minimum(low[at, g], np.sqrt(to_old[left]) * (1 - SLACK))
+    lower_seen[at, g] = now
+    return {
+        "cluster": cluster, "own": own, "own_seen": own_seen,
+        "lower": lower, "lower_seen": lower_seen, "scanned": scanned,
+    }
+
+
+def one_round(state: DataFrame, history: np.ndarray, groups: list[np.ndarray]) -> DataFrame:
+    dims, names = history.shape[2], state.columns
+
+    def matrix(column: pa.Array, width: int) -> np.ndarray:
+        return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            flat = batch.column("v").flatten().to_numpy(zero_copy_only=False)
-            known = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("cluster", "own", "other", "seen")]
-            found = assign(flat.reshape(-1, dims), *known, history)
-            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
-            columns = [pa.array(a, kind) for a, kind in zip(found, kinds)]
-            names = ["vec_id", "v", "cluster", "own", "other", "seen", "scanned"]
+            known = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("cluster", "own", "own_seen")}
+            known |= {c: matrix(batch.column(c), len(groups)) for c in ("lower", "lower_seen")}
+            found = assign(matrix(batch.column("v"), dims), known, history, groups)
+            columns = [
+                pa.array(found["cluster"], pa.int32()), pa.array(found["own"], pa.int64()),
+                pa.array(found["own_seen"], pa.int32()), pa.array(list(found["lower"]), pa.list_(pa.float64())),
+                pa.array(list(found["lower_seen"]), pa.list_(pa.int32())), pa.array(found["scanned"], pa.int32()),
+            ]
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), *columns], names)
 
     return state.mapInArrow(step, STATE)
@@ -152,16 +183,21 @@ def cluster(
     """
     rows = usable(vectors, id_col, vector_col, dims, scale)
     first = first_centroids(rows, k, seed)
-    unknown = {"cluster": F.lit(0), "own": F.lit(0).cast("long"), "other": F.lit(0).cast("long")}
-    state = rows.select("vec_id", "v", *[c.alias(n) for n, c in unknown.items()])
-    state = state.withColumns({"seen": F.lit(-1), "scanned": F.lit(0)})
     if not len(first):
-        return state.select("vec_id", "v", "cluster", F.col("own").alias("distance"), "scanned"), first
+        nothing = {"cluster": F.lit(0), "distance": F.lit(0).cast("long"), "scanned": F.lit(0)}
+        return rows.select("vec_id", "v", *[c.alias(n) for n, c in nothing.items()]), first
+    groups = groups_of(first)
+    unmeasured = {
+        "cluster": F.lit(0), "own": F.lit(0).cast("long"), "own_seen": F.lit(0),
+        "lower": F.array_repeat(F.lit(float("-inf")), len(groups)),
+        "lower_seen": F.array_repeat(F.lit(0), len(groups)), "scanned": F.lit(0),
+    }
+    state = rows.select("vec_id", "v", *[c.alias(n) for n, c in unmeasured.items()])
     history = first[None]
     for _ in range(rounds):
-        state = cut_lineage(one_round(state, history))
+        state = cut_lineage(one_round(state, history, groups))
         history = np.concatenate([history, centres(state, history[-1])[None]])
-    state = cut_lineage(one_round(state, history))
+    state = cut_lineage(one_round(state, history, groups))
     return measured(state, history[-1]), history[-1]
 
 
