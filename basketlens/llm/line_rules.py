@@ -187,20 +187,17 @@ def judged(
     found = with_common(docs, lines, host_col, broadcast_limit).select(
         "row", base_rules(text).alias("base"), once(line_codes(text), removal).alias("cut")
     )
-    base = F.col("base")
+    base, cut = F.col("base"), F.col("cut")
     failed = (base["n_words"] < LEAST_WORDS) | (100 * base["n_repeat_words"] > MOST_REPEATED * base["n_words"])
-    left = F.col("cut.chars") - F.col("cut.removed")
-    kept_lines = F.filter(F.split(text, "\n"), lambda line, i: ~F.get("cut.out", i))
-    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    return unpacked(
-        found,
-        docs.columns,
-        **{n: base[n] for n in names},
-        base_failed=failed,
-        n_chars_removed=F.col("cut.removed"),
-        kept=~failed & (left >= F.col("cut.chars") * least_kept),
-        cleaned=F.when(F.col("cut.removed") > 0, F.array_join(kept_lines, "\n")).otherwise(text),
-    )
+    kept_lines = F.filter(F.split(text, "\n"), lambda line, i: ~F.get(cut["out"], i))
+    figures = {n: base[n] for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")} | {
+        "base_failed": failed,
+        "n_chars_removed": cut["removed"],
+        "kept": ~failed & (cut["chars"] - cut["removed"] >= cut["chars"] * least_kept),
+        "cleaned": F.when(cut["removed"] > 0, F.array_join(kept_lines, "\n")).otherwise(text),
+    }
+    told = found.select("row", F.struct(*[c.alias(n) for n, c in figures.items()]).alias("told"))
+    return unpacked(told, docs.columns, **{n: F.col("told").getField(n) for n in figures})
 
 
 def _total(lines: Column) -> Column:
