@@ -119,8 +119,22 @@ def match_products(
         k=k, floor=floor, score=score,
     ).select(F.col("query_id").alias("query_doc"), F.col("corpus_id").alias("corpus_doc"), "score")
 
+    candidates = candidates_of(rows, ranked, by_text, k)
+    if scorer is not None:
+        scored = rerank(candidates, scorer)
+    else:
+        scored = candidates.withColumn("rerank_score", F.round("dense_score", 4))
+    return scored.withColumn("dense_score", F.round("dense_score", 4))
+
+
+def candidates_of(rows: DataFrame, docs: DataFrame, by_text: DataFrame, k: int) -> DataFrame:
+    """Pairs of texts as ranked candidates of listings, k per query.
+
+    ``rows``: category, id, is_anchor, text.  ``docs``: category, is_anchor, text, id (of the
+    listing that stands for the text).  ``by_text``: query_doc, corpus_doc, score.
+    """
     members = rows.join(
-        ranked.select("category", "is_anchor", "text", F.col("id").alias("doc")),
+        docs.select("category", "is_anchor", "text", F.col("id").alias("doc")),
         ["category", "is_anchor", "text"],
     )
     anchors = top_n(
@@ -138,7 +152,7 @@ def match_products(
         "category", F.col("doc").alias("query_doc"), F.col("id").alias("query_id"),
         F.col("text").alias("query_text"),
     )
-    candidates = queries.join(per_doc, "query_doc").select(
+    return queries.join(per_doc, "query_doc").select(
         "category",
         "query_id",
         "query_text",
@@ -147,11 +161,6 @@ def match_products(
         F.col("score").alias("dense_score"),
         "rank",
     )
-    if scorer is not None:
-        scored = rerank(candidates, scorer)
-    else:
-        scored = candidates.withColumn("rerank_score", F.round("dense_score", 4))
-    return scored.withColumn("dense_score", F.round("dense_score", 4))
 
 
 def _match_vectors(rows: DataFrame, encoder, k: int, floor: float, scorer) -> DataFrame:
