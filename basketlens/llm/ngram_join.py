@@ -42,6 +42,8 @@ WORDS, PERCENT = 3, 90
 BAND_RATIO = 1.6
 #: Sets and n-grams of one comparing task; pivots of a larger candidate component.
 CHUNK_SETS, CHUNK_GRAMS, PIVOTS = 3_000, 4_000_000, 8
+#: Bytes of a row of the list of candidates in memory, and up to which size it is broadcast.
+MEMBER_BYTES, BROADCAST_LIMIT = 64, 64 << 20
 #: Partitions tried for sets that leave many parts empty.
 LEVELS = 6
 
@@ -144,7 +146,11 @@ def described(docs: DataFrame, words: int) -> DataFrame:
 
 
 def posted(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """(tile, doc_id) of every tile of every row with an id."""
+    """(tile, doc_id) of the tiles of every row with an id, combined within batches.
+
+    Of the documents of a batch that share a tile only the first is posted there; each other
+    one is tied to it by a tile of their own.  So copies do not gather in the tiles they share.
+    """
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, tiles = WordHashes(), Tiles(percent)
@@ -154,13 +160,53 @@ def posted(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 ids = np.array(part.column("doc_id").to_pylist(), dtype=np.int64)
                 keys = [tiles.of(gram_set(hashes, t.as_py() or "", words)) for t in part.column("text")]
                 owners = np.repeat(ids, [len(k) for k in keys])
-                found = np.concatenate(keys).view(np.int64)
+                found, owners = combined(np.concatenate(keys).view(np.int64), owners)
                 yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(owners)], ["tile", "doc_id"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string"))
     return rows.where("doc_id IS NOT NULL").mapInArrow(post, "tile long, doc_id long")
 
 
+def heads(tiles: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows sorted by tile: which are the first of their tile, and each row's first owner."""
+    first = np.concatenate([[True], tiles[1:] != tiles[:-1]])[: len(tiles)]
+    return first, owners[first][np.cumsum(first) - 1]
+
+
+def combined(tiles: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((owners, tiles))
+    tiles, owners = tiles[order], owners[order]
+    first, head = heads(tiles, owners)
+    pairs = np.unique(np.stack([head, owners], 1)[owners != head], axis=0)
+    with np.errstate(over="ignore"):
+        ties = mixed(pairs[:, 0].view(np.uint64) + mixed(pairs[:, 1].view(np.uint64) * STEP)).view(np.int64)
+    return np.concatenate([tiles[first], ties, ties]), np.concatenate([owners[first], pairs[:, 0], pairs[:, 1]])
+
+
+def hung(tiles: DataFrame) -> DataFrame:
+    """Distinct (u, v): every document of a tile, and the lowest one of the tile.
+
+    One exchange and one sorted pass that remembers the tile it is in.
+    """
+
+    def hang(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile = head = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            at, owners = (batch.column(c).to_numpy() for c in ("tile", "doc_id"))
+            _, lowest = heads(at, owners)
+            if at[0] == tile:
+                lowest = np.where(at == tile, head, lowest)
+            tile, head = at[-1], lowest[-1]
+            pairs = np.unique(np.stack([lowest, owners], 1)[owners != lowest], axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
+
+    parts = int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = tiles.repartition(parts, "tile").sortWithinPartitions("tile", "doc_id")
+    return placed.mapInArrow(hang, "u long, v long").distinct()
+
+
 class Joiner:
     """Compares sets and keeps track of what is connected."""
 
@@ -286,34 +332,28 @@ def join_groups(rows: DataFrame, keys: list[str], words: int, percent: int) -> D
 
 def links(docs: DataFrame, sets: DataFrame, words: int, percent: int) -> DataFrame:
     """Spanning links (u, v) of the distinct sets; sets: doc_id, n."""
-    # dealt out by tile once, for the search and for the join; a row is two numbers, and the
-    # many tiles of a large group of near copies go to as many tasks
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tiles = posted(docs, words, percent).repartition(parts, "tile")
-    shared = (
-        tiles.groupBy("tile")
-        .agg(F.min("doc_id").alias("u"), F.max("doc_id").alias("most"))
-        .where("u <> most")
-    )
-    hung = tiles.join(shared, "tile").where("doc_id <> u").select("u", F.col("doc_id").alias("v"))
-    # the lowest document of a tile stands for its set; of the others, copies can go
-    ids = sets.select(F.col("doc_id").alias("v")).distinct()
-    hung = hung.distinct().join(ids, "v", "left_semi")
-    grouped = cut_lineage(components(hung))
+    # the lowest document with a set stands for it; copies only lead from one to another
+    ids = sets.select(F.col("doc_id").alias("vertex")).distinct()
+    found = components(hung(posted(docs, words, percent)))
+    grouped = cut_lineage(found.join(ids, "vertex", "left_semi"))
     sized = grouped.join(sets.select(F.col("doc_id").alias("vertex"), "n"), "vertex")
     counted = sized.groupBy("root").agg(F.count("*").alias("sets"), F.sum("n").alias("grams"))
     chunks = F.greatest(
         F.ceil(F.col("sets") / CHUNK_SETS), F.ceil(F.col("grams") / CHUNK_GRAMS)
     ).cast("int")
-    spread = counted.select("root", chunks.alias("chunks"))
-    members = grouped.join(spread, "root").select(
-        F.col("vertex").alias("doc_id"),
-        F.col("root").alias("component"),
-        "chunks",
-        F.pmod(F.xxhash64("vertex"), F.col("chunks")).cast("int").alias("chunk"),
+    spread = counted.where("sets > 1").select("root", chunks.alias("chunks"))
+    members = cut_lineage(
+        grouped.join(spread, "root").select(
+            F.col("vertex").alias("doc_id"),
+            F.col("root").alias("component"),
+            "chunks",
+            F.pmod(F.xxhash64("vertex"), F.col("chunks")).cast("int").alias("chunk"),
+        )
     )
-    texts = cut_lineage(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(members, "doc_id")
+    # texts go straight to their group if the list of who goes where can be sent to them
+    listed = members.count() * MEMBER_BYTES <= BROADCAST_LIMIT
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(
+        F.broadcast(members) if listed else members, "doc_id"
     )
     plain = texts.withColumns({"side": F.lit(1), "root": F.lit(None).cast("long")})
     large = texts.where("chunks > 1")
