@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.stats import top_n
 from ..session import cut_lineage
 from .common import sample_by_label, unpacked, whole_row
 
@@ -33,7 +34,8 @@ UNDETERMINED = "und"
 #: Letters of any script, in runs; the same class in Spark's and Python's notation.
 WORD = re.compile(r"[^\W\d_]+")
 WORD_SPARK = r"\p{L}+"
-#: Training rows per language, words and n-grams of the model: they bound the broadcast.
+#: Training rows per language, words and n-grams of the model, in equal parts for its
+#: languages: they bound the broadcast.
 SAMPLE_ROWS, MOST_WORDS, MOST_GRAMS = 4_000, 120_000, 120_000
 LONGEST = 5
 #: Scores of unseen words a worker remembers; the results do not depend on it.
@@ -130,39 +132,35 @@ def train(
         .groupBy("label", F.col("col").alias("entry"))
         .count()
     )
-    marked = F.concat(F.lit("<"), F.col("entry"), F.lit(">"))
-    every = F.flatten(
-        F.array(
-            *[
-                F.transform(
-                    F.sequence(F.lit(1), F.greatest(F.length(marked) - (size - 1), F.lit(1))),
-                    lambda i, size=size: F.substr(marked, i, F.lit(size)),
-                )
-                for size in range(1, longest + 1)
-            ]
-        )
-    )
-    pieces = cut_lineage(
-        words.select("label", F.explode(every).alias("entry"))
-        .where(F.length("entry") <= longest)
-        .groupBy("label", "entry")
-        .count()
+    pieces = cut_lineage(counted_grams(words, longest))
+    shares = {r[0]: r[1] for r in chosen.groupBy("label").count().collect()}
+    return Model(
+        most_frequent(words, MOST_WORDS, len(shares)), most_frequent(pieces, MOST_GRAMS, len(shares)), shares, longest
     )
 
-    def most(table: DataFrame, limit: int) -> list:
-        """The entries down to the lowest count at which they are not more than ``limit``."""
-        least, n = 1, 0
-        levels = table.groupBy("count").agg(F.count(F.lit(1)).alias("n")).collect()
-        for level in sorted(levels, key=lambda r: -r["count"]):
-            n += level["n"]
-            if n > limit:
-                least = level["count"] + 1
-                break
-        kept = table.where(F.col("count") >= least)
-        return [(r["entry"], r["label"], r["count"]) for r in kept.collect()]
 
-    shares = {r[0]: r[1] for r in chosen.groupBy("label").count().collect()}
-    return Model(most(words, MOST_WORDS), most(pieces, MOST_GRAMS), shares, longest)
+def counted_grams(words: DataFrame, longest: int) -> DataFrame:
+    """(label, entry, count) of the n-grams of the distinct words of every label."""
+    marked = F.concat(F.lit("<"), F.col("entry"), F.lit(">"))
+
+    def of_size(size: int) -> Column:
+        starts = F.sequence(F.lit(1), F.length(marked) - (size - 1))
+        return F.when(
+            F.length(marked) >= size, F.transform(starts, lambda i: F.substr(marked, i, F.lit(size)))
+        ).otherwise(F.array().cast("array<string>"))
+
+    every = F.concat(*[of_size(size) for size in range(1, longest + 1)])
+    return words.select("label", F.explode(every).alias("entry")).groupBy("label", "entry").count()
+
+
+def most_frequent(table: DataFrame, limit: int, labels: int) -> list[tuple[str, str, int]]:
+    """The most frequent entries; every label has an equal part of ``limit``.
+
+    Equal counts are taken in the order of the entries.
+    """
+    part = max(1, limit // max(1, labels))
+    kept = top_n(table, ["label"], [F.desc("count"), F.col("entry")], part, "_at")
+    return [(r["entry"], r["label"], r["count"]) for r in kept.collect()]
 
 
 def predict(docs: DataFrame, model: Model, text: Column, lang_out: str, score_out: str) -> DataFrame:
