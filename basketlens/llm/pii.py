@@ -53,6 +53,8 @@ ROUNDS = 8
 FIRST_DAY = datetime.date(1900, 1, 1).toordinal()
 DAYS = datetime.date(2100, 1, 1).toordinal() - FIRST_DAY
 VALUES_KEPT = 100_000
+#: Characters permuted at once; longer values are cut.  No check reaches beyond the first block.
+BLOCK = 64
 LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 
 RUN = "A-Za-z0-9+/_-"
@@ -166,7 +168,30 @@ class Pseudonyms:
     def _string(
         self, value: str, alphabets: list[str], tweak: str, valid: Callable[[str], bool] | None = None
     ) -> str:
-        """Permute a string whose characters each come from an alphabet of their own."""
+        """Permute a string whose characters each come from an alphabet of their own.
+
+        Long ones are permuted in blocks from the last to the first, each under the digest of
+        the pseudonym behind it.  What ``valid`` asks for must then depend on the first block
+        alone, given the alphabets.
+        """
+        if len(value) <= BLOCK:
+            return self._block(value, alphabets, tweak, valid)
+        done: list[str] = []
+        behind = ""
+        for at in reversed(range(0, len(value), BLOCK)):
+            part, letters = value[at : at + BLOCK], alphabets[at : at + BLOCK]
+            chained = f"{tweak}|{at}|{hashlib.sha256(behind.encode()).hexdigest()}"
+            fits = None
+            if valid and not at:
+                rest = "".join(reversed(done))
+                fits = lambda s, rest=rest: valid(s + rest)
+            done.append(self._block(part, letters, chained, fits))
+            behind = part if self.feistel.back else done[-1]
+        return "".join(reversed(done))
+
+    def _block(
+        self, value: str, alphabets: list[str], tweak: str, valid: Callable[[str], bool] | None
+    ) -> str:
         number = size = 0
         for c, letters in zip(value, alphabets):
             number, size = number * len(letters) + letters.index(c), (size or 1) * len(letters)
@@ -278,7 +303,10 @@ class Pseudonyms:
             return None
         alphabets, tweak = self._classes(letters), "secret"
         if re.fullmatch("[0-9a-f]+", letters):
-            alphabets, tweak = [DIGITS + "abcdef"] * len(letters), "hex"
+            # over several blocks digits stay digits, so that there are still both
+            long = len(letters) > BLOCK
+            either = [DIGITS if c in DIGITS else "abcdef" for c in letters]
+            alphabets, tweak = either if long else [DIGITS + "abcdef"] * len(letters), "hex"
         return self._into(value, self._string(letters, alphabets, tweak, secret_again), str.isalnum)
 
     def access_key(self, value: str) -> str:
@@ -293,7 +321,10 @@ class Pseudonyms:
             found = getattr(self, kind)(value)
             if found is None and kind == "card" and value.isdigit():
                 kind, found = "number", self.number(value)
-            self.known[key] = None if found is None else (kind, found)
+            told = None if found is None else (kind, found)
+            if len(value) > 4 * BLOCK:
+                return told
+            self.known[key] = told
         return self.known[key]
 
     def _at(self, text: str, start: int) -> tuple[str, str, int] | None:
