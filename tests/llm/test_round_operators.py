@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from basketlens.llm import clusters, fill_middle, line_rules, queries
+from basketlens.llm import clusters, fill_middle, language_id, line_rules, ngram_join, pii, queries
 from tests.compare import compare, connect
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -251,3 +251,95 @@ def test_line_rules_of_no_documents(spark):
 def test_line_rules_run_without_python_workers(spark):
     plan = line_rules.judged(odd_documents(spark))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+# mended operators: n-grams of 1, long values of 3, tiles of 5
+
+
+def test_counted_grams_are_those_of_the_distinct_words(spark):
+    words = [("en", "bc", 3), ("en", "a", 1), ("en", "houses", 2), ("de", "über", 9), ("de", "bc", 1)]
+    df = spark.createDataFrame(words, "label string, entry string, count long")
+    got = {(r["label"], r["entry"]): r["count"] for r in language_id.counted_grams(df, 5).collect()}
+    want = collections.Counter(
+        (label, gram) for label, word, _ in words for size in range(1, 6) for gram in language_id.grams(word, size)
+    )
+    assert got == dict(want) and ("en", "<bc>") in got and ("de", "<über") in got
+
+
+def test_a_rare_language_keeps_its_words(spark):
+    rng = random.Random(2)
+    letters = ["abcde", "fghij", "klmno", "pqrst", "uvwxy", "äöüßé", "абвгд", "ежзий", "клмно", "прсту"]
+
+    def word(alphabet):
+        return "".join(rng.choices(alphabet, k=rng.randint(3, 7)))
+
+    rows = [(i, " ".join(word(letters[i % 10]) for _ in range(30)), f"l{i % 10}") for i in range(2000)]
+    rows += [(9000 + i, " ".join(word("фхцчш") for _ in range(3)), "rare") for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    words = language_id.MOST_WORDS
+    try:
+        language_id.MOST_WORDS = 330
+        model = language_id.train(df)
+    finally:
+        language_id.MOST_WORDS = words
+    kept = collections.Counter()
+    for entry in model.words:
+        kept[max(entry) in "фхцчш"] += 1
+    assert kept[True] == 30 and len(model.words) <= 330
+    assert all(model.predict(" ".join(word("фхцчш") for _ in range(4)))[0] == "rare" for _ in range(50))
+    assert all(model.predict(word(letters[i]) + " " + word(letters[i]))[0] == f"l{i}" for i in range(10))
+    # equal counts are taken in the order of the entries
+    ties = spark.createDataFrame([("a", x, 1) for x in "dbca"], "label string, entry string, count long")
+    assert sorted(e for e, _, _ in language_id.most_frequent(ties, 2, 1)) == ["a", "b"]
+
+
+LONG_VALUES = [
+    "x " + "'" + "aB3/" * 2_500 + "' y",
+    'key="' + "0123456789abcdef" * 700 + '"',
+    'z="' + "Q1w+" * 250_000 + '==" end',
+    "mail me@" + ("a1" * 20 + ".") * 400 + "example now",
+    '"AKIA' + "A" * 16 + "/" + "b2" * 5_000 + '"',
+]
+
+
+def test_long_values_are_replaced_and_restored(spark):
+    df = spark.createDataFrame(list(enumerate(LONG_VALUES)), "doc_id long, text string")
+    there = pii.pseudonymize(df, b"k", spans_col="spans")
+    rows = {r["doc_id"]: r for r in there.collect()}
+    for i, text in enumerate(LONG_VALUES):
+        new = rows[i]["text"]
+        assert len(new) == len(text) and new != text and rows[i]["spans"]
+        assert all(a == b for a, b in zip(new, text) if not a.isalnum())
+    # a change at the end reaches the beginning, a value is the same in every text
+    one, other = (pii.Pseudonyms(b"k").secret("aB3d" * 100 + c + "7") for c in "xy")
+    assert one[:40] != other[:40]
+    assert pii.Pseudonyms(b"k").secret("aB3d" * 100 + "x7") == one
+    back = {r["doc_id"]: r["text"] for r in pii.restore(there.drop("spans"), b"k").collect()}
+    assert back == dict(enumerate(LONG_VALUES))
+
+
+def test_tiles_of_a_batch_tie_the_same_documents(spark):
+    rng = np.random.default_rng(4)
+    tiles, owners = rng.integers(0, 60, 400), rng.integers(1, 90, 400)
+    made = ngram_join.combined(tiles.astype(np.int64), owners.astype(np.int64))
+    assert max(collections.Counter(made[0].tolist()).values()) <= 2
+
+    def parts(t, o):
+        parent = {x: x for x in o.tolist()}
+
+        def root(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        first = {}
+        for tile, owner in zip(t.tolist(), o.tolist()):
+            a, b = root(first.setdefault(tile, owner)), root(owner)
+            parent[max(a, b)] = min(a, b)
+        return {x: root(x) for x in parent}
+
+    assert parts(*made) == parts(tiles, owners)
+    df = spark.createDataFrame(list(zip(tiles.tolist(), owners.tolist())), "tile long, doc_id long").repartition(3)
+    edges = ngram_join.hung(df).collect()
+    lowest = {t: min(o for x, o in zip(tiles, owners) if x == t) for t in set(tiles.tolist())}
+    assert {(r["u"], r["v"]) for r in edges} == {(int(lowest[t]), int(o)) for t, o in zip(tiles.tolist(), owners) if o != lowest[t]}
