@@ -53,8 +53,8 @@ class RetailTables:
     def catalog(self) -> DataFrame:
         return self.listings_of(self.raw("part"))
 
-    def listings_of(self, parts: DataFrame) -> DataFrame:
-        """Up to three listings per part (batch or stream), one per platform slot."""
+    def listings_of(self, parts: DataFrame, *more: Column) -> DataFrame:
+        """Up to three listings per part (batch or stream), one per platform slot, and ``more`` of it."""
         slots = parts.withColumn("i", F.explode(F.array(*[F.lit(i) for i in range(3)])))
         key, i = F.col("p_partkey"), F.col("i")
         return slots.where((key * 7 + i * 3) % 5 < 3).select(
@@ -69,6 +69,7 @@ class RetailTables:
             F.lit(None).cast("string").alias("image_url"),
             F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").alias("first_seen_at"),
             F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").alias("last_seen_at"),
+            *more,
         )
 
     @cached_property
