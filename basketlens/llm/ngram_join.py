@@ -11,8 +11,8 @@ Pairs that are connected already are passed over, so a group of near copies take
 comparisons and only spanning links leave the task.
 
 A candidate component that is too large for a task is cut into chunks.  Each chunk is joined
-within and with some common pivots; what then isn't in the component's largest part is
-compared with all chunks.
+within and with some common pivots; what then isn't in the component's largest part meets
+all chunks, by size and bitmap first, and with its text where these leave it a partner.
 
 Defined results: null texts and texts without words have an empty set and are linked with
 nothing.  Equal sets are linked.  Rows that share an id are one document, linked by it; a
@@ -44,6 +44,8 @@ BAND_RATIO = 1.6
 CHUNK_SETS, CHUNK_GRAMS, PIVOTS = 3_000, 4_000_000, 8
 #: Bytes of a row of the list of candidates in memory, and up to which size it is broadcast.
 MEMBER_BYTES, BROADCAST_LIMIT = 64, 64 << 20
+#: Bits of the largest bitmap of a set.
+LARGEST_MAP = 1 << 14
 #: Partitions tried for sets that leave many parts empty.
 LEVELS = 6
 
@@ -222,14 +224,8 @@ class Joiner:
         for i, doc in enumerate(self.ids):
             self.union(i, first.setdefault(doc, i))
         self.bits = max(64, 1 << int(2 * (self.sizes.max() if len(ids) else 1)).bit_length())
-        self.bits = min(self.bits, 1 << 14)
-        self.maps = np.stack([self._bitmap(s) for s in self.sets]) if ids else None
-
-    def _bitmap(self, grams: np.ndarray) -> np.ndarray:
-        """Parity of the elements hashed to each bit: maps differ in no more bits than the
-        sets differ in elements."""
-        spot = (grams & np.uint64(self.bits - 1)).astype(np.int64)
-        return np.packbits(np.bincount(spot, minlength=self.bits) & 1 == 1).view(np.uint64)
+        self.bits = min(self.bits, LARGEST_MAP)
+        self.maps = np.stack([parity_map(s, self.bits) for s in self.sets]) if ids else None
 
     def root(self, i: int) -> int:
         while self.parent[i] != i:
@@ -330,6 +326,103 @@ def join_groups(rows: DataFrame, keys: list[str], words: int, percent: int) -> D
     )
 
 
+def parity_map(grams: np.ndarray, bits: int) -> np.ndarray:
+    """Parity of the elements hashed to each bit: maps differ in no more bits than the sets
+    differ in elements."""
+    spot = (grams & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits(np.bincount(spot, minlength=bits) & 1 == 1, bitorder="little").view(np.uint64)
+
+
+def folded(maps: np.ndarray, bits: int) -> np.ndarray:
+    """Maps of ``bits`` bits from larger ones, whose bits lie modulo ``bits``."""
+    return np.bitwise_xor.reduce(maps.reshape(len(maps), -1, bits // 64), axis=1)
+
+
+def sketched(texts: DataFrame, words: int) -> DataFrame:
+    """doc_id, n and the bitmap (between 4 and 8 bits an element, 2 KB at most) of every text."""
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            sizes, maps = [], []
+            for value in batch.column("text"):
+                grams = gram_set(hashes, value.as_py() or "", words)
+                bits = min(max(64, 1 << (4 * len(grams)).bit_length()), LARGEST_MAP)
+                sizes.append(len(grams))
+                maps.append(parity_map(grams, bits).tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(maps, pa.binary())],
+                ["doc_id", "n", "map"],
+            )
+
+    return texts.mapInArrow(sketch, "doc_id long, n long, map binary")
+
+
+def partnered(sizes: np.ndarray, maps: list[bytes], side: np.ndarray, roots: np.ndarray, percent: int) -> np.ndarray:
+    """Which sets have a partner by the bound of their bitmaps.
+
+    Sets are ordered by size, so the smaller one of a pair has the smaller map.  Pairs of
+    one root, and pairs without a set of side 1, don't count.
+    """
+    found = np.zeros(len(sizes), dtype=bool)
+    widths = np.array([8 * len(m) for m in maps])
+    last = np.searchsorted(sizes, sizes * 100 // percent, side="right")
+    for bits in np.unique(widths):
+        mine = np.flatnonzero(widths == bits)
+        start, end = mine[0], max(last[mine])
+        level = np.empty((end - start, bits // 64), dtype=np.uint64)
+        for width in np.unique(widths[start:end]):
+            at = np.flatnonzero(widths[start:end] == width)
+            rows = np.frombuffer(b"".join(maps[start + i] for i in at), np.uint64).reshape(len(at), -1)
+            level[at] = folded(rows, int(bits))
+        for i in mine:
+            others = np.arange(i + 1, last[i])
+            others = others[(roots[others] != roots[i]) & ((side[others] == 1) | (side[i] == 1))]
+            if not len(others):
+                continue
+            differing = np.bitwise_count(level[others - start] ^ level[i - start]).sum(axis=1, dtype=np.int64)
+            total = sizes[others] + sizes[i]
+            most = (total - differing) // 2
+            near = others[100 * most >= percent * (total - most)]
+            found[near] = True
+            found[i] |= len(near) > 0
+    return found
+
+
+def with_partners(rows: DataFrame, keys: list[str], percent: int) -> DataFrame:
+    """The rows (keys, doc_id, side, root) that may be linked with another of their group.
+
+    rows: keys, doc_id, side, root, n, map.  Of each set one row at most comes out, never a
+    pair; a group holds a chunk and a block of sets, without their texts.
+    """
+    names = [*keys, "doc_id", "side", "root"]
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in groups_of(batches, keys):
+            if not any(r["side"] for r in group):
+                continue
+            group.sort(key=lambda r: (r["n"], r["doc_id"]))
+            found = partnered(
+                np.array([r["n"] for r in group]),
+                [r["map"] for r in group],
+                np.array([r["side"] for r in group]),
+                np.array([r["root"] for r in group]),
+                percent,
+            )
+            kept = {tuple(r[c] for c in names) for r, near in zip(group, found) if near}
+            if kept:
+                columns = zip(*sorted(kept))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, t) for c, t in zip(columns, kinds)], names
+                )
+
+    kinds = [pa.int64(), *[pa.int32()] * (len(keys) - 1), pa.int64(), pa.int32(), pa.int64()]
+    types = [f"{k} {'int' if i else 'long'}" for i, k in enumerate(keys)]
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = rows.select(*names, "n", "map").repartition(parts, *keys).sortWithinPartitions(*keys)
+    return placed.mapInArrow(find, ", ".join([*types, "doc_id long, side int, root long"]))
+
+
 def links(docs: DataFrame, sets: DataFrame, words: int, percent: int) -> DataFrame:
     """Spanning links (u, v) of the distinct sets; sets: doc_id, n."""
     # the lowest document with a set stands for it; copies only lead from one to another
@@ -400,8 +493,17 @@ def links(docs: DataFrame, sets: DataFrame, words: int, percent: int) -> DataFra
         )
         .withColumn("side", F.lit(1))
     )
-    meeting = home.unionByName(away).join(large.select("doc_id", "text").distinct(), "doc_id")
-    rest = join_groups(meeting, ["component", "chunk", "block"], words, percent)
+    # bitmaps meet first; texts follow for the sets that the bitmaps leave a partner
+    places = ["component", "chunk", "block"]
+    maps = sketched(large.select("doc_id", "text"), words).distinct()
+    needed = cut_lineage(with_partners(home.unionByName(away).join(maps, "doc_id"), places, percent))
+    listed = needed.count() * MEMBER_BYTES <= BROADCAST_LIMIT
+    wanted = needed.select("doc_id").distinct()
+    again = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(
+        F.broadcast(wanted) if listed else wanted, "doc_id", "left_semi"
+    )
+    meeting = again.distinct().join(needed, "doc_id")
+    rest = join_groups(meeting, places, words, percent)
     return near.unionByName(rest)
 
 
