@@ -4,13 +4,16 @@ The terms of a text are its byte pairs, hashed into ``terms`` columns and weight
 log frequency and inverse document frequency.  A truncated singular value decomposition of
 a bounded, balanced sample of labelled texts gives the latent space.  The sample's vectors
 are broadcast; for every document the cosine with all of them is computed in blocks, and
-the labels of the ``neighbours`` nearest vote with a power of their similarity.
+the labels of the ``neighbours`` nearest vote with a power of their similarity.  Sampled texts
+are counted in their tasks: what reaches the driver is one row of at most ``terms`` counts
+per id and label, however long the texts are and however often an id is repeated.
 
 Defined results: null and empty texts, and texts of one byte, have no vector; they get the
 share of label 1 in the training data as their score, as does every text if there is no
 training data of both labels (then 0.5 if there is none at all).  Equal similarities are
 taken in the order of the sample, which is by id.  Training skips null ids, texts and labels;
-a document with several labels counts with each.  Texts of any length are read whole, in
+a document with several labels counts with each, an id with several texts with one of them
+(the one whose counts come first in byte order).  Texts of any length are read whole, in
 chunks.  Other columns are passed on unread.
 """
 
@@ -42,19 +45,40 @@ def term_counts(data: bytes, terms: int) -> np.ndarray:
     return counts
 
 
+def packed(counts: np.ndarray) -> bytes:
+    """Places and counts of the terms that occur."""
+    at = np.flatnonzero(counts)
+    return at.astype("<i4").tobytes() + counts[at].astype("<f4").tobytes()
+
+
+def unpacked_counts(data: bytes, terms: int) -> np.ndarray:
+    counts = np.zeros(terms, dtype=np.float32)
+    half = len(data) // 2
+    counts[np.frombuffer(data[:half], "<i4")] = np.frombuffer(data[half:], "<f4")
+    return counts
+
+
+def nearest(near: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k largest of every row, ascending; of equal ones the first are taken."""
+    least = -np.partition(-near, k - 1, axis=1)[:, k - 1 : k]
+    above, equal = near > least, near == least
+    open_places = k - above.sum(axis=1, keepdims=True)
+    taken = above | (equal & (np.cumsum(equal, axis=1) <= open_places))
+    return np.nonzero(taken)[1].reshape(len(near), k)
+
+
 class Model:
     """Latent vectors and labels of the sample, and the way from texts to vectors."""
 
-    def __init__(self, texts: list[str], labels: list[int], share: float | None, terms=TERMS) -> None:
+    def __init__(self, counts: np.ndarray, labels: list[int], share: float | None, terms=TERMS) -> None:
         self.terms, self.share = terms, share
         self.ready = len(set(labels)) == 2
         if not self.ready:
             return
-        counts = np.stack([term_counts(t.encode("utf-8", "surrogatepass"), terms) for t in texts])
         seen = (counts > 0).sum(axis=0)
-        self.idf = np.log((1 + len(texts)) / (1 + seen)).astype(np.float32) + np.float32(0.1)
+        self.idf = np.log((1 + len(counts)) / (1 + seen)).astype(np.float32) + np.float32(0.1)
         weighted = self._weighted(counts)
-        self.base = self._main_directions(weighted, min(LATENT, len(texts)))
+        self.base = self._main_directions(weighted, min(LATENT, len(counts)))
         self.vectors = self._unit(weighted @ self.base)
         self.labels = np.array(labels, dtype=np.float32)
 
@@ -83,8 +107,7 @@ class Model:
             [term_counts((t or "").encode("utf-8", "surrogatepass"), self.terms) for t in texts]
         )
         near = self._unit(self._weighted(counts) @ self.base) @ self.vectors.T
-        k = min(NEIGHBOURS, near.shape[1])
-        top = np.argpartition(-near, k - 1, axis=1)[:, :k]
+        top = nearest(near, min(NEIGHBOURS, near.shape[1]))
         weight = np.maximum(np.take_along_axis(near, top, 1).astype(float), 0.0) ** POWER
         total = weight.sum(axis=1)
         vote = (weight * self.labels[top]).sum(axis=1)
@@ -107,16 +130,27 @@ def train(
     counted = {r["label"]: r["count"] for r in usable.groupBy("label").count().collect()}
     share = counted.get(1, 0) / sum(counted.values()) if counted else None
     chosen = sample_by_label(
-        usable.withColumn("text", F.lit("")), "id", "text", "label", rows_per_label, ("id",)
+        usable.distinct().withColumn("text", F.lit("")), "id", "text", "label", rows_per_label, ("id",)
     ).drop("text")
-    rows = (
+
+    @F.arrow_udf("binary")
+    def counted_terms(values: pa.Array) -> pa.Array:
+        return pa.array(
+            [packed(term_counts(t.as_py().encode("utf-8", "surrogatepass"), TERMS)) for t in values], pa.binary()
+        )
+
+    # a row per id and label, of bounded size: repeated ids and long texts stay in their tasks
+    found = (
         texts.join(F.broadcast(chosen), "id")
         .where(F.col("text").isNotNull())
-        .orderBy("id", "label", "text")
-        .select("text", F.col("label").cast("int"))
+        .select("id", F.col("label").cast("int").alias("label"), counted_terms("text").alias("counts"))
+        .groupBy("id", "label")
+        .agg(F.min("counts").alias("counts"))
+        .orderBy("id", "label")
+        .collect()
     )
-    found = rows.collect()
-    return Model([r["text"] for r in found], [r["label"] for r in found], share)
+    counts = np.stack([unpacked_counts(r["counts"], TERMS) for r in found]) if found else np.empty((0, TERMS))
+    return Model(counts, [r["label"] for r in found], share)
 
 
 def score(docs: DataFrame, model: Model, text: Column, score_out: str) -> DataFrame:
