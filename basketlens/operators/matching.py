@@ -5,10 +5,11 @@ Every step runs for all categories at once; the category is a join key.
 
 from __future__ import annotations
 
-import functools
+import time
 from collections.abc import Callable
+from urllib.parse import quote
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.scorers import text_features
@@ -29,6 +30,9 @@ from .similarity import SetScore, cosine_pairs, rarest_first, set_top_k
 from .stats import join_groups, top_n
 from .tables import insert_canonicals
 
+#: Characters kept of the error of a failing matcher.
+ERROR_CHARS = 2_000
+
 
 def platform_rank() -> Column:
     """0, 1, 2 in preference order; unknown platforms last."""
@@ -176,15 +180,38 @@ def _match_vectors(rows: DataFrame, encoder, k: int, floor: float, scorer) -> Da
     return candidates.withColumn("rerank_score", F.round("dense_score", 4))
 
 
-def compare_matchers(listings: DataFrame, combos: dict[str, dict]) -> DataFrame:
-    """Number of scored pairs of several matcher settings, as one lazy union."""
-    counts = [
-        match_products(listings, **options)
-        .agg(F.count(F.lit(1)).alias("num_scores"))
-        .select(F.lit(name).alias("combo"), "num_scores")
-        for name, options in combos.items()
-    ]
-    return functools.reduce(DataFrame.unionByName, counts)
+def compare_matchers(
+    listings: DataFrame, combos: dict[str, dict], folder: str | None = None
+) -> DataFrame:
+    """Per matcher setting: combo, num_scores, elapsed_seconds, error.
+
+    Each setting is one job with a tag of its own.  Its pairs are counted while they are
+    written, to ``folder``/combo=<name> or nowhere.  A setting that fails, while it is planned
+    or while it runs, gives a row with the error and no count; the others go on.
+    """
+    context = listings.sparkSession.sparkContext
+    rows = []
+    for name, options in combos.items():
+        tag = f"compare_matchers {name}".replace(",", ";")
+        seen, count, error = Observation(), None, None
+        context.addJobTag(tag)
+        started = time.monotonic()
+        try:
+            pairs = match_products(listings, **options)
+            writer = pairs.observe(seen, F.count(F.lit(1)).alias("num_scores")).write.mode("overwrite")
+            if folder is None:
+                writer.format("noop").save()
+            else:
+                writer.parquet(f"{folder}/combo={quote(name)}")
+            count = seen.get["num_scores"]
+        except Exception as failure:  # noqa: BLE001 - a failing combo is reported, not fatal
+            error = f"{type(failure).__name__}: {failure}"[:ERROR_CHARS]
+        finally:
+            context.removeJobTag(tag)
+        rows.append((name, count, time.monotonic() - started, error))
+    return listings.sparkSession.createDataFrame(
+        rows, "combo string, num_scores long, elapsed_seconds double, error string"
+    )
 
 
 def best_match(matches: DataFrame, threshold: float = MATCH_THRESHOLD) -> DataFrame:

@@ -16,11 +16,13 @@ from ..functions import (
     weight_vector,
 )
 from ..operators import audit as A
+from ..operators import encoding as E
 from ..operators import matching as M
 from ..operators import similarity as S
 from ..operators import tables as W
 from ..operators.catalog import latest_positive_mrp, unmapped_listings
 from ..schemas import DENSE_WEIGHT, LEXICAL_WEIGHT
+from ..session import cut_lineage
 from .bindings import RetailTables, r6
 from .brand_queries import rounded
 from .oracle import unit_sql
@@ -255,9 +257,10 @@ def _scored_sql(dense: float, lexical: float, floor: float, ngram: bool) -> str:
 _NGRAM = f'''SELECT category, query_id, corpus_id, rank, round(score, 4) AS score
   FROM ({_scored_sql(0.7, 0.3, 0.6, True)})'''
 _COMPARED = f'''
-  SELECT 'tokens' AS combo, count(*) AS num_scores FROM matched
-  UNION ALL SELECT 'tokens + jaccard', count(*) FROM matched
-  UNION ALL SELECT 'blended', count(*) FROM ({_scored_sql(0.7, 0.3, 0.4, False)})'''
+  SELECT 'tokens' AS combo, count(*) AS num_scores, false AS failed FROM matched
+  UNION ALL SELECT 'tokens + jaccard', count(*), false FROM matched
+  UNION ALL SELECT 'blended', count(*), false FROM ({_scored_sql(0.7, 0.3, 0.4, False)})
+  UNION ALL SELECT 'no model', NULL, true'''
 
 
 @query("match_products_ngram", _NGRAM)
@@ -271,14 +274,56 @@ def _(t: RetailTables) -> DataFrame:
 
 @query("compare_matchers", _COMPARED)
 def _(t: RetailTables) -> DataFrame:
-    return M.compare_matchers(
+    compared = M.compare_matchers(
         t.catalog,
         {
             "tokens": {},
             "tokens + jaccard": {"scorer": token_jaccard},
             "blended": {"use_lexical": True},
+            "no model": {"encoder": lambda text: F.raise_error(F.concat(F.lit("no model for "), text)).cast("array<double>")},
         },
     )
+    return compared.select("combo", "num_scores", F.col("error").isNotNull().alias("failed"))
+
+
+def _vectors_sql() -> str:
+    """Hashed TF-IDF of unit length by (id, term)."""
+    return f'''SELECT * FROM (
+      WITH tf AS (
+        SELECT id, term, count(*) AS tf FROM (
+          SELECT id, CAST('0x' || substr(md5(u), 1, 6) AS BIGINT) % {E.DIM} AS term
+          FROM (SELECT id, unnest(f) AS u FROM ({_features_sql(True)})))
+        GROUP BY id, term),
+      idf AS (
+        SELECT term, ln((1 + (SELECT count(*) FROM anchored)) / (1 + count(*))::DOUBLE) + 1 AS idf
+        FROM tf GROUP BY term)
+      SELECT id, term, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY id)) AS weight
+      FROM tf JOIN idf USING (term))'''
+
+
+@query("encode_tfidf", f"SELECT id, CAST(term AS INT) AS term, round(weight, 6) AS weight FROM ({_vectors_sql()})")
+def _(t: RetailTables) -> DataFrame:
+    texts = M.listing_texts(t.catalog).select("id", "text")
+    vectors = E.encode_texts(texts, cut_lineage(E.fit_idf(texts)))
+    entries = vectors.select("id", F.explode(F.arrays_zip("terms", "weights")).alias("e"))
+    return rounded(entries.select("id", F.col("e.terms").alias("term"), F.col("e.weights").alias("weight")), "weight")
+
+
+@query(
+    "hybrid_score_tfidf",
+    f"""SELECT query_id, corpus_id, round(score, 4) AS score, round(coalesce(lexical, 0), 6) AS lexical_score
+        FROM matched LEFT JOIN (
+          SELECT m.query_id, m.corpus_id, sum(a.weight * b.weight) AS lexical
+          FROM matched m JOIN ({_vectors_sql()}) a ON a.id = m.query_id
+            JOIN ({_vectors_sql()}) b ON b.id = m.corpus_id AND b.term = a.term
+          GROUP BY ALL) USING (query_id, corpus_id)""",
+)
+def _(t: RetailTables) -> DataFrame:
+    texts = M.listing_texts(t.catalog).select("id", "text")
+    vectors = cut_lineage(E.encode_texts(texts, cut_lineage(E.fit_idf(texts))))
+    pairs = M.match_products(t.catalog).select("query_id", "corpus_id", F.col("dense_score").alias("score"))
+    blended = S.hybrid_score(pairs, E.as_weights(vectors), DENSE_WEIGHT, LEXICAL_WEIGHT)
+    return rounded(blended.select("query_id", "corpus_id", "score", "lexical_score"), "lexical_score")
 
 
 # -------------------------------------------------------------------- assignment

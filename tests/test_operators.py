@@ -1,18 +1,21 @@
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from basketlens.functions import batch_scorer
 from basketlens.functions.text import normalize_unit
 from basketlens.operators import (
     audit,
     brand,
     catalog,
     category,
+    encoding,
     matching,
     report,
     sales,
@@ -327,6 +330,42 @@ def test_compare_matchers_counts_pairs(spark):
     assert got == {name: matching.match_products(df, **options).count() for name, options in combos.items()}
 
 
+def test_compare_matchers_reports_failures_and_writes_pairs(spark, tmp_path):
+    df = catalog_rows(spark, LISTINGS)
+    broken = batch_scorer(lambda texts: 1 / 0, "array<double>")
+    combos = {"while planned": {"floor": -1.0}, "while run": {"encoder": broken}, "good, one": {"k": 1}}
+    got = {r["combo"]: r for r in matching.compare_matchers(df, combos, str(tmp_path)).collect()}
+    assert "positive floor" in got["while planned"]["error"]
+    assert "division by zero" in got["while run"]["error"]
+    assert got["while planned"]["num_scores"] is None and got["while run"]["num_scores"] is None
+    good = got["good, one"]
+    assert good["error"] is None and good["elapsed_seconds"] > 0
+    pairs = spark.read.parquet(str(tmp_path)).where("combo = 'good, one'")
+    assert good["num_scores"] == pairs.count() == matching.match_products(df, k=1).count() > 0
+    none = matching.compare_matchers(df.limit(0), {"tokens": {}}).first()
+    assert (none["num_scores"], none["error"]) == (0, None)
+
+
+def test_encoder_weights_rare_terms_and_unseen_ones(spark):
+    texts = spark.createDataFrame(
+        [(1, "amul milk"), (2, "amul butter"), (3, "amul milk"), (4, ""), (5, None)], "id long, text string"
+    )
+    idf = encoding.fit_idf(texts.where("id < 4"), ngram=0)
+    assert idf.count() == 4
+    got = {r["id"]: dict(zip(r["terms"], r["weights"])) for r in encoding.encode_texts(texts, idf, ngram=0).collect()}
+    raw = {"amul": math.log(4 / 4) + 1, "milk": math.log(4 / 3) + 1, "butter": math.log(4 / 2) + 1}
+    column = {w: int(hashlib.md5(w.encode()).hexdigest()[:6], 16) % encoding.DIM for w in raw}
+    for doc, words in {1: ("amul", "milk"), 2: ("amul", "butter"), 3: ("amul", "milk")}.items():
+        norm = math.sqrt(sum(raw[w] ** 2 for w in words))
+        assert got[doc] == pytest.approx({column[w]: raw[w] / norm for w in words})
+    assert 5 not in got
+    new = spark.createDataFrame([(9, "amul ghee")], "id long, text string")
+    found = encoding.encode_texts(new, idf, ngram=0).first()
+    unseen = math.log(4) + 1
+    assert max(found["weights"]) == pytest.approx(unseen / math.sqrt(unseen**2 + 1))
+    assert encoding.encode_texts(new.limit(0), idf, ngram=0).count() == 0
+
+
 def test_choose_anchor_scan_order(spark, rows):
     df = catalog_rows(spark, [(1, "instamart", "a", None, "x", None), (2, "zepto", "b", None, "x", None)])
     assert rows(matching.choose_anchor(df, "scan"), "anchor") == [("instamart",)] * 2
