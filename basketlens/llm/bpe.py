@@ -31,12 +31,12 @@ from pyspark.sql import functions as F
 
 NEVER = 1 << 30
 #: Entries a worker remembers before it forgets all; the results do not depend on it.
-PIECES_KEPT = 1_000_000
-PAIRS_KEPT = 2_000_000
+PIECES_KEPT = 250_000
+PAIRS_KEPT = 500_000
 
 
 #: Characters of texts whose pieces are looked up together.
-CHARS_AT_ONCE = 3_000_000
+CHARS_AT_ONCE = 500_000
 
 
 def together(texts: pa.Array) -> Iterator[list[str | None]]:
