@@ -131,7 +131,10 @@ def write(
     chosen = about(pages.where(F.length("html") > 0), SAMPLE_RECORDS, "page_id", "url")
     sample = (
         chosen.select("page_id", "url", sampled(F.col("html")).alias("html"))
-        .orderBy("page_id", "url", "html")
+        # a repeated page is one sample, so the bound holds however often it occurs
+        .groupBy("page_id", "url")
+        .agg(F.min("html").alias("html"))
+        .orderBy("page_id", "url")
         .collect()
     )
     samples = []
