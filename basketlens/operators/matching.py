@@ -94,6 +94,7 @@ def match_products(
     anchor_by: str = "preference",
     anchored: bool = False,
     encoder: Callable[[Column], Column] | None = None,
+    search: Callable[..., DataFrame] = cosine_pairs,
 ) -> DataFrame:
     """Top-k anchor candidates of every non-anchor listing, all categories at once.
 
@@ -102,13 +103,14 @@ def match_products(
     copies are expanded to k at most and no result changes.
 
     ``encoder`` (a built-in expression or a ``batch_scorer`` model: text -> vector) puts
-    the cosine of vectors in place of that of token sets.
+    the cosine of vectors in place of that of token sets.  ``search`` finds the vectors: all pairs
+    of a category, or ``cells.nearest`` with a quantiser or a dimension bound to it.
     """
     marked = listings if anchored else choose_anchor(listings, anchor_by)
     rows = listing_texts(marked).select("category", "id", "is_anchor", "text")
 
     if encoder is not None:
-        return _match_vectors(rows, encoder, k, floor, scorer)
+        return _match_vectors(rows, encoder, search, k, floor, scorer)
 
     # One document per distinct text and side; its id is the lowest listing id.
     documents = rows.groupBy("category", "is_anchor", "text").agg(F.min("id").alias("id"))
@@ -167,9 +169,9 @@ def candidates_of(rows: DataFrame, docs: DataFrame, by_text: DataFrame, k: int)
     )
 
 
-def _match_vectors(rows: DataFrame, encoder, k: int, floor: float, scorer) -> DataFrame:
+def _match_vectors(rows: DataFrame, encoder, search, k: int, floor: float, scorer) -> DataFrame:
     vectors = cut_lineage(rows.withColumn("vec", encoder(F.col("text"))))
-    found = cosine_pairs(
+    found = search(
         vectors.where("NOT is_anchor"), vectors.where("is_anchor"), ["category"], floor=floor, k=k
     )
     q = rows.select("category", F.col("id").alias("query_id"), F.col("text").alias("query_text"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +18,7 @@ from ..functions import (
     weight_vector,
 )
 from ..operators import audit as A
+from ..operators import cells
 from ..operators import encoding as E
 from ..operators import matching as M
 from ..operators import similarity as S
@@ -164,6 +167,21 @@ def _(t: RetailTables) -> DataFrame:
     return hit.crossJoin(checked)
 
 
+@query("topk_candidates_cells", f"SELECT query_id, corpus_id, round(score, 6) AS score, rank FROM ({_TOP})")
+def _(t: RetailTables) -> DataFrame:
+    q, c = _vectors(t)
+    return rounded(cells.nearest(q, c, ["label"], dim=64, floor=0.1, k=5, exact=True), "score")
+
+
+@query("topk_candidates_probed")
+def _(t: RetailTables) -> DataFrame:
+    """The five nearest other vectors that 96 probes find for every id divisible by 20."""
+    rows = t.raw("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    quantiser = cells.fit(rows, 64, cell_rows=8)
+    found = cells.nearest(rows.where("id % 20 = 0"), rows, [], quantiser=quantiser, probes=96, k=6, floor=-1.0)
+    return S.best_k(found.where("query_id <> corpus_id"), 5)
+
+
 _MATCHED = """SELECT category, query_id, corpus_id, query_text, corpus_text, rank,
   round(score, 4) AS dense_score"""
 
@@ -232,6 +250,13 @@ def _(t: RetailTables) -> DataFrame:
     return rounded(found.select("category", "query_id", "corpus_id", "rank", "dense_score"), "dense_score")
 
 
+@query("match_products_cells", _DENSE)
+def _(t: RetailTables) -> DataFrame:
+    search = partial(cells.nearest, dim=64, exact=True)
+    found = M.match_products(t.catalog, encoder=hashed_counts, search=search)
+    return rounded(found.select("category", "query_id", "corpus_id", "rank", "dense_score"), "dense_score")
+
+
 def _features_sql(ngram: bool) -> str:
     """Distinct words of the anchored texts, with character 3-grams if asked."""
     grams = ''', list_transform(range(1, greatest(len(array_to_string(w, ' ')) - 2, 1) + 1),
