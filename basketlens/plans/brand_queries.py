@@ -490,12 +490,9 @@ _REPORT_SQL = f"""
   FROM (
     SELECT brand, category, 0 AS section, part, 0.0::DOUBLE AS order1, '' AS order2, line FROM (
       SELECT brand, category, unnest([0, 1, 2, 3, 4]) AS part, unnest([
-        CASE WHEN own = 0 THEN 'Analyze market entry opportunities for **' || brand || '** in the **'
-               || category || '** category on Blinkit, Zepto, and Swiggy Instamart.' || chr(10) || '**' || brand
-               || '** has NO current listings in this category. '
-               || 'Use the competitor data below to identify gaps and opportunities.'
-             ELSE 'Generate a market intelligence report for **' || brand || '** in the **' || category
-               || '** category.' END,
+        CASE WHEN own = 0 THEN 'Category ' || category || ' seen by **' || brand
+               || '**, which lists nothing there yet: competitors, prices and open price bands.'
+             ELSE '**' || brand || '** in category ' || category || ': listings, prices and sales.' END,
         chr(10) || '### Category Overview',
         '- Total products in category: ' || total,
         '- Active brands: ' || brands,
