@@ -18,7 +18,7 @@ P = F.col
 
 def _capture(t: RetailTables, doc: Column) -> DataFrame:
     """One payload per part, as text turned into a VARIANT."""
-    return t.raw("part").select(
+    return t.spread("part", "p_partkey").select(
         P("p_partkey").alias("payload_id"), F.parse_json(F.to_json(doc)).alias("payload")
     )
 
@@ -63,7 +63,7 @@ def _cart_payloads(t: RetailTables) -> DataFrame:
     text = F.concat(
         F.lit('{"status":"ok","response":{"snippets":['), F.array_join(doc["snippets"], ","), F.lit("]}}")
     )
-    parts = t.raw("part")
+    parts = t.spread("part", "p_partkey")
     return parts.select(P("p_partkey").alias("payload_id"), F.parse_json(text).alias("payload"))
 
 
@@ -90,7 +90,7 @@ def _(t: RetailTables) -> DataFrame:
     )
     levels = F.lit(15) + P("p_partkey") % 10
     text = F.concat(F.repeat(F.lit('{"a":['), levels), item, F.repeat(F.lit("]}"), levels))
-    deep = t.raw("part").select(P("p_partkey").alias("payload_id"), F.parse_json(text).alias("payload"))
+    deep = t.spread("part", "p_partkey").select(P("p_partkey").alias("payload_id"), F.parse_json(text).alias("payload"))
     return payloads.walk_cart_items(deep).select("payload_id", "id", "name")
 
 
@@ -293,7 +293,7 @@ def _(t: RetailTables) -> DataFrame:
         F.lit('\n  - link "second '), name, F.lit(" ADD ₹"), (P("p_size") + 1).cast("string"),
         F.lit(" "), size, F.lit(' g" [ref=e3]:\n    - img\n    - /url: /pn/z/other'),
     )
-    shots = t.raw("part").select(P("p_partkey").alias("snapshot_id"), text.alias("text"))
+    shots = t.spread("part", "p_partkey").select(P("p_partkey").alias("snapshot_id"), text.alias("text"))
     return snapshots.snapshot_links(shots).select(
         "snapshot_id", "pos", "product_id", "name", "unit_quantity", "discounted_price", "mrp"
     )
@@ -317,7 +317,7 @@ def _(t: RetailTables) -> DataFrame:
         (P("p_size") + 20).cast("string"), F.lit("\n  generic: 7 kg"),
         F.lit('\ngeneric "Delivery in 7 MINS" [ref=f1]:\n  generic [ref=f2]: Without price here'),
     )
-    shots = t.raw("part").select(P("p_partkey").alias("snapshot_id"), text.alias("text"))
+    shots = t.spread("part", "p_partkey").select(P("p_partkey").alias("snapshot_id"), text.alias("text"))
     return snapshots.snapshot_cards(shots).drop("inStock", "maxSelectableQuantity")
 
 
@@ -325,7 +325,7 @@ def _(t: RetailTables) -> DataFrame:
 
 
 def _items(t: RetailTables, **fields: Column) -> DataFrame:
-    return t.raw("part").select(
+    return t.spread("part", "p_partkey").select(
         P("p_type").alias("run_id"),
         P("p_type").alias("category"),
         P("p_partkey").alias("seq"),
@@ -599,7 +599,7 @@ def _(t: RetailTables) -> DataFrame:
 def _run_items(t: RetailTables) -> tuple[DataFrame, DataFrame]:
     """Two runs per category and platform: every listing in the morning and at night."""
     slots = F.explode(F.array(F.lit("morning"), F.lit("night")))
-    cells = t.catalog.select("id", "platform", "category", "name", "brand", "unit", slots.alias("slot"))
+    cells = t.catalog.repartition("id").select("id", "platform", "category", "name", "brand", "unit", slots.alias("slot"))
     run_id = F.concat_ws("-", "platform", "category", "slot")
     item = _named(
         id=P("id"), product_id=P("id").cast("string"), name=P("name"), brand=P("brand"), unit=P("unit"),

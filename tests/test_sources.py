@@ -4,6 +4,8 @@ import json
 
 from pyspark.sql import functions as F
 
+from basketlens.plans import ingest_queries
+from basketlens.plans.bindings import RetailTables
 from basketlens.sources import dims, listings, payloads, snapshots
 from basketlens.sources.validate import LISTING_RULES, MAPPING_RULES, validate_rows
 
@@ -160,3 +162,31 @@ def test_validate_rows_keeps_rejects_with_reasons(spark, rows):
     ]
     maps = spark.createDataFrame([(1, 1, 1.2)], "catalog_id INT, canonical_id INT, similarity_score DOUBLE")
     assert validate_rows(maps, MAPPING_RULES)[1].count() == 1
+
+
+def test_payload_input_is_dealt_over_tasks(spark, tmp_path):
+    """One small file is one read task; the payloads made of it are worked on in several."""
+    key = F.col("id").alias("p_partkey")
+    named = [F.concat(F.lit(n), F.col("id").cast("string")).alias(n) for n in ("p_name", "p_brand", "p_type")]
+    parts = spark.range(0, 20_000, 1, 1).select(
+        key, *named, (F.col("id") % 50).cast("int").alias("p_size"), F.lit(9.5).alias("p_retailprice")
+    )
+    parts.write.parquet(f"{tmp_path}/part.parquet")
+    tables = RetailTables(spark, str(tmp_path))
+    assert tables.raw("part").rdd.getNumPartitions() == 1
+    made = ingest_queries._cart_payloads(tables).select("payload_id", F.spark_partition_id().alias("task")).collect()
+    assert len({r["task"] for r in made}) > 1
+    assert sorted(r["payload_id"] for r in made) == list(range(20_000))
+
+
+def test_items_are_parsed_once(spark):
+    """The filter on refused rows must not write the parsing of an item out at each mention."""
+    rows = spark.createDataFrame([(1, '{"id":"a","name":"n","price":2}'), (2, '{"id":"b"}')], "seq int, text string")
+    items = rows.select(F.lit("r").alias("run_id"), F.lit("c").alias("category"), "seq", F.parse_json("text").alias("item"))
+    parsed = listings.parse_blinkit(items)
+    plan = parsed._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson") == 1
+    assert [r["seq"] for r in parsed.collect()] == [1]
+    assert [(r["seq"], r["reason"]) for r in listings.parse_rejects(items.withColumn("platform", F.lit("blinkit"))).collect()] == [
+        (2, "name missing")
+    ]
