@@ -533,20 +533,20 @@ def test_settled_queries_leave_the_set_search(spark, monkeypatch):
     corpus = [(i, "c", words("a", "b", "c", "d", f"x{i}")) for i in range(1, 5)] + [(9, "c", words("p", "y", "z"))]
     asked = [(20, "c", words("a", "b", "c", "d", "q")), (21, "c", words("p", "y", "w", "v")), (None, "c", words("p", "y"))]
     schema = "id long, category string, features array<string>"
-    ranked = similarity.rarest_first(
+    ranked = sim.rarest_first(
         spark.createDataFrame([(*r, True) for r in corpus] + [(*r, False) for r in asked], f"{schema}, is_anchor boolean"),
         ["category"],
     )
     sides = ranked.where("NOT is_anchor"), ranked.where("is_anchor")
-    seen, search = [], similarity._set_pairs
+    seen, search = [], sim._set_pairs
 
     def recorded(queries, corpus, keys, k, floor, *rest):
         seen.append((floor, sorted(r["id"] or 0 for r in queries.select("id").collect())))
         return search(queries, corpus, keys, k, floor, *rest)
 
-    monkeypatch.setattr(similarity, "_set_pairs", recorded)
-    found = sorted(similarity.set_top_k(*sides, ["category"], k=2, floor=0.4).collect(), key=repr)
+    monkeypatch.setattr(sim, "_set_pairs", recorded)
+    found = sorted(sim.set_top_k(*sides, ["category"], k=2, floor=0.4).collect(), key=repr)
     assert seen == [(0.8, [0, 20, 21]), (0.6, [0, 21]), (0.4, [0, 21])]
-    monkeypatch.setattr(similarity, "HIGH_FLOORS", ())
-    assert sorted(similarity.set_top_k(*sides, ["category"], k=2, floor=0.4).collect(), key=repr) == found
+    monkeypatch.setattr(sim, "HIGH_FLOORS", ())
+    assert sorted(sim.set_top_k(*sides, ["category"], k=2, floor=0.4).collect(), key=repr) == found
     assert [r["corpus_id"] for r in found if r["query_id"] == 20] == [1, 2]
