@@ -75,3 +75,15 @@ def test_text_features_and_batch_scorer(spark):
     assert grams[:2] == ["red", "bolt"] and "#d b" in grams
     length = fn.batch_scorer(lambda s: s.str.len().astype("float64"), "double")
     assert df.select(length(F.col("t"))).first()[0] == 13.0
+
+
+def test_features_are_computed_once_per_text(spark):
+    """A lambda that mentions the words of a text from outside would split it again per element."""
+    df = spark.createDataFrame([("b a b",), ("",), ("a",), (None,)], "text STRING")
+    grams, counts = fn.text_features("text", 3), fn.hashed_counts("text", 4)
+    plan = df.select(grams.alias("g"), counts.alias("c"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 2 and "filter(transform(" not in plan
+    got = [tuple(r) for r in df.select(grams, counts).collect()]
+    assert got[0][0] == ["b", "a", "#b a"] and sum(got[0][1]) == 3
+    assert got[1][0] == ["#"] and got[2][0] == ["a", "#a"]
+    assert got[3][0] is None or got[3][0] == ["#"]
