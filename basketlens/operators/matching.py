@@ -170,7 +170,9 @@ def candidates_of(rows: DataFrame, docs: DataFrame, by_text: DataFrame, k: int)
 
 
 def _match_vectors(rows: DataFrame, encoder, search, k: int, floor: float, scorer) -> DataFrame:
-    vectors = cut_lineage(rows.withColumn("vec", encoder(F.col("text"))))
+    # a text is encoded once, however many listings have it, and in as many tasks as there are
+    texts = rows.select("text").distinct().withColumn("vec", encoder(F.col("text")))
+    vectors = cut_lineage(rows.join(texts, "text").select(*rows.columns, "vec"))
     found = search(
         vectors.where("NOT is_anchor"), vectors.where("is_anchor"), ["category"], floor=floor, k=k
     )

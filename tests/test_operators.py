@@ -550,3 +550,69 @@ def test_settled_queries_leave_the_set_search(spark, monkeypatch):
     monkeypatch.setattr(sim, "HIGH_FLOORS", ())
     assert sorted(sim.set_top_k(*sides, ["category"], k=2, floor=0.4).collect(), key=repr) == found
     assert [r["corpus_id"] for r in found if r["query_id"] == 20] == [1, 2]
+
+
+def test_terms_are_counted_where_their_text_is(spark):
+    from basketlens.operators import encoding
+
+    texts = spark.createDataFrame([(1, "green tea green"), (2, "tea"), (3, "")], "id BIGINT, text STRING")
+    counts = encoding.term_counts(texts, 3, 1 << 16)
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(id") >= 1 and ", term" not in "".join(
+        part.split(")")[0] for part in plan.split("hashpartitioning(")[1:]
+    )
+    assert {r["id"] for r in counts.collect()} == {1, 2, 3}
+
+
+def test_a_text_is_encoded_once(spark):
+    from basketlens.functions import batch_scorer
+    from basketlens.operators import matching
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def encode(texts):
+        seen.add(len(texts))
+        return texts.map(lambda t: [float(len(t)), 1.0])
+
+    rows = [(i, ("blinkit", "zepto")[i % 2], f"tea {i % 3}", "b", "c", "1 kg") for i in range(60)]
+    df = spark.createDataFrame(rows, "id BIGINT, platform STRING, name STRING, brand STRING, category STRING, unit STRING")
+    found = matching.match_products(df, encoder=batch_scorer(encode, "array<double>"), k=2)
+    assert found.select("query_id").distinct().count() == 30
+    assert seen.value == 3
+
+
+def test_blocks_and_pairs_asked_for(spark, rows):
+    sizes = spark.createDataFrame([(1,), (1024,), (16_384,), (100_000,), (200_000,)], "n BIGINT")
+    blocks = [r[0] for r in sizes.orderBy("n").select(sim.blocks_of(F.col("n"))).collect()]
+    assert blocks == [1, 1, 16, 16, 25]
+
+    rng = random.Random(3)
+    data = [(i, "ab"[i % 2], [rng.gauss(0, 1) for _ in range(4)]) for i in range(60)]
+    df = spark.createDataFrame(data, "id BIGINT, label STRING, vec ARRAY<DOUBLE>")
+    q, c = df.where("id < 30"), df.where("id >= 30")
+    every = sim.cosine_pairs(q, c, ["label"], floor=0.1)
+    asked = spark.createDataFrame(
+        [(i, j) for i in range(0, 30, 4) for j in range(30, 60, 3)] * 2, "query_id BIGINT, corpus_id BIGINT"
+    )
+    got = sim.cosine_pairs(q, c, ["label"], floor=0.1, among=asked)
+    rounded = [F.round("score", 9).alias("score")]
+    want = every.join(asked.distinct(), ["query_id", "corpus_id"], "left_semi")
+    assert rows(got, "query_id", "corpus_id", *rounded) == rows(want, "query_id", "corpus_id", *rounded) != []
+    empty = asked.limit(0)
+    assert sim.cosine_pairs(q, c, ["label"], floor=0.1, among=empty).count() == 0
+
+
+def test_large_blocks_hand_on_k_with_ties_to_the_lower_id(spark):
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(4)
+    sides = [pd.DataFrame({"id": rng.permutation(n), "vec": list(rng.integers(0, 3, (n, 3)) + 1.0)}) for n in (2500, 90)]
+    q, c = sides
+    found = sim._cell_top_k(lambda a, b: np.array(a["vec"].tolist()) @ np.array(b["vec"].tolist()).T, 4, 9.0)(q, c)
+    scores = np.array(q["vec"].tolist()) @ np.array(c["vec"].tolist()).T
+    want = set()
+    for i, row in zip(q["id"], scores):
+        best = sorted(zip(-row, c["id"]))[:4]
+        want |= {(i, j, -s) for s, j in best if -s >= 9.0}
+    assert set(found.itertuples(index=False, name=None)) == want and len(found) == len(want)
