@@ -5,7 +5,8 @@ window).  Every document is scanned: the 64-bit hashes of its windows, of the le
 occur, are probed in a broadcast hash join with those of the benchmark.  Hits are verified on
 the words.  If the benchmark's windows are larger than ``broadcast_limit`` bytes, the same join
 is left to a shuffle, where adaptive execution splits frequent windows.  Long documents are
-scanned in segments that overlap by a window.
+scanned in segments that overlap by a window.  Of the texts only those with candidates are
+exchanged; the keys of these documents are broadcast, up to ``broadcast_limit`` bytes.
 
 Defined results: a null text has no words, as has one without a word character; it has no
 hits.  Items without words have no window.  Items with equal windows are all counted.  Rows
@@ -29,6 +30,8 @@ WORD_WITH_GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*" + WORD
 GAP_AT_END = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*$"
 WINDOW, SEGMENT = 10, 4_000
 BROADCAST_LIMIT = 64 << 20
+#: Bytes of a document's key in memory.
+KEY_BYTES = 128
 
 
 def ascii_lower(text: Column) -> Column:
@@ -94,6 +97,12 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(text, F.char_length(text))
 
 
+def keys_of(found: DataFrame, broadcast_limit: int = BROADCAST_LIMIT) -> DataFrame:
+    """(_found_id, _found_text) of the documents of ``found``, marked for broadcast if they are few."""
+    keys = found.select(F.col("doc_id").alias("_found_id"), F.col("_text").alias("_found_text")).distinct()
+    return keys.hint("broadcast") if found.count() * KEY_BYTES <= broadcast_limit else keys
+
+
 def hits(
     docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, broadcast_limit: int = BROADCAST_LIMIT
 ) -> DataFrame:
@@ -132,7 +141,7 @@ def hits(
     )
     nothing = F.array().cast("array<struct<start:int,size:int,code:bigint>>")
     every = F.concat(nothing, *[window_codes(F.col("s.hashes"), size) for size in sizes])
-    candidates = (
+    candidates = cut_lineage(
         segments.select("doc_id", "_text", "s.before", F.explode(every).alias("w"))
         .select(
             "doc_id", "_text", (F.col("before") + F.col("w.start")).alias("start"), "w.size", "w.code"
@@ -144,6 +153,8 @@ def hits(
     texts = docs.select(
         F.col("doc_id").alias("_id"), F.col("text"), text_key(F.col("text")).alias("_key")
     )
+    wanted = F.col("_id").eqNullSafe(F.col("_found_id")) & (F.col("_key") == F.col("_found_text"))
+    texts = texts.join(keys_of(candidates, broadcast_limit), wanted, "left_semi")
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_key"))
     verified = candidates.join(texts, same).withColumn(
         "found",
@@ -207,7 +218,12 @@ def report(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
     """Only the documents without hit."""
-    return unpacked(with_hits(docs, benchmark, n).where(F.col("covered").isNull()), docs.columns)
+    found = keys_of(cut_lineage(hits(docs, benchmark, n).select("doc_id", "_text")))
+    rows = docs.select(whole_row(docs))
+    same = F.col("row.doc_id").eqNullSafe(F.col("_found_id")) & (
+        text_key(F.col("row.text")) == F.col("_found_text")
+    )
+    return unpacked(rows.join(found, same, "left_anti"), docs.columns)
 
 
 def cut_spans(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:

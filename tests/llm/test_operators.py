@@ -387,6 +387,23 @@ def test_decontaminate_across_segments_and_by_shuffle(spark, monkeypatch):
     assert {r["doc_id"]: len(r["covered"]) for r in shuffled.collect()} == {1: 25, 2: 2}
 
 
+def test_clean_documents_are_kept_without_an_exchange_of_texts(spark, capsys):
+    shared = words(12, 7)
+    docs = spark.createDataFrame(
+        [(i, " ".join(words(30, 500 + i) + (shared if i % 5 == 0 else []))) for i in range(20)]
+        + [(None, " ".join(shared)), (None, "none"), (30, None)],
+        "doc_id long, text string",
+    )
+    bench = spark.createDataFrame([(1, " ".join(shared))], "item_id long, text string")
+    kept = decontaminate.drop_contaminated(docs, bench)
+    got = sorted((r["doc_id"], r["text"]) for r in kept.where("text IS NOT NULL AND doc_id IS NOT NULL").collect())
+    assert [i for i, _ in got] == [i for i in range(20) if i % 5]
+    assert kept.count() == len(got) + 2
+    kept.explain()
+    plan = capsys.readouterr().out
+    assert "LeftAnti" in plan and "SortMergeJoin" not in plan
+
+
 def test_decontaminate_measures_items_by_windows(spark, monkeypatch):
     text = words(40, 6)
     docs = spark.createDataFrame([(1, " ".join(text))], "doc_id long, text string")
