@@ -246,6 +246,29 @@ def test_passages_version_chains(spark):
     assert len(found) >= 0.8 * chains
 
 
+def test_no_passage_that_meets_the_threshold_is_left_out(spark):
+    """An edit in the middle leaves few equal windows; all such passages are found."""
+    rows = []
+    for i in range(150):
+        passage = words(58, 4_000 + i)
+        edited = [*passage]
+        if i % 3 == 0:
+            edited[24 + i % 9] = "edit"
+        elif i % 3 == 1:
+            edited.insert(24 + i % 9, "edit")
+        else:
+            del edited[24 + i % 9]
+        rows.append((i, " ".join(words(20, 5_000 + i) + passage + words(20, 6_000 + i))))
+        rows.append((1_000 + i, " ".join(words(5 + i % 7, 7_000 + i) + edited + words(9, 8_000 + i))))
+    found = passages.find(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {(r["doc_id"], r["ref_doc_id"]) for r in found.collect()} >= {(1_000 + i, i) for i in range(150)}
+
+
+def test_stretch_bounds_what_edits_leave():
+    assert passages.stretch(5, 46, 0.8) == (13, 93) and passages.fewest(46, 0.8) == 37
+    assert passages.stretch(5, 46, 1.0)[0] == 46
+
+
 def test_passages_planted(spark, odd, empty):
     passage, phrase = words(60, 3), words(18, 4)
     rows = [(i, " ".join(words(80, 10 + i) + phrase + words(70, 40 + i))) for i in range(12)]
