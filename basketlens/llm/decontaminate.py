@@ -1,12 +1,15 @@
 """Benchmark decontamination with DataFrame functions only.
 
 The benchmark's items are cut into windows of ``n`` words (an item of fewer words is one
-window).  Every document is scanned: the 64-bit hashes of its windows, of the lengths that
-occur, are probed in a broadcast hash join with those of the benchmark.  Hits are verified on
-the words.  If the benchmark's windows are larger than ``broadcast_limit`` bytes, the same join
-is left to a shuffle, where adaptive execution splits frequent windows.  Long documents are
-scanned in segments that overlap by a window.  Of the texts only those with candidates are
-exchanged; the keys of these documents are broadcast, up to ``broadcast_limit`` bytes.
+window).  Every document is scanned once, which counts its words too.  A window of k words holds
+a whole block at one of every ``stride(k)`` words, wherever it begins; so the 64-bit hashes of
+these blocks alone, for the lengths that occur, are probed in a broadcast hash join with all
+blocks of the benchmark's windows.  Where one is known, the windows around it are probed with
+those of the benchmark.  Hits are verified on the words.  If the benchmark's windows are larger
+than ``broadcast_limit`` bytes, the same joins are left to a shuffle, where adaptive execution
+splits frequent blocks.  Long documents are scanned in segments that overlap by a window.  Of the
+texts only those with candidates are exchanged; the keys of these documents are broadcast, up to
+``broadcast_limit`` bytes.
 
 Defined results: a null text has no words, as has one without a word character; it has no
 hits.  Items without words have no window.  Items with equal windows are all counted.  Rows
@@ -24,12 +27,15 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 from .common import unpacked, whole_row
 
-#: A word of the original text, and the characters between words.
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: A word of the original text, and the characters between words.  The characters that end a word
+#: are listed one by one: Java looks these up in a table, but tries ranges one after the other.
+WORD = "[^" + "".join(f"\\x{c:02X}" for c in range(128) if not chr(c).isalnum()) + "]+"
 WORD_WITH_GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*" + WORD
 GAP_AT_END = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*$"
 WINDOW, SEGMENT = 10, 4_000
 BROADCAST_LIMIT = 64 << 20
+#: Over how many keys the rows of the documents themselves are dealt, should blocks be joined by shuffle.
+OWN_BLOCKS = 1_024
 #: Bytes of a document's key in memory.
 KEY_BYTES = 128
 
@@ -60,6 +66,53 @@ def window_codes(hashes: Column, size: int) -> Column:
     )
 
 
+def stride(size: int) -> int:
+    """Of a document's blocks for windows of ``size`` words, one in so many is probed."""
+    return (size + 1) // 2
+
+
+def block(hashes: Column, start: Column, size: int) -> Column:
+    """The code of the block at ``start``: as many words as a window holds wherever it begins."""
+    length = size - stride(size) + 1
+    return F.xxhash64(F.lit(size), *[F.get(hashes, start + (k - 1)) for k in range(length)])
+
+
+def known_blocks(windows: DataFrame, sizes: list[int]) -> DataFrame:
+    """Distinct (size, block) of the windows: every block a document may meet them by."""
+    hashes = word_hashes(F.split("window", " "))
+    none = F.array().cast("array<bigint>")
+    every = F.lit(None).cast("array<bigint>")
+    for size in sizes:
+        blocks = [block(F.col("hashes"), F.lit(i + 1), size) for i in range(stride(size))]
+        every = F.when(F.col("size") == size, F.array(*blocks)).otherwise(every)
+    found = windows.select("size", hashes.alias("hashes"))
+    return found.select("size", F.explode(F.coalesce(every, none)).alias("block")).distinct()
+
+
+def surroundings(hashes: Column, size: int) -> Column:
+    """(size, block, before, hashes) of the blocks probed for windows of ``size`` words.
+
+    ``hashes`` are those of all words of the windows that hold the block, ``before`` is how many
+    words lie before these.
+    """
+    step = stride(size)
+    last = F.size(hashes) - (size - step)
+    starts = F.when(F.size(hashes) >= size, F.sequence(F.lit(1), last, F.lit(step))).otherwise(
+        F.array().cast("array<int>")
+    )
+
+    def around(i: Column) -> Column:
+        first = F.greatest(i - (step - 1), F.lit(1))
+        return F.struct(
+            F.lit(size).alias("size"),
+            block(hashes, i, size).alias("block"),
+            (first - 1).alias("before"),
+            F.slice(hashes, first, i - first + size).alias("hashes"),
+        )
+
+    return F.transform(starts, around)
+
+
 def word_hashes(terms: Column) -> Column:
     return F.transform(terms, lambda w: F.xxhash64(w))
 
@@ -103,10 +156,12 @@ def keys_of(found: DataFrame, broadcast_limit: int = BROADCAST_LIMIT) -> DataFra
     return keys.hint("broadcast") if found.count() * KEY_BYTES <= broadcast_limit else keys
 
 
-def hits(
+def scanned(
     docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, broadcast_limit: int = BROADCAST_LIMIT
-) -> DataFrame:
-    """Per document with hits: doc_id, _text, covered word positions (from 1), item ids."""
+) -> tuple[DataFrame, DataFrame, DataFrame, bool]:
+    """What one pass over the texts finds: a row per document with doc_id, _text and n_words,
+    and the candidates (doc_id, _text, found); then the windows of the items, and whether these
+    may be broadcast by name."""
     found_in = item_windows(benchmark, n)
     distinct = found_in.select("size", "code", "window").distinct()
     owners = F.sum(F.octet_length(F.coalesce(F.col("item_id").cast("string"), F.lit(""))) + 64)
@@ -123,14 +178,18 @@ def hits(
     sizes = sorted(measured["sizes"])
     small = (measured["bytes"] or 0) <= broadcast_limit
     named_small = (measured["named_bytes"] or 0) <= broadcast_limit
-    probe = F.broadcast(distinct) if small else distinct
+    # blocks of size 0 are the rows of the documents themselves
+    itself = docs.sparkSession.range(OWN_BLOCKS).select(F.lit(0).alias("size"), F.col("id").alias("block"))
+    blocks = known_blocks(distinct, sizes).unionByName(itself)
+    around = "array<struct<size:int,block:bigint,before:int,hashes:array<bigint>>>"
 
     def segments_of(hashes: Column) -> Column:
         cuts = F.sequence(F.lit(0), F.greatest(F.size(hashes) - 1, F.lit(0)), F.lit(SEGMENT))
         return F.transform(
             cuts,
             lambda c: F.struct(
-                c.alias("before"), F.slice(hashes, c + 1, F.lit(SEGMENT + n - 1)).alias("hashes")
+                c.alias("before"), F.slice(hashes, c + 1, F.lit(SEGMENT + n - 1)).alias("hashes"),
+                F.when(c == 0, F.size(hashes)).alias("n_words"),
             ),
         )
 
@@ -139,17 +198,49 @@ def hits(
         text_key(F.col("text")).alias("_text"),
         F.explode(once(word_hashes(words(F.col("text"))), segments_of)).alias("s"),
     )
-    nothing = F.array().cast("array<struct<start:int,size:int,code:bigint>>")
-    every = F.concat(nothing, *[window_codes(F.col("s.hashes"), size) for size in sizes])
+    counted = F.struct(
+        F.lit(0).alias("size"), F.pmod(F.col("_text"), F.lit(OWN_BLOCKS)).cast("bigint").alias("block"),
+        F.col("s.n_words").alias("before"),
+        F.array().cast("array<bigint>").alias("hashes"),
+    )
+    own = F.when(F.col("s.n_words").isNotNull(), F.array(counted)).otherwise(F.array()).cast(around)
+    every = F.concat(own, *[surroundings(F.col("s.hashes"), size) for size in sizes])
+    met = cut_lineage(
+        segments.select("doc_id", "_text", F.col("s.before").alias("offset"), F.explode(every).alias("b"))
+        .select("doc_id", "_text", "offset", "b.*")
+        .join(blocks.hint("broadcast") if small else blocks, ["size", "block"], "left_semi")
+        .drop("block")
+    )
+    rows = met.where("size = 0").select("doc_id", "_text", F.col("before").cast("long").alias("n_words"))
+    near = F.array().cast("array<struct<start:int,size:int,code:bigint>>")
+    for size in sizes:
+        near = F.when(F.col("size") == size, window_codes(F.col("hashes"), size)).otherwise(near)
     candidates = cut_lineage(
-        segments.select("doc_id", "_text", "s.before", F.explode(every).alias("w"))
+        met.where("size > 0")
+        .select("doc_id", "_text", (F.col("offset") + F.col("before")).alias("before"), F.explode(near).alias("w"))
         .select(
             "doc_id", "_text", (F.col("before") + F.col("w.start")).alias("start"), "w.size", "w.code"
         )
-        .join(probe, ["size", "code"])
+        .join(F.broadcast(distinct) if small else distinct, ["size", "code"])
         .groupBy("doc_id", "_text")
         .agg(F.collect_set(F.struct("start", "size", "window")).alias("found"))
     )
+    return rows, candidates, found_in, named_small
+
+
+def hits(
+    docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, broadcast_limit: int = BROADCAST_LIMIT
+) -> DataFrame:
+    """Per document with hits: doc_id, _text, covered word positions (from 1), item ids."""
+    _, candidates, found_in, named_small = scanned(docs, benchmark, n, broadcast_limit)
+    return verified_hits(docs, candidates, found_in, named_small, broadcast_limit)
+
+
+def verified_hits(
+    docs: DataFrame, candidates: DataFrame, found_in: DataFrame, named_small: bool,
+    broadcast_limit: int = BROADCAST_LIMIT,
+) -> DataFrame:
+    """The hits of the candidates that hold word by word."""
     texts = docs.select(
         F.col("doc_id").alias("_id"), F.col("text"), text_key(F.col("text")).alias("_key")
     )
@@ -198,11 +289,9 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFra
 
 def report(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
     """Per document: words, words hit, items with occurring windows."""
-    found = hits(docs, benchmark, n)
-    counted = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.select(
-        F.col("doc_id").alias("_id"), text_key(F.col("text")).alias("_key"), counted.alias("n_words")
-    )
+    rows, candidates, *items_of = scanned(docs, benchmark, n)
+    found = verified_hits(docs, candidates, *items_of)
+    rows = rows.select(F.col("doc_id").alias("_id"), F.col("_text").alias("_key"), "n_words")
     same = F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_key") == F.col("_text"))
     n_hit = F.when(F.col("covered").isNull(), F.lit(0)).otherwise(F.size("covered")).cast("long")
     items = F.coalesce("items", F.array().cast("array<string>"))

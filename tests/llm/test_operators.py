@@ -438,6 +438,30 @@ def test_decontaminate_measures_items_by_windows(spark, monkeypatch):
     assert len(found[0]["items"]) == 50 and hinted == [["size", "code", "window"]]
 
 
+def test_every_window_of_every_size_is_found_wherever_it_begins(spark):
+    text = words(40, 8)
+    bench = [(f"{k}-{i}", " ".join(text[i : i + k])) for k in range(1, 11) for i in range(40 - k + 1)]
+    docs = [(i, " ".join(words(i, 900) + text + words(3, 950))) for i in range(12)] + [(50, " ".join(text[:3]))]
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    sizes = (2, 3, 7, 10)
+    items = [b for b in bench if int(b[0].split("-")[0]) in sizes]
+    items = spark.createDataFrame(items, "item_id string, text string")
+    got = {tuple(r)[:4] for r in decontaminate.report(docs, items).collect()}
+    assert got == {(i, 43 + i, 40, sum(41 - k for k in sizes)) for i in range(12)} | {(50, 3, 3, 3)}
+
+
+def test_decontaminate_probes_a_block_in_several_words_and_reads_texts_once(spark):
+    text = [f"w{i}" for i in range(2_000)]
+    docs = spark.createDataFrame([(1, " ".join(text)), (2, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(text[700:715]))], "item_id long, text string")
+    rows, candidates, *_ = decontaminate.scanned(docs, bench)
+    assert {(r["doc_id"], r["n_words"]) for r in rows.collect()} == {(1, 2_000), (2, 0)}
+    assert [len(r["found"]) for r in candidates.collect()] == [6]
+    hashes = decontaminate.word_hashes(decontaminate.words(F.col("text")))
+    probed = docs.where("doc_id = 1").select(F.size(decontaminate.surroundings(hashes, 10)))
+    assert probed.first()[0] <= 400
+
+
 # 7 chat
 
 
