@@ -4,7 +4,10 @@ Equal sets are joined first, by a 128-bit digest.  Distinct sets meet in tiles:
 into bands, and within a band the space of n-gram hashes is cut into more parts than two linked
 sets of the band can differ in elements.  Linked sets then agree in a whole part that is not
 empty, so the tile (band, part, hash of the part's elements) holds them both, and a passage
-that many documents share makes no tile unless it fills a whole part.  Tiles hang their sets on one of
+that many documents share makes no tile unless it fills a whole part.  Below ``RARE_BELOW`` percent
+parts would hold few elements each, and a common passage would fill them; there the tiles of a set
+are its rarest elements instead, as many as two linked sets cannot both miss, in an order that puts
+the elements frequent in a bounded sample last.  Tiles hang their sets on one of
 them; the components of these candidate links are compared within a task: sizes, then the
 bit counts of hashed bitmaps (which bound the overlap from above), then the sorted arrays.
 Pairs that are connected already are passed over, so a group of near copies takes few
@@ -34,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import cut_lineage
-from .common import unpacked, whole_row
+from .common import about, unpacked, whole_row
 from .graph import components
 from .shingles import STEP, WordHashes, mixed, rolled, stepped
 
@@ -46,6 +49,10 @@ CHUNK_SETS, CHUNK_GRAMS, PIVOTS = 3_000, 4_000_000, 8
 MEMBER_BYTES, BROADCAST_LIMIT = 64, 64 << 20
 #: Bits of the largest bitmap of a set.
 LARGEST_MAP = 1 << 14
+#: Below this percentage tiles are single rare elements.
+RARE_BELOW = 85
+#: Documents that the frequent elements are counted in, and how many of these are kept.
+SAMPLE_DOCS, MOST_COMMON = 16_384, 262_144
 #: Partitions tried for sets that leave many parts empty.
 LEVELS = 6
 
@@ -112,6 +119,69 @@ class Tiles:
         return np.unique(np.concatenate(found)) if found else np.empty(0, np.uint64)
 
 
+class RareTiles:
+    """The tiles a set belongs to: its rarest elements, once for each band it takes part in.
+
+    Linked sets have ``percent`` of the larger one in common at least, so the elements a set
+    keeps when those it can miss are left over, the rarest first, can't all differ.  That holds
+    for any order of the elements which is the same for all sets; it only has to be a good one
+    to keep the tiles small.
+    """
+
+    def __init__(self, percent: int, common: np.ndarray, counts: np.ndarray) -> None:
+        self.percent, self.common, self.counts = percent, common, counts
+        self.bands, self.largest = [], 0
+
+    def of(self, grams: np.ndarray) -> np.ndarray:
+        n = len(grams)
+        if n > self.largest:
+            self.largest = 2 * n
+            self.bands = bands(self.largest, self.percent)
+        if not n:
+            return np.empty(0, np.uint64)
+        count = np.zeros(n, np.int64)
+        if len(self.common):
+            at = np.minimum(np.searchsorted(self.common, grams), len(self.common) - 1)
+            count = np.where(self.common[at] == grams, self.counts[at], 0)
+        keys = mixed(grams)
+        rarest = keys[np.lexsort((keys, count))][: n - -(-n * self.percent // 100) + 1]
+        with np.errstate(over="ignore"):
+            found = [
+                mixed(rarest + stepped(band + 1))
+                for band, (low, high, guest, _, _) in enumerate(self.bands)
+                if low <= n <= max(high, guest)
+            ]
+        return np.unique(np.concatenate(found))
+
+
+def common_grams(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent n-grams of a bounded sample of documents, sorted, and in how many they are."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 100):
+                sets = [gram_set(hashes, t.as_py() or "", words) for t in batch.column("text")[at : at + 100]]
+                grams, counts = np.unique(np.concatenate(sets), return_counts=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(grams.view(np.int64)), pa.array(counts.astype(np.int64))], ["gram", "n"]
+                )
+
+    sample = about(docs.where("doc_id IS NOT NULL AND text IS NOT NULL"), SAMPLE_DOCS, "doc_id")
+    counted = (
+        sample.select(F.col("text").cast("string").alias("text"))
+        .mapInArrow(split, "gram long, n long")
+        .groupBy("gram")
+        .agg(F.sum("n").alias("n"))
+        .where("n > 1")
+        .orderBy(F.col("n").desc(), "gram")
+        .limit(MOST_COMMON)
+    ).toArrow()
+    grams = counted.column("gram").to_numpy().view(np.uint64)
+    order = np.argsort(grams)
+    return grams[order], counted.column("n").to_numpy()[order]
+
+
 def gram_set(hashes: WordHashes, text: str, words: int) -> np.ndarray:
     with np.errstate(over="ignore"):
         return np.unique(rolled(hashes.of(text), words))
@@ -153,9 +223,10 @@ def posted(docs: DataFrame, words: int, percent: int) -> DataFrame:
     Of the documents of a batch that share a tile only the first is posted there; each other
     one is tied to it by a tile of their own.  So copies do not gather in the tiles they share.
     """
+    rare = common_grams(docs, words) if percent < RARE_BELOW else None
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, tiles = WordHashes(), Tiles(percent)
+        hashes, tiles = WordHashes(), RareTiles(percent, *rare) if rare else Tiles(percent)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)

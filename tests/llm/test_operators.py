@@ -360,6 +360,33 @@ def test_linked_sets_share_a_tile(percent):
             assert len(np.intersect1d(tiles.of(a), tiles.of(b)))
 
 
+@pytest.mark.parametrize("percent", [80, 50])
+def test_linked_sets_share_a_rare_tile(percent):
+    """Whatever the elements' frequencies are, two sets as far apart as the bound allows meet."""
+    rng = np.random.default_rng(percent)
+    for n in [*range(1, 40), 100, 377]:
+        for _ in range(10):
+            grams = rng.integers(0, 2**64, 3 * n + 3, dtype=np.uint64)
+            common = np.sort(rng.choice(grams, n, replace=False))
+            tiles = ngram_join.RareTiles(percent, common, rng.integers(2, 5, n))
+            gone = rng.integers(0, (100 - percent) * n // 100 + 1)
+            new = rng.integers(0, max(0, ((n - gone) * 100 // percent) - n) + 1)
+            a, b = np.unique(grams[:n]), np.unique(np.concatenate([grams[gone:n], grams[n : n + new]]))
+            if 100 * (n - gone) >= percent * (len(a) + len(b) - (n - gone)):
+                assert len(np.intersect1d(tiles.of(a), tiles.of(b)))
+
+
+def test_a_common_passage_makes_no_candidates(spark):
+    shared = [f"s{i}" for i in range(40)]
+    rows = [(i, " ".join([f"w{i}x{k}" for k in range(60)] + shared)) for i in range(40)]
+    rows += [(100 + i, t + " end") for i, t in rows[:3]] + [(200, " ".join(shared)), (201, " ".join(shared[1:])), (202, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = graph.components(ngram_join.hung(ngram_join.posted(docs, 5, 80))).collect()
+    assert {tuple(r) for r in found} == {(i + j, i) for i in range(3) for j in (0, 100)} | {(200, 200), (201, 200)}
+    got = {r[0]: r[2] for r in ngram_join.join(docs, 5, 80).collect()}
+    assert got == {i: {100: 0, 101: 1, 102: 2, 201: 200}.get(i, i) for i, _ in rows}
+
+
 def test_ngram_join_table(spark):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "text")
     got = queries.op5_ngram_join(spark, SF_DIR).collect()
