@@ -264,6 +264,41 @@ def test_no_passage_that_meets_the_threshold_is_left_out(spark):
     assert {(r["doc_id"], r["ref_doc_id"]) for r in found.collect()} >= {(1_000 + i, i) for i in range(150)}
 
 
+def test_words_beyond_a_settled_passage_are_found(spark):
+    """What doc 3 repeats of doc 2 lies in what it repeats of doc 1, but for its last words."""
+    whole = words(70, 31)
+    rows = [
+        (1, words(40, 32) + whole[:60] + words(30, 33)),
+        (2, words(40, 34) + whole[10:60] + ["edit"] + whole[61:] + words(30, 35)),
+        (3, words(20, 36) + whole + words(20, 37)),
+    ]
+    found = passages.find(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string"))
+    got = {(r["ref_doc_id"], r["first_word"], r["last_word"]) for r in found.collect() if r["doc_id"] == 3}
+    assert got == {(1, 20, 79), (2, 30, 89)}
+
+
+def test_texts_of_one_id_are_searched_each(spark):
+    """One of the texts of id 5 is a copy, the other holds a passage of doc 1."""
+    copied, passage = " ".join(words(60, 41)), words(60, 42)
+    rows = [
+        (1, " ".join(words(30, 43) + passage + words(20, 44))),
+        (2, copied),
+        (5, copied),
+        (5, " ".join(words(12, 45) + passage + words(9, 46))),
+    ]
+    found = passages.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["ref_doc_id"], r["first_word"], r["last_word"]) for r in found} == {(5, 2, 0, 59), (5, 1, 12, 71)}
+
+
+def test_lows_are_those_of_the_compact_windows():
+    rng = np.random.default_rng(3)
+    for n, most in ((5, 9), (40, 8), (300, 12), (300, 10**9)):
+        values = rng.integers(0, most, n).astype(np.uint64)
+        for shortest in (1, 2, 7, 10):
+            expected = sorted(low for _, low, _ in passages.compact_windows(values, shortest))
+            assert passages.lows(values, shortest).tolist() == expected
+
+
 def test_stretch_bounds_what_edits_leave():
     assert passages.stretch(5, 46, 0.8) == (13, 93) and passages.fewest(46, 0.8) == 37
     assert passages.stretch(5, 46, 1.0)[0] == 46
