@@ -527,6 +527,35 @@ def test_brands_without_price_have_zeros(spark):
     assert tiers == {"a": (1, 0, 1), "b": (0, 0, 0)}
 
 
+def test_features_are_sent_as_codes_and_never_broadcast(spark, capsys):
+    """One row a feature may be far more than the size of its documents tells; strings cost most."""
+    rows = [(i, "c", ["milk", "#mil", "#ilk", f"w{i % 3}", f"#w{i}"], i > 9) for i in range(20)]
+    schema = "id long, category string, features array<string>, is_anchor boolean"
+    ranked = sim.rarest_first(spark.createDataFrame(rows, schema), ["category"])
+    assert ranked.schema["ranked"].dataType.elementType["feature"].dataType.typeName() == "long"
+    score = sim.SetScore(0.7, 0.3)
+    found = sim.set_top_k(ranked.where("NOT is_anchor"), ranked.where("is_anchor"), ["category"], k=20, floor=0.45, score=score)
+    for df in (ranked, sim._set_pairs(ranked, ranked, ["category"], 3, 0.8, score, 512, 1024)):
+        capsys.readouterr()
+        df.explain()
+        plan = capsys.readouterr().out
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+    def cosine(a, b):
+        return len(a & b) / math.sqrt(len(a) * len(b))
+
+    def words(features):
+        return {f for f in features if not f.startswith("#")}
+
+    sets = {i: set(f) for i, _, f, _ in rows}
+    want = {
+        (q, c): 0.7 * cosine(sets[q], sets[c]) + 0.3 * cosine(words(sets[q]), words(sets[c]))
+        for q in range(10) for c in range(10, 20)
+    }
+    got = {(r["query_id"], r["corpus_id"]): r["score"] for r in found.collect()}
+    assert got == pytest.approx({k: v for k, v in want.items() if v >= 0.45})
+
+
 def test_settled_queries_leave_the_set_search(spark, monkeypatch):
     """Queries with k rows at a high floor go no further down, and no result changes."""
     words = lambda *w: list(w)
